@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.lifecycle import phase, phase_priority
 from trailweave.functions.paths import common_path_prefix
+from trailweave.functions.predicates import id_from, id_to, subject_prefix, subject_range
 from trailweave.functions.text import band_label, log_intensity, normalise_x, rfc3339, variant_label
 from trailweave.operators.ordering import Slices, find_slices, global_index, search
-from trailweave.operators.variants import HEAD, subject_signatures, tally, tie_breakers
+from trailweave.operators.variants import subject_signatures, tally, tie_breakers
 from trailweave.session import cut_lineage
 
 # Budgets of the automatic choice and sizes of the views.
@@ -137,7 +138,7 @@ def variant_bands(log: DataFrame, max_rows: int = MAX_ROWS, slices: Slices | Non
     return bands, member
 
 
-def _column(placed: Axis, cols: int):
+def _column(placed: Axis, cols: int) -> Column:
     share = normalise_x(F.col("value"), F.lit(placed.low), F.lit(placed.high))
     return F.greatest(F.least(F.floor(share * cols), F.lit(cols - 1)), F.lit(0)).cast("bigint")
 
@@ -218,6 +219,12 @@ def drill(cells: DataFrame, bands: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def cell_filter(min_id: str, max_id: str, low: str = "", high: str = "", prefix: str = "") -> Column:
+    """Predicate of one clicked cell: subject range, else subtree, else ids alone."""
+    subjects = subject_range(low, high) if low and high else subject_prefix(prefix)
+    return subjects & id_from(min_id) & id_to(max_id)
+
+
 def detail(log: DataFrame, max_rows: int = MAX_ROWS, max_dots: int = MAX_DOTS) -> DataFrame:
     """Which level of detail a log calls for, with the numbers behind it."""
     counts = log.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).agg(
@@ -225,6 +232,3 @@ def detail(log: DataFrame, max_rows: int = MAX_ROWS, max_dots: int = MAX_DOTS) -
     )
     dense = (F.col("subjects") > max_rows) | (F.col("events") > max_dots)
     return counts.select("events", "subjects", F.when(dense, "density").otherwise("dots").alias("mode"))
-
-
-assert HEAD >= 3  # labels show up to three steps
