@@ -19,14 +19,11 @@ STAGES = [
 FILTER = p.SpaceFilter(types=("click", "error"), source="app", words=("USERS", "r"), subject_low="/users/1", subject_high="/users/6")
 
 
-def _density(spark, sf):
-    log = order_log(spark, sf)
-    placed, bands = space.axis(log), space.subject_bands(log)
-    return log, bands, space.density(placed, bands)
-
-
 def drilled(spark, sf):
-    log, bands, cells = _density(spark, sf)
+    """What a click on each cell of the user grid would list, summed up per cell."""
+    log = user_log(spark, sf)
+    bands = space.subject_bands(log)
+    cells = space.density(space.axis(log), bands)
     return space.drill(cells, bands, log).groupBy("row", "col").agg(
         F.count(F.lit(1)).alias("events"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
@@ -81,6 +78,12 @@ placed AS (SELECT o.*, band, least(floor((epoch_us(time::TIMESTAMP) - lo)::DOUBL
              'complete' AS phase
            FROM order_log o JOIN banded USING (subject), span)"""
 
+USER_GRID = USER + """,
+banded AS (SELECT subject, ntile(70) OVER (ORDER BY subject) - 1 AS band FROM (SELECT DISTINCT subject FROM user_log)),
+span AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM user_log),
+placed AS (SELECT u.id, u.subject, band, least(floor((epoch_us(ts) - lo)::DOUBLE / (hi - lo)::DOUBLE * 120), 119)::BIGINT AS col
+           FROM user_log u JOIN banded USING (subject), span)"""
+
 ORACLE = {
     "subject_prefix": with_logs(DOCS)
     + "SELECT id, source, subject, type, time FROM order_docs WHERE subject = '/orders/1' OR subject LIKE '/orders/1/%'",
@@ -109,7 +112,7 @@ ORACLE = {
     "inspect_subject": with_logs(DOCS)
     + """SELECT id, source, subject, type, time, data, false AS capped
        FROM order_docs WHERE subject = '/orders/42' OR subject LIKE '/orders/42/%' ORDER BY id LIMIT 300""",
-    "drill": with_logs(GRID)
+    "drill": with_logs(USER_GRID)
     + """, cells AS (SELECT band, col, min(id) AS a, max(id) AS b FROM placed GROUP BY band, col)
        SELECT c.band AS row, c.col AS col, count(*) AS events, min(p.id) AS first_id, max(p.id) AS last_id
        FROM cells c JOIN placed p ON p.band = c.band AND p.id BETWEEN c.a AND c.b GROUP BY c.band, c.col""",

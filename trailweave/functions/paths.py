@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as a UUID and what field names point elsewhere.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
-REFERENCE_FIELD = r"(?i)^([^\n]+?)(ids|id|refs|ref)\z"
+REFERENCE_FIELD = r"^(?!id\z)([^\n]+?)(ids|id|refs|ref)\z"
 ID_SEGMENT = "{id}"
 
 
@@ -83,8 +83,7 @@ def first_segment(subject: Column) -> Column:
 
 def reference_stem(field: Column) -> Column:
     """``customerId`` gives ``customer``; empty when the name is no reference."""
-    name = F.lower(field)
-    return F.when(name == "id", "").otherwise(F.regexp_extract(name, REFERENCE_FIELD, 1))
+    return F.regexp_extract(F.lower(field), REFERENCE_FIELD, 1)
 
 
 def reference_suffix(field: Column) -> Column:
@@ -93,7 +92,10 @@ def reference_suffix(field: Column) -> Column:
 
 def reference_collection(field: Column) -> Column:
     """Naive plural of the collection a field refers to, NULL if it refers to none."""
-    stem = reference_stem(F.regexp_replace(field, r"^\s+|\s+\z", ""))
+    return plural_of(reference_stem(F.regexp_replace(field, r"^\s+|\s+\z", "")))
+
+
+def plural_of(stem: Column) -> Column:
     return F.when(stem == "", F.lit(None)).when(stem.endswith("s"), stem).otherwise(F.concat(stem, F.lit("s")))
 
 

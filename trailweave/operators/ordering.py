@@ -46,6 +46,21 @@ def search(points: Column, key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(n) for n in SEARCH_STEPS]), F.lit(0), probe)
 
 
+def which_range(key: Column, lows: list) -> Column:
+    """Index of the last of a few sorted literals at or below ``key``, -1 if none is.
+
+    A balanced tree of comparisons, which stays inside generated code.
+    """
+
+    def node(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first).cast("bigint")
+        middle = (first + last + 1) // 2
+        return F.when(key < lows[middle], node(first, middle - 1)).otherwise(node(middle, last))
+
+    return F.when(key < lows[0], F.lit(-1).cast("bigint")).otherwise(node(0, len(lows) - 1)) if lows else F.lit(-1).cast("bigint")
+
+
 @dataclass(frozen=True)
 class Slices:
     """Cut points of large subjects; ``bounds`` is None when nothing needs cutting."""

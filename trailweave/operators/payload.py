@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from trailweave.functions.text import is_email, is_uuid, rfc3339
 from trailweave.operators.machine import Model
 
+# Rule name of payloads that cannot be read; not a violation of a field.
+BROKEN = "invalid_json"
+
 FIELD_SCHEMA = (
     "type string, fields array<struct<name:string,type:string,required:boolean,format:string,enum:array<string>>>"
 )
@@ -35,14 +38,20 @@ def _fault(rule: str | Column, message: str | Column) -> Column:
     return F.struct(lift(rule).alias("rule"), lift(message).alias("message"))
 
 
-def _check(value: Column, field: Column, strict_enum: bool) -> Column:
+def _seen(value: Column, field: Column) -> Column:
+    """A declared field next to what the payload holds under its name."""
+    return F.struct(
+        field.alias("field"), F.coalesce(F.schema_of_variant(value), F.lit("VOID")).alias("kind"),
+        F.try_variant_get(value, "$", "string").alias("text"),
+    )
+
+
+def _check(seen: Column, strict_enum: bool) -> Column:
     """The fault of one field, NULL if there is none."""
-    kind = F.schema_of_variant(value)
+    field, kind, text = seen["field"], seen["kind"], seen["text"]
     is_number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-    number = F.try_variant_get(value, "$", "double")
-    text = F.try_variant_get(value, "$", "string")
+    number = text.try_cast("double")
     declared, form = field["type"], field["format"]
-    absent = value.isNull() | (kind == "VOID")
     missing = F.when(field["required"], _fault("required", "missing required field"))
     texty = ~declared.isin("integer", "number", "boolean")
     plain = texty & ~declared.isin("enum", "datetime")
@@ -50,9 +59,9 @@ def _check(value: Column, field: Column, strict_enum: bool) -> Column:
     unlisted = listed & (F.size(field["enum"]) > 0) & ~F.array_contains(field["enum"], text)
     wants_time = (declared == "datetime") | (plain & (form == "date-time"))
     return (
-        F.when(absent, missing)
+        F.when(kind == "VOID", missing)
         .when(declared.isin("integer", "number") & ~is_number, _fault("type", F.concat(F.lit("expected type "), declared)))
-        .when((declared == "integer") & (number != F.floor(number)), _fault("type", "expected an integer"))
+        .when((declared == "integer") & (kind != "BIGINT") & (number != F.floor(number)), _fault("type", "expected an integer"))
         .when((declared == "boolean") & (kind != "BOOLEAN"), _fault("type", "expected type boolean"))
         .when(texty & (kind != "STRING"), _fault("type", "expected type string"))
         .when(unlisted, _fault("enum", F.concat(F.lit('value "'), text, F.lit('" is not one of the allowed values'))))
@@ -62,29 +71,39 @@ def _check(value: Column, field: Column, strict_enum: bool) -> Column:
     )
 
 
-def validate_payload(log: DataFrame, fields: DataFrame, strict_enum: bool = False) -> DataFrame:
-    """One row per violation: id, subject, type, field, rule, message.
+def _faults(log: DataFrame, fields: DataFrame, strict_enum: bool) -> DataFrame:
+    """Events with the list of their faults; broken payloads are one fault of their own.
 
     The payload is parsed once per event; all declared fields of its type are checked
     in place, so events are neither copied per field nor shuffled.
     """
-    checked = parsed(log).where(~F.col("broken")).join(F.broadcast(fields), "type", "left")
-    members = F.try_variant_get("value", "$", "map<string,variant>")
-    kind = F.schema_of_variant("value")
-    empty = F.col("value").isNull() | (kind == "VOID")
-    not_object = ~empty & ~kind.startswith("OBJECT")
-    whole = F.array(F.struct(
-        F.lit("").alias("field"), F.lit("type").alias("rule"), F.lit("data must be a JSON object").alias("message")))
-    checked = checked.withColumn("members", members)
+    checked = parsed(log).withColumn("kind", F.schema_of_variant("value")).withColumn(
+        "members", F.try_variant_get("value", "$", "map<string,variant>")
+    )
+    checked = checked.join(F.broadcast(fields), "type", "left")  # declared fields of one model
+    no_object = F.col("kind").isNotNull() & (F.col("kind") != "VOID") & ~F.col("kind").startswith("OBJECT")
+
+    def alone(rule: str, message: str) -> Column:
+        return F.array(F.struct(F.lit("").alias("field"), F.lit(rule).alias("rule"), F.lit(message).alias("message")))
+
+    def fault(seen: Column) -> Column:
+        found = _check(seen, strict_enum)
+        return F.struct(seen["field"]["name"].alias("field"), found["rule"].alias("rule"), found["message"].alias("message"))
+
+    seen = F.transform("fields", lambda f: _seen(F.element_at("members", f["name"]), f))
+    each = F.filter(F.transform(seen, fault), lambda f: f["rule"].isNotNull())
+    found = (
+        F.when(F.col("broken"), alone(BROKEN, "data is not valid JSON"))
+        .when(no_object, alone("type", "data must be a JSON object"))
+        .otherwise(each)
+    )
+    # Outer: an inner explode would check every payload twice, once to test for rows.
+    return checked.select("id", "subject", "type", F.inline_outer(found)).where("rule IS NOT NULL")
 
-    def fault(field: Column) -> Column:
-        found = _check(F.element_at("members", field["name"]), field, strict_enum)
-        return F.when(found.isNotNull(), F.struct(
-            field["name"].alias("field"), found["rule"].alias("rule"), found["message"].alias("message")))
 
-    each = F.filter(F.transform("fields", fault), lambda f: f.isNotNull())
-    faults = F.when(not_object, whole).otherwise(each)
-    return checked.select("id", "subject", "type", F.inline(faults))
+def validate_payload(log: DataFrame, fields: DataFrame, strict_enum: bool = False) -> DataFrame:
+    """One row per violation: id, subject, type, field, rule, message."""
+    return _faults(log, fields, strict_enum).where(F.col("rule") != BROKEN)
 
 
 def invalid_payloads(log: DataFrame) -> DataFrame:
@@ -93,7 +112,5 @@ def invalid_payloads(log: DataFrame) -> DataFrame:
 
 
 def payload_faults(log: DataFrame, fields: DataFrame, strict_enum: bool = False) -> DataFrame:
-    """Violations and broken payloads together (id, subject)."""
-    return validate_payload(log, fields, strict_enum).select("id", "subject").unionByName(
-        invalid_payloads(log).select("id", "subject")
-    )
+    """Violations and broken payloads together, from one pass."""
+    return _faults(log, fields, strict_enum)

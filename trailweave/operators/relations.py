@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.session import cut_lineage
 from trailweave.functions.paths import (
-    collapse, first_segment, is_id, reference_collection, reference_stem, reference_suffix, segments,
+    collapse, first_segment, is_id, plural_of, reference_stem, reference_suffix, segments,
 )
 
 # Every string token of a JSON text, with the string value behind it if it is a key.
-_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\s*:\s*"(?:[^"\\]|\\.)*")?'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf"(?s){_STRING}(?:\s*+:\s*+{_STRING})?+"
 
 
 def subject_tree(log: DataFrame) -> DataFrame:
@@ -67,7 +69,8 @@ class References:
                 ),
             )
         )
-        self._groups = (
+        # One row per field set; kept, since nodes, targets and edges all start here.
+        self._groups = cut_lineage(
             log.select(first_segment(F.col("subject")).alias("owner"), "type", fields.alias("fields"), "id")
             .where("owner <> ''")
             .groupBy("owner", "type", "fields")
@@ -157,18 +160,18 @@ def payload_references(log: DataFrame) -> DataFrame:
     In valid JSON a string before a colon is a key, so a left-to-right scan over the
     string tokens finds every key with a string value, however deep.
     """
-    text = F.when(F.try_parse_json("data").isNotNull(), F.col("data"))
-    tokens = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(r'(?s)^"(?:[^"\\]|\\.)*"\s*:'))
-    pairs = log.select("id", "subject", F.explode(tokens).alias("token"))
-    split = pairs.select(
-        "id", "subject",
-        _unquote(F.regexp_extract("token", r'(?s)^("(?:[^"\\]|\\.)*")\s*:', 1)).alias("field"),
-        _unquote(F.regexp_extract("token", r'(?s)^"(?:[^"\\]|\\.)*"\s*:\s*(".*")\z', 1)).alias("value"),
-    )
-    collection = reference_collection(F.col("field"))
-    return split.where(collection.isNotNull() & (F.col("value") != "")).select(
-        "id", "subject", "field", F.concat(F.lit("/"), collection, F.lit("/"), F.col("value")).alias("ref_subject")
-    )
+    likely = F.lower("data").rlike(r'(?:id|ids|ref|refs)\s*"\s*:|\\')
+    text = F.when(likely & F.try_parse_json("data").isNotNull(), F.col("data"))
+    # Outer explode: an inner one would scan each text a second time to test for rows.
+    tokens = log.select("id", "subject", F.explode_outer(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("token"))
+    key = F.regexp_extract("token", rf"(?s)^({_STRING})\s*:", 1)
+    pairs = tokens.select("id", "subject", "token", key.alias("key")).where("key <> ''")
+    named = pairs.select("id", "subject", "token", _unquote(F.col("key")).alias("field"))
+    stems = named.withColumn("stem", reference_stem(F.regexp_replace("field", r"^\s+|\s+\z", ""))).where("stem <> ''")
+    value = _unquote(F.regexp_extract("token", rf"(?s):\s*({_STRING})\z", 1))
+    return stems.select("id", "subject", "field", plural_of(F.col("stem")).alias("collection"), value.alias("value")).where(
+        "value <> ''"
+    ).select("id", "subject", "field", F.concat(F.lit("/"), "collection", F.lit("/"), "value").alias("ref_subject"))
 
 
 def resolve_references(log: DataFrame) -> DataFrame:

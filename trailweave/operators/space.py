@@ -11,7 +11,7 @@ from trailweave.functions.lifecycle import phase, phase_priority
 from trailweave.functions.paths import common_path_prefix
 from trailweave.functions.predicates import id_from, id_to, subject_prefix, subject_range
 from trailweave.functions.text import band_label, log_intensity, normalise_x, rfc3339, variant_label
-from trailweave.operators.ordering import Slices, find_slices, global_index, search
+from trailweave.operators.ordering import Slices, find_slices, global_index, which_range
 from trailweave.operators.variants import subject_signatures, tally, tie_breakers
 from trailweave.session import cut_lineage
 
@@ -151,6 +151,11 @@ def _cells(grouped: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _lows(bands: DataFrame) -> list[str]:
+    """Lower ends of name-ordered bands: at most ``max_rows`` names."""
+    return [row["from"] for row in bands.select("band", "from").orderBy("band").collect()]
+
+
 def density(placed: Axis, bands: DataFrame, member: DataFrame | None = None, cols: int = COLUMNS) -> DataFrame:
     """Sparse grid cells (row, col, count, phase, min_id, max_id).
 
@@ -163,10 +168,7 @@ def density(placed: Axis, bands: DataFrame, member: DataFrame | None = None, col
     )
     summary = [F.count(F.lit(1)).alias("count"), F.min("id").alias("min_id"), F.max("id").alias("max_id")]
     if member is None:
-        table = bands.agg(F.sort_array(F.collect_list("from")).alias("_lows"), F.max("to").alias("_last"))
-        ranged = marked.crossJoin(F.broadcast(table)).select(  # one row of at most max_rows names
-            (search(F.col("_lows"), F.col("subject")) - 1).cast("bigint").alias("row"), "col", "phase", "id"
-        )
+        ranged = marked.select(which_range(F.col("subject"), _lows(bands)).alias("row"), "col", "phase", "id")
         return _cells(ranged.where("row >= 0").groupBy("row", "col", "phase").agg(*summary), ["row", "col"])
     reduced = marked.groupBy("subject", "col", "phase").agg(*summary)
     placed_cells = reduced.join(member.withColumnRenamed("band", "row"), "subject")
@@ -198,25 +200,17 @@ def density_view(cells: DataFrame) -> DataFrame:
 
 
 def drill(cells: DataFrame, bands: DataFrame, events: DataFrame) -> DataFrame:
-    """Events inside a cell's subject range (else subtree) and id range.
+    """Events inside the subject range and the id range of name-banded cells.
 
-    Bands are disjoint name ranges, so the candidate band of an event is found by
-    search and the rest is an equi join plus the id test: no all-pairs join.
+    The band of an event is found by its name, which leaves an equi join with the
+    (at most rows x columns) cells plus the id test: no all-pairs join.
     """
-    table = bands.agg(F.sort_array(F.collect_list(F.struct("from", "to", "band"))).alias("_b"))
-    at = search(F.transform("_b", lambda b: b["from"]), F.col("subject"))
-    hit = F.get("_b", at - 1)
-    located = events.crossJoin(F.broadcast(table)).select(*events.columns, hit.alias("_hit")).where(
-        F.col("subject") <= F.col("_hit.to")
-    )
-    wanted = cells.select("row", "col", "min_id", "max_id")
-    return (
-        located.withColumn("row", F.col("_hit.band"))
-        .drop("_hit")
-        .join(F.broadcast(wanted), "row")
-        .where(F.col("id").between(F.col("min_id"), F.col("max_id")))
-        .select("row", "col", *events.columns)
+    located = events.withColumn("row", which_range(F.col("subject"), _lows(bands)))
+    wanted = cells.select("row", "col", "min_id", "max_id").join(
+        bands.select(F.col("band").alias("row"), F.col("to").alias("_to")), "row"
     )
+    inside = F.col("id").between(F.col("min_id"), F.col("max_id")) & (F.col("subject") <= F.col("_to"))
+    return located.join(F.broadcast(wanted), "row").where(inside).select("row", "col", *events.columns)
 
 
 def cell_filter(min_id: str, max_id: str, low: str = "", high: str = "", prefix: str = "") -> Column:

@@ -7,23 +7,41 @@ themselves, so no ranking pass (and no shuffle) is needed to number them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.operators.ordering import SMALL_INPUT_BYTES, input_bytes
+
+# Columns that tell the rows of a table apart well enough to spread them.
+SPREAD = {
+    "events": ["event_id"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_partkey"],
+    "conversations": ["conv_id", "turn"], "documents": ["doc_id"],
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table.  Small files often hold one row group, which one task would read
+    and derive alone, so their rows are spread over the cores; large ones are left as
+    they are, since they already have many splits."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name in SPREAD and (1 << 18) < input_bytes(df) <= SMALL_INPUT_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism, *SPREAD[name])
+    return df
 
 
-def _pad(column: str, width: int):
+def _pad(column: str, width: int) -> Column:
     return F.lpad(F.col(column).cast("string"), width, "0")
 
 
-def _instant(column: str, fraction: bool = False):
+def _instant(column: str, fraction: bool = False) -> Column:
     shape = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'" if fraction else "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return F.date_format(F.col(column), shape)
 
 
+def _day(column: str) -> Column:
+    return F.replace(F.col(column).cast("date").cast("string"), F.lit("-"), F.lit(""))
+
+
 def user_log(spark: SparkSession, folder: str) -> DataFrame:
     """One subject per user, one event per activity row."""
     return table(spark, folder, "events").select(
@@ -48,14 +66,14 @@ def chat_log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _line_key():
+def _line_key() -> Column:
     return F.concat_ws(
         ".",
-        F.date_format("l_shipdate", "yyyyMMdd"),
+        _day("l_shipdate"),
         _pad("l_partkey", 12),
         _pad("l_suppkey", 10),
         _pad("l_linenumber", 6),
-        F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 14, "0"),
+        F.lpad(F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("string"), 14, "0"),
     )
 
 
@@ -64,7 +82,7 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     lines = table(spark, folder, "lineitem")
     subject = F.concat(F.lit("/customers/"), F.col("o_custkey").cast("string"), F.lit("/orders")).alias("subject")
-    head = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"), _pad("o_orderkey", 12), F.lit("-"))
+    head = F.concat(_day("o_orderdate"), F.lit("-"), _pad("o_orderkey", 12), F.lit("-"))
     ends = orders.select(
         "o_orderkey",
         F.explode(F.array(F.lit("placed"), F.concat(F.lit("closed."), F.col("o_orderstatus")))).alias("step"),
@@ -99,7 +117,7 @@ def order_docs(spark: SparkSession, folder: str) -> DataFrame:
         _instant("o_orderdate").alias("time"),
         F.concat(
             F.lit('{"customerId":"c'), F.col("o_custkey").cast("string"),
-            F.lit('","total":'), F.round("o_totalprice").cast("bigint").cast("string"),
+            F.lit('","total":'), F.floor(F.col("o_totalprice") + 0.5).cast("string"),
             F.when(F.col("o_orderkey") % 3 == 0, ".0").when(F.col("o_orderkey") % 3 == 1, ".25").otherwise(""),
             F.lit(',"priority":"'), F.col("o_orderpriority"),
             F.lit('","placedAt":"'),
