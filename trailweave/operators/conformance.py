@@ -11,6 +11,7 @@ from trailweave.functions.paths import matches_pattern, subject_pattern
 from trailweave.functions.text import deviation_detail, pct
 from trailweave.operators.machine import Model, check_log, check_sequences, fold_log
 from trailweave.operators.ordering import Slices, in_order
+from trailweave.session import small_table
 
 # Lengths of the example lists.
 TEMPLATE_DEVIATIONS = 12
@@ -31,7 +32,7 @@ def template_machine(spark: SparkSession, template: Template) -> DataFrame:
     """The template's greedy pointer as a machine: state = steps matched so far."""
     steps, types = template.expected, list(dict.fromkeys(template.expected))
     jump = [
-        (state + 1 if state < len(steps) and steps[state] == event else state, False, 0)
+        {"to": state + 1 if state < len(steps) and steps[state] == event else state, "once": False, "edge": 0}
         for state in range(len(steps) + 1)
         for event in types
     ]
@@ -40,7 +41,7 @@ def template_machine(spark: SparkSession, template: Template) -> DataFrame:
         "ends array<boolean>, jump array<struct<to:int,once:boolean,edge:int>>"
     )
     states = [str(i) for i in range(len(steps) + 1)]
-    return spark.createDataFrame([(template.process, states, types, states, [0], [], jump)], schema)
+    return small_table(spark, [(template.process, states, types, states, [0], [], jump)], schema)
 
 
 def in_scope(log: DataFrame, template: Template) -> DataFrame:
@@ -114,8 +115,8 @@ def sample_patterns(log: DataFrame, limit: int = SAMPLE_PATTERNS) -> DataFrame:
 
 def expected_presence(log: DataFrame, template: Template) -> DataFrame:
     """Expected types in order, and whether they occur anywhere in the log."""
-    wanted = log.sparkSession.createDataFrame(
-        [(i + 1, e) for i, e in enumerate(template.expected)], "step bigint, type string"
+    wanted = small_table(
+        log.sparkSession, [(i + 1, e) for i, e in enumerate(template.expected)], "step bigint, type string"
     )
     seen = log.where(F.col("type").isin(*template.expected)).select("type").distinct().withColumn("present", F.lit(True))
     return wanted.join(seen, "type", "left").select("step", "type", F.coalesce("present", F.lit(False)).alias("present"))
@@ -137,7 +138,7 @@ def model_deviations(checked: DataFrame, limit: int = MODEL_DEVIATIONS) -> DataF
 
 def _designed(log: DataFrame, model: Model) -> DataFrame:
     names = list(dict.fromkeys(e.type for e in model.edges if e.type))
-    return log.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "pos bigint, type string")
+    return small_table(log.sparkSession, [(i, n) for i, n in enumerate(names)], "pos bigint, type string")
 
 
 def unused_types(log: DataFrame, model: Model) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.operators.ordering import Slices, find_slices, in_order
+from trailweave.session import small_table
 
 BLOCK = 4096
 STATE = (
@@ -72,7 +73,7 @@ def model_tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFram
     """Node and edge tables of one model, as the model reader would give them."""
     nodes = [(model.id, i, n.id, n.label, n.start, n.end) for i, n in enumerate(model.nodes)]
     edges = [(model.id, i, e.id, e.type, e.source, e.target, e.cardinality) for i, e in enumerate(model.edges)]
-    return spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA)
+    return small_table(spark, nodes, NODE_SCHEMA), small_table(spark, edges, EDGE_SCHEMA)
 
 
 def compile_machine(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -17,8 +17,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.session import small_table
+
 # Logs below this input size are not sampled: no subject in them is worth cutting.
 SMALL_INPUT_BYTES = 64 << 20
+# Sizes from here on stand for "not known" in the optimizer's statistics.
+UNKNOWN_BYTES = 1 << 55
 # Aim of the sample, in bytes of input per sampled row and in rows per slice.
 BYTES_PER_ROW = 32
 SAMPLE_ROWS = 2_000_000
@@ -36,6 +40,12 @@ def input_bytes(df: DataFrame) -> float:
     return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
 
 
+def known_bytes(df: DataFrame) -> float:
+    """``input_bytes``, or a row count times a row size where the optimizer has no idea."""
+    size = input_bytes(df)
+    return size if size < UNKNOWN_BYTES else float(df.count() * BYTES_PER_ROW)
+
+
 def search(points: Column, key: Column) -> Column:
     """How many entries of a sorted array are at or below ``key`` (binary search)."""
 
@@ -75,7 +85,7 @@ def global_index(df: DataFrame, order: str, name: str = "index", small_bytes: in
     Small inputs use one window.  Larger ones are cut into key ranges by sampled
     bounds, numbered inside each range and shifted by the sizes of the ranges before.
     """
-    size = input_bytes(df)
+    size = known_bytes(df)
     if size <= small_bytes:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
     fraction = min(1.0, SAMPLE_ROWS * BYTES_PER_ROW / size)
@@ -83,7 +93,7 @@ def global_index(df: DataFrame, order: str, name: str = "index", small_bytes: in
     tile = F.ntile(RANGES).over(Window.orderBy(order))
     cuts = sampled.withColumn("tile", tile).groupBy("tile").agg(F.min(order).alias("low"))
     points = sorted(row["low"] for row in cuts.where("tile > 1").collect())  # at most RANGES entries
-    lookup = df.sparkSession.createDataFrame([(points,)], f"_points array<{dict(df.dtypes)[order]}>")
+    lookup = small_table(df.sparkSession, [(points,)], f"_points array<{dict(df.dtypes)[order]}>")
     ranged = df.crossJoin(F.broadcast(lookup)).select(*df.columns, search(F.col("_points"), F.col(order)).alias("_range"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # one row per range
@@ -97,7 +107,7 @@ def find_slices(
     log: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, small_bytes: int = SMALL_INPUT_BYTES
 ) -> Slices:
     """Sample (subject, id) once and choose cut points for subjects that need them."""
-    size = input_bytes(log)
+    size = known_bytes(log)
     if size <= small_bytes:
         return Slices(small=True)
     fraction = min(1.0, SAMPLE_ROWS * BYTES_PER_ROW / size)
@@ -115,7 +125,7 @@ def find_slices(
     rows = cuts.collect()  # bounded by the sample size over `every`
     if not rows:
         return Slices()
-    return Slices(bounds=log.sparkSession.createDataFrame(rows, cuts.schema))
+    return Slices(bounds=small_table(log.sparkSession, rows, "subject string, _bounds array<string>"))
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.text import is_email, is_uuid, rfc3339
 from trailweave.operators.machine import Model
+from trailweave.session import small_table
 
 # Rule name of payloads that cannot be read; not a violation of a field.
 BROKEN = "invalid_json"
@@ -22,8 +23,11 @@ def field_table(spark: SparkSession, model: Model) -> DataFrame:
     for event_type, field in model.fields:
         fields = by_type.setdefault(event_type, [])
         if field.name.strip():
-            fields.append((field.name.strip(), field.type, field.required, field.format, list(field.enum)))
-    return spark.createDataFrame(list(by_type.items()), FIELD_SCHEMA)
+            fields.append({
+                "name": field.name.strip(), "type": field.type, "required": field.required, "format": field.format,
+                "enum": list(field.enum),
+            })
+    return small_table(spark, by_type.items(), FIELD_SCHEMA)
 
 
 def parsed(log: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trailweave.functions.lifecycle import phase
 from trailweave.functions.text import rfc3339
+from trailweave.session import small_table
 from trailweave.sources.events import EVENT_SCHEMA
 
 POLL = "2 seconds"
@@ -76,7 +77,7 @@ class HighWater:
         return past.where(F.col("batch") < batch).agg(F.max("anchor")).first()[0] or self.start
 
     def record(self, batch: int, anchor: str) -> None:
-        row = self.spark.createDataFrame([(batch, anchor)], "batch bigint, anchor string")
+        row = small_table(self.spark, [(batch, anchor)], "batch bigint, anchor string")
         row.coalesce(1).write.mode("append").parquet(self.folder)
 
 
