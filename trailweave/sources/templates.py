@@ -55,14 +55,13 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
         subject_scope(F.coalesce(F.get(lanes, F.lit(0)), F.lit("")), process).alias("subject_pattern"),
     )
     empty = F.array().cast("array<struct<kind:string,id:string,name:string>>")
-    typed = [
-        F.coalesce(
-            F.transform(F.col(f"p.{name}"), lambda n, kind=kind: F.struct(
-                F.lit(kind).alias("kind"), n["_id"].alias("id"), F.coalesce(n["_name"], F.lit("")).alias("name"))),
-            empty,
+
+    def typed_as(kind: str):
+        return lambda n: F.struct(
+            F.lit(kind).alias("kind"), n["_id"].alias("id"), F.coalesce(n["_name"], F.lit("")).alias("name")
         )
-        for name, kind in KINDS.items()
-    ]
+
+    typed = [F.coalesce(F.transform(F.col(f"p.{name}"), typed_as(kind)), empty) for name, kind in KINDS.items()]
     nodes = documents.select("template_id", F.posexplode(F.concat(*typed)).alias("at", "n")).select("template_id", "at", "n.*")
     flows = documents.select("template_id", F.posexplode("p.sequenceFlow").alias("at", "f")).select(
         "template_id", "at", F.col("f._sourceRef").alias("source"), F.col("f._targetRef").alias("target")
