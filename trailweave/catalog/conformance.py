@@ -60,23 +60,19 @@ def _walked(log, model):
     return m.check_log(log, m.machine_of(log.sparkSession, model), with_edges=True)
 
 
-def _cases(spark, sf):
-    """Every conversation as a test case; the first speaker decides what is expected."""
+def suite(spark, sf):
+    """Every conversation as a test case; its length and first speaker say what to expect."""
     talk = chat_log(spark, sf)
-    steps = talk.groupBy("subject").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("id", "type"))), lambda e: e["type"]).alias("steps")
+    nodes, edges = m.model_tables(spark, CHAT_MODEL)
+    expected = talk.groupBy("subject").agg(F.min_by("type", "id").alias("first")).select(
+        "subject", F.when(F.col("first") == "user", "answered").otherwise("begin").alias("end_state")
     )
-    return steps.select(
-        F.lit("chat").alias("model_id"), F.col("subject").alias("case_id"), "steps",
-        F.when(F.size("steps") > 3, "reject").otherwise("accept").alias("outcome"),
-        F.when(F.get("steps", F.lit(0)) == "user", "answered").otherwise("begin").alias("end_state"),
+    checked = m.check_log(talk, m.compile_machine(nodes, edges)).join(expected, "subject").withColumn(
+        "outcome", F.when(F.col("length") > 3, "reject").otherwise("accept")
+    )
+    return c.judge(checked, nodes).select(
+        F.col("subject").alias("case_id"), "length", "outcome", "end_state", "passed", "detail"
     )
-
-
-def suite(spark, sf):
-    nodes, edges = m.model_tables(spark, CHAT_MODEL)
-    run = c.run_suite(_cases(spark, sf), m.compile_machine(nodes, edges), nodes)
-    return run.withColumn("steps", F.array_join("steps", ","))
 
 
 def _verdicts(spark, sf):
@@ -245,15 +241,13 @@ ORACLE = {
     "edge_coverage": _W
     + f"SELECT {_COVER} AS covered, {len(_MOVES)}::BIGINT AS total, {_COVER} * 100 // {len(_MOVES)} AS pct",
     "run_suite": _WC
-    + """, path AS (SELECT subject, string_agg(label, ' → ' ORDER BY pos) AS walked FROM w JOIN verdict USING (subject, ord) JOIN lab ON lab.node = cur
-         WHERE fail = -1 GROUP BY subject),
-       c AS (SELECT subject, list(type ORDER BY id) AS st FROM s GROUP BY subject),
-       j AS (SELECT *, len(st) > 3 AS rej, CASE st[1] WHEN 'user' THEN 'answered' ELSE 'begin' END AS es
-             FROM c JOIN verdict USING (subject) JOIN path USING (subject))
-       SELECT 'chat' AS model_id, subject AS case_id, array_to_string(st, ',') AS steps, CASE WHEN rej THEN 'reject' ELSE 'accept' END AS outcome,
-         es AS end_state, CASE WHEN rej THEN NOT ok ELSE ok AND end_node = es END AS passed,
+    + """, c AS (SELECT subject, arg_min(type, id) AS first FROM s GROUP BY subject),
+       j AS (SELECT *, length > 3 AS rej, CASE first WHEN 'user' THEN 'answered' ELSE 'begin' END AS es
+             FROM c JOIN verdict USING (subject))
+       SELECT subject AS case_id, length, CASE WHEN rej THEN 'reject' ELSE 'accept' END AS outcome, es AS end_state,
+         CASE WHEN rej THEN NOT ok ELSE ok AND end_node = es END AS passed,
          CASE WHEN rej AND ok THEN 'expected rejection, but the sequence is a valid walk' WHEN rej THEN 'correctly rejected — ' || reason
-           WHEN NOT ok THEN reason WHEN end_node <> es THEN 'ended in ' || l1.label || ', expected ' || l2.label ELSE 'valid walk' END AS detail, walked
+           WHEN NOT ok THEN reason WHEN end_node <> es THEN 'ended in ' || l1.label || ', expected ' || l2.label ELSE 'valid walk' END AS detail
        FROM j JOIN lab l1 ON l1.node = end_node JOIN lab l2 ON l2.node = es""",
     "validate_payload": with_logs(DOCS, _FAULTS) + "SELECT * FROM faults",
     "stream_verdict": _JUDGED + "SELECT subject, rejected, reason FROM judged",

@@ -10,18 +10,16 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 REFERENCE_FIELD = r"^(?!id\z)([^\n]+?)(ids|id|refs|ref)\z"
 ID_SEGMENT = "{id}"
 
+# Numbers, long hex, UUIDs, long alphanumerics with a digit, prefixed ids such as EMP-30000.
+_ID = (
+    r"^(?:[0-9]+|[0-9A-Fa-f]{16,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|(?=[^0-9]*+[0-9])(?:[0-9A-Za-z]{12,}|(?=[^_-]*+[_-])[0-9A-Za-z_-]{4,}))\z"
+)
+
 
 def is_id(segment: Column) -> Column:
     """Does a path segment look like an instance id rather than a name?"""
-    has_digit = segment.rlike("[0-9]")
-    return F.coalesce(
-        segment.rlike(UUID)
-        | segment.rlike(r"^[0-9]+\z")
-        | segment.rlike(r"^[0-9A-Fa-f]{16,}\z")
-        | (segment.rlike(r"^[0-9A-Za-z]{12,}\z") & has_digit)
-        | (segment.rlike(r"^[0-9A-Za-z_-]{4,}\z") & segment.rlike("[_-]") & has_digit),
-        F.lit(False),
-    )
+    return F.coalesce(segment.rlike(_ID), F.lit(False))
 
 
 def segments(path: Column) -> Column:
@@ -51,6 +49,19 @@ def matches_pattern(subject: Column, pattern: Column) -> Column:
     return (F.size(have) == F.size(want)) & same
 
 
+def matches_literal(subject: Column, pattern: str) -> Column:
+    """``matches_pattern`` for a pattern known when the query is written: one regex."""
+    wanted = pattern.strip("/").split("/")
+
+    def part(index: int, name: str) -> str:
+        inner = 0 < index < len(wanted) - 1 or len(wanted) == 1
+        return ("[^/]*" if inner else "[^/]+") if name == ID_SEGMENT else "".join(
+            c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in name
+        )
+
+    return subject.rlike("^/*" + "/".join(part(i, name) for i, name in enumerate(wanted)) + r"/*\z")
+
+
 def scope_prefix(pattern: Column) -> Column:
     """Literal path before the first ``{id}``, empty if there is none."""
     parts = segments(pattern)

@@ -14,7 +14,7 @@ EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 
 def rfc3339(text: Column) -> Column:
     """Timestamp of a strict RFC 3339 text, otherwise NULL."""
-    return F.when(text.rlike(RFC3339), F.try_to_timestamp(F.regexp_replace(text, ",", ".")))
+    return F.when(text.rlike(RFC3339), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
 
 
 def is_uuid(text: Column) -> Column:

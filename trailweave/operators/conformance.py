@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.functions.paths import matches_pattern, subject_pattern
+from trailweave.functions.paths import matches_literal, subject_pattern
 from trailweave.functions.text import deviation_detail, pct
 from trailweave.operators.machine import Model, check_log, check_sequences, fold_log
 from trailweave.operators.ordering import Slices, in_order
@@ -48,7 +48,9 @@ def in_scope(log: DataFrame, template: Template) -> DataFrame:
     """Events on subjects the template speaks about."""
     if not template.subject:
         return log
-    return log.where(matches_pattern(F.col("subject"), subject_pattern(F.lit(template.subject))))
+    given = small_table(log.sparkSession, [(template.subject,)], "subject string")
+    pattern = given.select(subject_pattern(F.col("subject"))).first()[0]  # folded by the optimizer, no job
+    return log.where(matches_literal(F.col("subject"), pattern))
 
 
 def template_check(log: DataFrame, template: Template, slices: Slices | None = None) -> DataFrame:
@@ -160,14 +162,25 @@ def edge_coverage(checked: DataFrame, model: Model) -> DataFrame:
 
 
 def run_suite(cases: DataFrame, machines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Judge test cases (model_id, case_id, steps, outcome, end_state)."""
+    """Judge written test cases (model_id, case_id, steps, outcome, end_state)."""
+    judged = judge(check_sequences(cases, machines), nodes)
+    name = lambda n: F.coalesce(F.element_at("names", n), n)
+    walked = F.coalesce(F.array_join(F.transform("path", name), " → "), F.lit(""))
+    return judged.select(*cases.columns, "passed", "detail", walked.alias("walked"))
+
+
+def judge(checked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Compare verdicts with what was expected: needs model_id, outcome, end_state.
+
+    Adds ``passed``, ``detail`` and the node ``names`` of the model.
+    """
     labels = nodes.groupBy("model_id").agg(
         F.map_from_entries(F.collect_list(F.struct(
             "node_id", F.coalesce(F.nullif("label", F.lit("")), F.col("node_id")).alias("label")))).alias("names")
     )
-    judged = check_sequences(cases, machines).join(labels, "model_id", "left")
+    judged = checked.join(labels, "model_id", "left")
     name = lambda n: F.coalesce(F.element_at("names", n), n)
-    last, want = F.element_at("path", -1), F.coalesce("end_state", F.lit(""))
+    last, want = F.col("end_node"), F.coalesce("end_state", F.lit(""))
     ends_right = (want == "") | F.coalesce(last == want, F.lit(False))
     reject = F.col("outcome") == "reject"
     detail = (
@@ -177,12 +190,9 @@ def run_suite(cases: DataFrame, machines: DataFrame, nodes: DataFrame) -> DataFr
         .when(~ends_right, F.concat(F.lit("ended in "), F.coalesce(name(last), F.lit("")), F.lit(", expected "), name(want)))
         .otherwise("valid walk")
     )
-    return judged.select(
-        *cases.columns,
-        F.when(reject, ~F.col("ok")).otherwise(F.col("ok") & ends_right).alias("passed"),
-        detail.alias("detail"),
-        F.coalesce(F.array_join(F.transform("path", name), " → "), F.lit("")).alias("walked"),
-    )
+    return judged.withColumns({
+        "passed": F.when(reject, ~F.col("ok")).otherwise(F.col("ok") & ends_right), "detail": detail,
+    })
 
 
 def stream_verdict(checked: DataFrame, payload_faults: DataFrame) -> DataFrame:

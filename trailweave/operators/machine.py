@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.operators.ordering import Slices, find_slices, in_order
-from trailweave.session import small_table
+from trailweave.session import cut_lineage, small_table
 
 BLOCK = 4096
 STATE = (
@@ -216,6 +216,7 @@ def fold_log(
     """
     slices = slices or find_slices(log)
     counted = counted or {}
+    machine = cut_lineage(machine.select(*MACHINE))  # one row, used three times below
     flow = in_order(log, slices).df.crossJoin(F.broadcast(machine.select("types")))  # one row
     ix = (F.array_position("types", F.col("type")) - 1).cast("int")
     event = F.struct((F.col("pos") - 1).alias("at"), ix.alias("t"), F.col("type").alias("type"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.text import is_email, is_uuid, rfc3339
 from trailweave.operators.machine import Model
-from trailweave.session import small_table
+from trailweave.session import checked_broadcast, small_table
 
 # Rule name of payloads that cannot be read; not a violation of a field.
 BROKEN = "invalid_json"
@@ -84,7 +84,7 @@ def _faults(log: DataFrame, fields: DataFrame, strict_enum: bool) -> DataFrame:
     checked = parsed(log).withColumn("kind", F.schema_of_variant("value")).withColumn(
         "members", F.try_variant_get("value", "$", "map<string,variant>")
     )
-    checked = checked.join(F.broadcast(fields), "type", "left")  # declared fields of one model
+    checked = checked.join(checked_broadcast(fields), "type", "left")
     no_object = F.col("kind").isNotNull() & (F.col("kind") != "VOID") & ~F.col("kind").startswith("OBJECT")
 
     def alone(rule: str, message: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.session import cut_lineage
 from trailweave.functions.paths import (
-    collapse, first_segment, is_id, plural_of, reference_stem, reference_suffix, segments,
+    ID_SEGMENT, collapse, first_segment, plural_of, reference_stem, reference_suffix, segments,
 )
 
 # Every string token of a JSON text, with the string value behind it if it is a key.
@@ -23,13 +23,15 @@ def subject_tree(log: DataFrame) -> DataFrame:
     """
     per_subject = log.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
     parts = segments(F.col("subject"))
-    exploded = per_subject.select(
-        F.transform(parts, collapse).alias("names"), F.posexplode(parts).alias("i", "raw"), "n"
+    named = per_subject.select(parts.alias("parts"), F.transform(parts, collapse).alias("names"), "n")
+    exploded = named.select("names", F.posexplode("parts").alias("i", "raw"), "n").withColumn(
+        "seg", F.get("names", F.col("i"))
     )
     steps = exploded.select(
         F.concat(F.lit("/"), F.array_join(F.slice("names", F.lit(1), F.col("i") + 1), "/")).alias("path"),
-        (F.col("i") + 1).cast("bigint").alias("depth"),
-        F.get("names", F.col("i")).alias("seg"), is_id(F.col("raw")).alias("is_id"), "raw", "n",
+        (F.col("i") + 1).cast("bigint").alias("depth"), "seg",
+        # A raw segment that already reads "{id}" is a name, not an instance.
+        ((F.col("seg") == ID_SEGMENT) & (F.col("raw") != ID_SEGMENT)).alias("is_id"), "raw", "n",
     )
     instances = steps.groupBy("path", "depth", "seg", "is_id", F.when(F.col("is_id"), F.col("raw")).alias("instance")).agg(
         F.sum("n").alias("n")

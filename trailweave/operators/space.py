@@ -143,10 +143,22 @@ def _column(placed: Axis, cols: int) -> Column:
     return F.greatest(F.least(F.floor(share * cols), F.lit(cols - 1)), F.lit(0)).cast("bigint")
 
 
-def _cells(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold (keys, phase) counts into cells with their leading phase."""
+def _summary() -> list[Column]:
+    return [F.count(F.lit(1)).alias("count"), F.min("id").alias("min_id"), F.max("id").alias("max_id")]
+
+
+def _fold() -> list[Column]:
+    return [F.sum("count").alias("count"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id")]
+
+
+def _cells(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Fold counts per (keys, type) into cells with their leading phase.
+
+    Types are turned into phases here, once per count rather than once per event.
+    """
+    phased = counted.groupBy(*keys, phase(F.col("type")).alias("phase")).agg(*_fold())
     lead = F.max_by("phase", F.struct("count", -phase_priority(F.col("phase"))))
-    return grouped.groupBy(*keys).agg(
+    return phased.groupBy(*keys).agg(
         F.sum("count").alias("count"), lead.alias("phase"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id")
     )
 
@@ -163,26 +175,19 @@ def density(placed: Axis, bands: DataFrame, member: DataFrame | None = None, col
     bands come with a ``member`` table; the log is first reduced per subject, column
     and phase so that a huge subject is small when it is shuffled.
     """
-    marked = placed.df.select(
-        "subject", "id", _column(placed, cols).alias("col"), phase(F.col("type")).alias("phase")
-    )
-    summary = [F.count(F.lit(1)).alias("count"), F.min("id").alias("min_id"), F.max("id").alias("max_id")]
+    marked = placed.df.select("subject", "id", _column(placed, cols).alias("col"), "type")
     if member is None:
-        ranged = marked.select(which_range(F.col("subject"), _lows(bands)).alias("row"), "col", "phase", "id")
-        return _cells(ranged.where("row >= 0").groupBy("row", "col", "phase").agg(*summary), ["row", "col"])
-    reduced = marked.groupBy("subject", "col", "phase").agg(*summary)
+        ranged = marked.select(which_range(F.col("subject"), _lows(bands)).alias("row"), "col", "type", "id")
+        return _cells(ranged.where("row >= 0").groupBy("row", "col", "type").agg(*_summary()), ["row", "col"])
+    reduced = marked.groupBy("subject", "col", "type").agg(*_summary())
     placed_cells = reduced.join(member.withColumnRenamed("band", "row"), "subject")
-    folded = placed_cells.groupBy("row", "col", "phase").agg(
-        F.sum("count").alias("count"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id")
-    )
-    return _cells(folded, ["row", "col"])
+    return _cells(placed_cells.groupBy("row", "col", "type").agg(*_fold()), ["row", "col"])
 
 
 def dominant_phase(events: DataFrame, *keys: str) -> DataFrame:
     """Most frequent phase per key; equal counts go to the more alarming phase."""
-    counted = events.groupBy(*keys, phase(F.col("type")).alias("phase")).agg(F.count(F.lit(1)).alias("count"))
-    lead = F.max_by("phase", F.struct("count", -phase_priority(F.col("phase"))))
-    return counted.groupBy(*keys).agg(lead.alias("phase"), F.sum("count").alias("count"))
+    cells = _cells(events.groupBy(*keys, "type").agg(*_summary()), list(keys))
+    return cells.select(*keys, "phase", "count")
 
 
 def density_rows(cells: DataFrame, bands: DataFrame) -> DataFrame:

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from trailweave.functions.text import pct
 from trailweave.operators.discovery import Discovery
 from trailweave.operators.ordering import Ordered, Slices, in_order
-from trailweave.session import cut_lineage
+from trailweave.session import checked_broadcast, cut_lineage
 
 HEAD = 1000
+# Steps written out at a time.
+CHUNK = 100_000
 
 
 def _fingerprint() -> list[Column]:
@@ -80,7 +82,8 @@ def _split(found: Discovery) -> Ordered:
             .alias("fresh"),
         )
     )
-    marks = cut_lineage(marks)
+    # One row per pair of types; without the hint its unknown size would shuffle the log.
+    marks = checked_broadcast(cut_lineage(marks))
     flow = in_order(found.log, found.slices)
     df = flow.df.join(marks, F.col("prev_type").eqNullSafe(F.col("p")) & (F.col("type") == F.col("t"))).drop("p", "t")
     flow = Ordered(df, flow.slices).running(run=F.col("restart"), island=F.col("fresh"))
@@ -98,9 +101,14 @@ def split_runs(found: Discovery) -> DataFrame:
 
 def canonicalise(found: Discovery) -> DataFrame:
     """Runs in canonical order as (subject, run, step, type)."""
-    pieces = run_pieces(found)
-    at = F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("n")))
-    return pieces.select("subject", (F.col("run") + 1).alias("run"), at.alias("step"), "type")
+    last = F.col("start") + F.col("n")
+    # In two levels, so that a piece of any size never becomes one long array.
+    chunks = run_pieces(found).select(
+        "subject", "run", "type", last.alias("last"),
+        F.explode(F.sequence(F.col("start") + 1, last, F.lit(CHUNK).cast("bigint"))).alias("low"),
+    )
+    at = F.explode(F.sequence(F.col("low"), F.least(F.col("low") + (CHUNK - 1), F.col("last"))))
+    return chunks.select("subject", (F.col("run") + 1).alias("run"), at.alias("step"), "type")
 
 
 def signatures(pieces: DataFrame) -> DataFrame:
@@ -181,7 +189,9 @@ def _ranked(found: Discovery, max_n: int) -> DataFrame:
 
 def variant_steps(found: Discovery, max_n: int) -> DataFrame:
     """Steps of the top variants as rows (rank, start, type, n), whatever their length."""
-    top = _ranked(found, max_n).select("rank", "example.subject", "example.run")
+    if max_n < 1:
+        raise ValueError("variant_steps lists the steps of a number of top variants")
+    top = _ranked(found, max_n).select("rank", "example.subject", "example.run")  # max_n rows
     return run_pieces(found).join(F.broadcast(top), ["subject", "run"]).select("rank", "start", "type", "n")
 
 

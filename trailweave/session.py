@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -42,6 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Broadcast hint for a lookup table that is cheap to count, if it is small enough.
+
+    A larger table keeps the planner's choice: a shuffled join, split by AQE on skew.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A table from a few driver-side rows, kept in the plan (no Python worker reads it).
 
