@@ -150,3 +150,21 @@ def test_global_index_by_ranges(spark, monkeypatch):
     for limit in (0, 1 << 30):
         got = {r["id"]: r["index"] for r in global_index(df, "id", small_bytes=limit).collect()}
         assert got == {i: n for n, i in enumerate(sorted(ids))}
+
+
+def test_cuts_from_a_small_sample(make_log, monkeypatch):
+    """Cut points come from a sample; wherever they fall, nothing changes."""
+    from trailweave.operators import ordering
+
+    log = noisy(make_log, seed=12)
+    monkeypatch.setattr(ordering, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(ordering, "SAMPLED_ROWS_PER_SLICE", 3)
+    monkeypatch.setattr(ordering, "BYTES_PER_ROW", 4)
+    monkeypatch.setattr(ordering, "RANGES", 9)
+    slices = find_slices(log, rows_per_slice=10, small_bytes=0)
+    assert slices.bounds is not None and slices.bounds.where("subject = '/s/hot'").count() == 1
+    columns = ["subject", "id", "type", "prev_type", "next_type", "pos"]
+    whole, cut = in_order(log).df.select(columns), in_order(log, slices).df.select(columns)
+    assert whole.exceptAll(cut).count() == 0 and cut.count() == log.count()
+    indexed = global_index(log.select("id"), "id", small_bytes=0)
+    assert [r["index"] for r in indexed.orderBy("id").collect()] == list(range(log.count()))
