@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from trailweave.catalog.logs import CHAT, DOCS, ORDER, USER, with_logs
+from trailweave.catalog.logs import DOCS, ORDER, USER, with_logs
 from trailweave.functions import predicates as p
 from trailweave.functions.paths import matches_pattern
 from trailweave.operators import counts, space
 from trailweave.operators.discovery import discover
 from trailweave.plans import views
-from trailweave.sources.tables import chat_log, order_docs, order_log, user_log
+from trailweave.sources.tables import order_docs, order_log, user_log
 
 COLUMNS = ["id", "source", "subject", "type", "time"]
 STAGES = [

@@ -5,9 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trailweave.functions.predicates import SpaceFilter, Stage, all_stages
+from trailweave.functions.predicates import SpaceFilter, Stage, all_stages, text_filter
 from trailweave.operators import counts, relations, space
 from trailweave.operators.discovery import Discovery, discover
 from trailweave.operators.variants import variants
@@ -77,7 +76,4 @@ def relations_view(log: DataFrame, scope: Stage | None = None, shared: list[Stag
 def event_list(log: DataFrame, event_type: str = "", subject: str = "", search: str = "") -> DataFrame:
     """Inspector list with an optional text search over what it shows."""
     listed = counts.inspect(log, event_type, subject)
-    if not search:
-        return listed
-    shown = F.lower(F.concat_ws(" ", "subject", "type", "time", "source", "data"))
-    return listed.where(shown.contains(search.lower()))
+    return listed.where(text_filter(search)) if search else listed
