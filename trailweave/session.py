@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def build_session(app: str = "trailweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, AQE and skew-join handling switched on."""
     builder = SparkSession.builder.appName(app)
@@ -29,17 +32,28 @@ def build_session(app: str = "trailweave", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    The folder comes from the session.  Only where the session names none (unit
-    tests on one machine) a scratch folder is used instead.
+    A machine-local scratch folder is made only for a session that runs in one process
+    (``local[n]``); a cluster without the setting gets an error, because its executors
+    would not see each other's files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "folder" not in _SCRATCH:
+        _SCRATCH["folder"] = tempfile.mkdtemp(prefix="trailweave-")
+    return _SCRATCH["folder"]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder (``checkpoint_folder``)."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trailweave-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
