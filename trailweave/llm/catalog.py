@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = [import_module(f"trailweave.llm.{name}") for name in ("exact", "simhash")]
+MODULES = [import_module(f"trailweave.llm.{name}") for name in ("exact", "mixing", "simhash", "tokens")]
 
 
 def all_queries():
