@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = [import_module(f"trailweave.llm.{name}") for name in ("decontaminate", "exact", "language", "mixing", "simhash", "tokens")]
+MODULES = [import_module(f"trailweave.llm.{name}") for name in ("decontaminate", "exact", "language", "mixing", "perplexity", "simhash", "tokens", "toxicity")]
 
 
 def all_queries():
