@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,13 +132,16 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,!?;:")
         if stem and stem != word and stem[-1:].isalnum():
             ids = self[stem] + self[word[len(stem):]]
+        elif word.isalpha():  # plain letters pass the normaliser and the splitter unchanged
+            ids = array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if len(self) < MEMORY:
             self[word] = ids
         return ids
