@@ -16,6 +16,9 @@ from trailweave.session import checkpoint_folder
 #: A word, and the white space between words, as Java patterns.
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
+#: Name of the text column that filters put beside the columns of a table.
+TEXT = "__text__"
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import documents, pieces, table, texts
+from trailweave.llm.common import TEXT, documents, pieces, table, texts
 
 GRAM, WINDOW, THRESHOLD, BLOCK_WORDS = 3, 2, 0.5, 2_000_000
 WORDS = re.compile(r"\w+")
@@ -216,12 +216,12 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", threshold:
     for block in blocks(docs, bench, text_col, window, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for piece in pieces(batches, "_text"):
-                bad = {number for number, _ in block.hits(texts(piece, "_text"), threshold)}
+            for piece in pieces(batches, TEXT):
+                bad = {number for number, _ in block.hits(texts(piece, TEXT), threshold)}
                 kept = piece.filter(pa.array([i not in bad for i in range(piece.num_rows)]))
                 yield kept.select(list(range(kept.num_columns - 1)))
 
-        out = out.select(*docs.columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, docs.schema)
+        out = out.select(*docs.columns, F.col(text_col).cast("string").alias(TEXT)).mapInArrow(run, docs.schema)
     return out
 
 

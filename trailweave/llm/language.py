@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import documents, fold, pieces, stored, table, texts
+from trailweave.llm.common import TEXT, documents, fold, pieces, stored, table, texts
 
 ORDER, DISCOUNT = 4, 0.75
 #: Multiplier of the polynomial hash, and one start value per length.
@@ -300,16 +300,16 @@ def known_language(docs: DataFrame, folds: int = 4, held: int = 2, **options) ->
     model = train(docs, fold("doc_id", folds) != held, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, TEXT):
             if not model.names:
                 continue
-            h, n = model.entropies(texts(piece, "_text"))
+            h, n = model.entropies(texts(piece, TEXT))
             best = h.argmin(1)
             fine = h.min(1) <= model.limit[best] + 4 * model.spread[best] / np.sqrt(np.maximum(n, 1))
             kept = piece.filter(pa.array(fine & (n > 0)))
             yield kept.select([i for i in range(kept.num_columns - 1)])
 
-    rows = docs.select(*docs.columns, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*docs.columns, F.col("text").cast("string").alias(TEXT))
     return rows.mapInArrow(run, docs.schema)
 
 
