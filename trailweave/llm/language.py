@@ -239,7 +239,7 @@ def calibrate(model: Languages, taken: DataFrame) -> None:
         own, size = h[(lang == i) & (n > 0), i], n[(lang == i) & (n > 0)]
         if len(own):
             model.mean[i] = np.median(own)
-            model.spread[i] = np.sqrt(np.mean((own - model.mean[i]) ** 2 * size))
+            model.spread[i] = 1.4826 * np.median(np.abs(own - model.mean[i]) * np.sqrt(size))
             extra = own - 4 * model.spread[i] / np.sqrt(size)
             model.limit[i] = max(np.quantile(extra, 0.999), model.mean[i]) + SLACK
         else:

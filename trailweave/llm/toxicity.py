@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     words = rows.mapInArrow(count, "word string, toxic bigint, clean bigint").groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     best = words.withColumn("g", 2 * (part(a, F.lit(max(n_bad, 1))) + part(b, F.lit(max(n_good, 1))))).where(
-        (F.col("g") >= EVIDENCE) & (a / max(n_bad, 1) > 5 * b / max(n_good, 1))).orderBy(F.desc("g"), "word").limit(terms).toArrow()
+        (F.col("g") >= EVIDENCE) & (a / max(n_bad, 1) > 2 * b / max(n_good, 1))).orderBy(F.desc("g"), "word").limit(terms).toArrow()
     model = Toxicity(best.column("word").to_pylist(), log_odds(
         best.column("toxic").to_numpy().astype(float), best.column("clean").to_numpy().astype(float), n_bad, n_good))
 
