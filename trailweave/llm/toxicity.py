@@ -28,7 +28,9 @@ from trailweave.llm.simhash import fingerprint
 SAMPLE, TERMS = 20_000, 2_000
 #: Least evidence for a term (G squared), letters from which one edit is allowed, words on each side of a window.
 EVIDENCE, EDIT_FROM, SIDE = 20.0, 5, 5
-FEATURES = 9
+FEATURES = 7
+#: Share of a term's weight that a misspelling has which the sample does not hold.
+MISSPELT = 0.8
 TOKEN = re.compile(r"[^\W\d_]+")
 MARKED = re.compile(r"[^\W\d_]+|[\"“”„«»‹›‘’]")
 
@@ -162,12 +164,12 @@ class Toxicity:
                 weight = self.edited[term] if edits else self.exact[term]
                 if weight <= 0:
                     continue
-                kind = 2 if quoted else 1 if edits else 0
+                kind = int(quoted)
                 row[kind] = max(row[kind], weight)
-                row[3 + kind] += weight
-                row[6 + kind] += 1
-                row[8] = row[8] + near if kind != 2 else row[8]
-        out[:, 3:] = np.log1p(out[:, 3:])
+                row[2 + kind] += weight
+                row[4 + kind] += weight / self.exact[term]  # a misspelling is part of a hit
+                row[6] += 0 if quoted else near
+        out[:, 2:] = np.log1p(out[:, 2:])
         return out
 
     def scores(self, docs: list[str]) -> np.ndarray:
@@ -246,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
             counts[int(label), term] += 1
     odds = log_odds(counts[1], counts[0], n_bad, n_good)
     # A misspelling counts as its term unless clean documents are full of it.
-    model.edited = np.where(counts.sum(0) == 0, 0.5 * model.exact, np.minimum(odds, model.exact)) if len(model.terms) else odds
+    model.edited = np.where(counts.sum(0) == 0, MISSPELT * model.exact, np.minimum(odds, model.exact)) if len(model.terms) else odds
     x = model.features(hits)
     model.center, model.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     importance = np.where(toxic == 1, sizes.get(1, 0) / max(n_bad, 1), sizes.get(0, 0) / max(n_good, 1))
