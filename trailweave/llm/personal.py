@@ -238,7 +238,7 @@ def windows(docs: list[str], most: int = 24) -> Iterator[tuple[np.ndarray, np.nd
     for low, high in zip(starts, np.r_[starts[1:], len(labels)]):
         for at in range(low, high, most):
             to = min(at + most, high)
-            yield index[at:to], labels[at:to], bool(marked[at:to].any())
+            yield index[at:to].astype(np.int32), labels[at:to].copy(), bool(marked[at:to].any())  # views would keep all
 
 
 def fit(docs: list[str], rounds: int = 120, rate: float = 0.4, ridge: float = 1e-5, rich: int = 1200, plain: int = 300) -> Field:
