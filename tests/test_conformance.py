@@ -115,7 +115,7 @@ def test_blocks_compose(spark, make_log, monkeypatch, seed):
     made = {f"/s/{i}": " ".join(rng.choice("aabbccd") for _ in range(rng.randint(1, 40))) for i in range(60)}
     log = make_log(made)
     want = {s: brute(model, t.split()) for s, t in made.items()}
-    for slices in (None, find_slices(log, rows_per_slice=7, small_bytes=0)):
+    for slices in (None, find_slices(log, rows_per_slice=7)):
         got = {r["subject"]: (r["ok"], r["fail_ix"]) for r in m.check_log(log, m.machine_of(spark, model), slices).collect()}
         assert got == want
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trailweave.operators import variants as v
 from trailweave.operators.discovery import discover
 from trailweave.session import small_table
-from trailweave.operators.ordering import find_slices, global_index, in_order, sequences
+from trailweave.operators.ordering import find_slices, global_index, in_order, numbered, sequences
 
 
 def edges(found):
@@ -84,7 +84,7 @@ def noisy(make_log, seed=5, subjects=40, longest=60):
 
 def test_cut_subjects_give_the_same_answer(make_log):
     log = noisy(make_log)
-    slices = find_slices(log, rows_per_slice=25, small_bytes=0)
+    slices = find_slices(log, rows_per_slice=25)
     assert slices.bounds.agg(F.max(F.size("_bounds"))).first()[0] > 10
     columns = ["subject", "id", "type", "prev_type", "next_type", "pos"]
     whole, cut = in_order(log).df.select(columns), in_order(log, slices).df.select(columns)
@@ -130,7 +130,8 @@ def test_long_sequences_sort_like_their_text(make_log, monkeypatch):
 def test_variant_steps_cover_long_variants(make_log, monkeypatch):
     monkeypatch.setattr(v, "HEAD", 4)
     found = discover(make_log({"/a": "s " + "x y " * 6 + "e", "/b": "s " + "x y " * 6 + "e", "/c": "s e"}))
-    assert v.variants(found, 1).first()["sequence"] is None
+    rows = v.variants(found, 1).orderBy("block").collect()
+    assert " ".join(r["sequence"] for r in rows) == "s " + "x " * 6 + "y " * 6 + "e" and [r["block"] for r in rows] == [0, 1, 2, 3]
     steps = v.variant_steps(found, 1).agg(F.sum("n")).first()[0]
     assert steps == 14
 
@@ -141,14 +142,28 @@ def test_sequences_in_blocks(make_log):
     assert [r["types"] for r in blocks] == [["a", "b"], ["c", "d"], ["e"]]
 
 
-def test_global_index_by_ranges(spark, monkeypatch):
-    from trailweave.operators import ordering
+def test_a_variant_of_5000_steps_is_whole(make_log):
+    text = " ".join(random.Random(8).choice("pqrs") for _ in range(5000))
+    rows = v.variants(discover(make_log({"/a": text, "/b": text}), start_types=(), end_types=())).orderBy("block").collect()
+    assert {(r["rank"], r["length"], r["count"]) for r in rows} == {(1, 5000, 2)} and len(rows) == 5
+    steps = " ".join(r["sequence"] for r in rows).split()
+    assert sorted(steps) == sorted(text.split())
+
+
+def test_numbered(spark):
+    names = [f"{n:03d}" for n in random.Random(2).sample(range(999), 300)]
+    df = small_table(spark, [(n, int(n) % 7) for n in names], "name string, k int")
+    got = numbered(df, [F.desc("k"), F.col("name")], "place").collect()
+    assert [(r["k"], r["name"]) for r in sorted(got, key=lambda r: r["place"])] == sorted(
+        ((int(n) % 7, n) for n in names), key=lambda r: (-r[0], r[1]))
+    assert sorted(r["place"] for r in got) == list(range(1, 301))
 
-    monkeypatch.setattr(ordering, "RANGES", 7)
+
+def test_global_index_by_ranges(spark):
     ids = [f"{n:05d}" for n in random.Random(1).sample(range(99999), 500)]
     df = small_table(spark, [(i,) for i in ids], "id string")
-    for limit in (0, 1 << 30):
-        got = {r["id"]: r["index"] for r in global_index(df, "id", small_bytes=limit).collect()}
+    for rows in (1, 70, 1 << 30):
+        got = {r["id"]: r["index"] for r in global_index(df, "id", rows_per_range=rows).collect()}
         assert got == {i: n for n, i in enumerate(sorted(ids))}
 
 
@@ -157,14 +172,24 @@ def test_cuts_from_a_small_sample(make_log, monkeypatch):
     from trailweave.operators import ordering
 
     log = noisy(make_log, seed=12)
-    monkeypatch.setattr(ordering, "SAMPLE_ROWS", 300)
     monkeypatch.setattr(ordering, "SAMPLED_ROWS_PER_SLICE", 3)
-    monkeypatch.setattr(ordering, "BYTES_PER_ROW", 4)
-    monkeypatch.setattr(ordering, "RANGES", 9)
-    slices = find_slices(log, rows_per_slice=10, small_bytes=0)
+    slices = find_slices(log, rows_per_slice=10)
     assert slices.bounds is not None and slices.bounds.where("subject = '/s/hot'").count() == 1
     columns = ["subject", "id", "type", "prev_type", "next_type", "pos"]
     whole, cut = in_order(log).df.select(columns), in_order(log, slices).df.select(columns)
     assert whole.exceptAll(cut).count() == 0 and cut.count() == log.count()
-    indexed = global_index(log.select("id"), "id", small_bytes=0)
-    assert [r["index"] for r in indexed.orderBy("id").collect()] == list(range(log.count()))
+
+
+def test_cut_logs_are_read_and_shuffled_once(spark, make_log, tmp_path):
+    """Windows, seams and running sums of a cut log share one exchange of the log."""
+    path = str(tmp_path / "log")
+    noisy(make_log).write.parquet(path)
+    log = spark.read.parquet(path)
+    found = discover(log, slices=find_slices(log, rows_per_slice=25))
+    found.group_of
+    runs = v.split_runs(found)
+    runs.write.format("noop").mode("overwrite").save()
+    runs.collect()
+    plan = runs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") <= 2, plan
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan.splitlines()) <= 2, plan

@@ -30,7 +30,7 @@ QUERIES = {
     "concurrent_groups": lambda s, d: _order(s, d).concurrent_groups,
     "canonicalise": lambda s, d: v.canonicalise(_order(s, d)),
     "variants": lambda s, d: v.variants(_order(s, d), 8),
-    "variants_all": lambda s, d: v.variants(discover(chat_log(s, d))).drop("rank"),
+    "variants_all": lambda s, d: v.variants(discover(chat_log(s, d))),
     "variant_steps": lambda s, d: v.variant_steps(_order(s, d), 8),
     "variant_share": lambda s, d: share_of(
         v.variants(_order(s, d)).select("sequence", "count"), _order(s, d).totals),
@@ -101,8 +101,8 @@ ORACLE = {
     "concurrent_pairs": _G + "SELECT a, b, fwd, rev FROM par",
     "concurrent_groups": _G + "SELECT string_agg(type, ',' ORDER BY type) AS members, count(*) AS size FROM grp GROUP BY grp",
     "canonicalise": _G + "SELECT subject, run, step, type FROM canon",
-    "variants": _G + "SELECT rank, length, count, pct, sequence FROM vars WHERE rank <= 8",
-    "variants_all": graph(CHAT, "chat_log") + "SELECT length, count, pct, sequence FROM vars",
+    "variants": _G + "SELECT rank, length, count, pct, 0::BIGINT AS block, sequence FROM vars WHERE rank <= 8",
+    "variants_all": graph(CHAT, "chat_log") + "SELECT rank, length, count, pct, 0::BIGINT AS block, sequence FROM vars",
     "variant_steps": _G
     + """, top AS (SELECT rank, unnest(string_split(sequence, ' ')) AS type,
             generate_subscripts(string_split(sequence, ' '), 1) AS i FROM vars WHERE rank <= 8)

@@ -237,10 +237,9 @@ def fold_log(
         "subject", "block", "types", "length", "first_id", *counted,
         _walk(F.col("events"), entries, with_edges, False).alias("outs"),
     )
-    # Put blocks together: once over everything for small inputs, in three levels
-    # otherwise, so that no row ever gathers more than BLOCK block summaries.
-    widths = [None] if slices.small else [BLOCK, BLOCK, None]
-    for width in widths:
+    # Put blocks together in two levels, so that no row gathers more than BLOCK block
+    # summaries until a subject has BLOCK ** 3 events.
+    for width in (BLOCK, None):
         group = F.lit(0).cast("bigint") if width is None else F.floor(F.col("block") / width).cast("bigint")
         gathered = (
             folded.withColumn("grp", group)

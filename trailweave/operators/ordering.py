@@ -11,49 +11,27 @@ points give the same answer.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.session import small_table
+from trailweave.session import cut_lineage, small_table
 
-# Logs below this input size are not sampled: no subject in them is worth cutting.
-SMALL_INPUT_BYTES = 64 << 20
-# Sizes from here on stand for "not known" in the optimizer's statistics.
-UNKNOWN_BYTES = 1 << 55
-# Aim of the sample, in bytes of input per sampled row and in rows per slice.
-BYTES_PER_ROW = 32
-SAMPLE_ROWS = 2_000_000
-SAMPLED_ROWS_PER_SLICE = 32
+# Rows of one slice or key range, and sampled rows that choose the end of one.
 ROWS_PER_SLICE = 2_000_000
-# Key ranges used to number the rows of a large table.
-RANGES = 2000
-# Strides of the binary search; enough for SAMPLE_ROWS / SAMPLED_ROWS_PER_SLICE cut points.
-SEARCH_STEPS = [1 << n for n in range(16, -1, -1)]
-
-
-def input_bytes(df: DataFrame) -> float:
-    """Size of everything the plan reads, as the optimizer knows it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
-
-
-def known_bytes(df: DataFrame) -> float:
-    """``input_bytes``, or a row count times a row size where the optimizer has no idea."""
-    size = input_bytes(df)
-    return size if size < UNKNOWN_BYTES else float(df.count() * BYTES_PER_ROW)
+SAMPLED_ROWS_PER_SLICE = 32
 
 
-def search(points: Column, key: Column) -> Column:
-    """How many entries of a sorted array are at or below ``key`` (binary search)."""
+def search(points: Column, key: Column, longest: int) -> Column:
+    """How many entries of a sorted array of at most ``longest`` are at or below ``key`` (binary search)."""
+    steps = [1 << n for n in range(longest.bit_length() - 1, -1, -1)]
 
     def probe(low: Column, step: Column) -> Column:
         ahead = low + step
         return F.when((ahead <= F.size(points)) & (F.get(points, ahead - 1) <= key), ahead).otherwise(low)
 
-    return F.aggregate(F.array(*[F.lit(n) for n in SEARCH_STEPS]), F.lit(0), probe)
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), probe) if steps else F.lit(0)
 
 
 def which_range(key: Column, lows: list) -> Column:
@@ -73,28 +51,30 @@ def which_range(key: Column, lows: list) -> Column:
 
 @dataclass(frozen=True)
 class Slices:
-    """Cut points of large subjects; ``bounds`` is None when nothing needs cutting."""
+    """Cut points of large subjects (``longest`` at most); ``bounds`` is None when no subject needs cutting."""
 
     bounds: DataFrame | None = None
-    small: bool = False
+    longest: int = 0
 
 
-def global_index(df: DataFrame, order: str, name: str = "index", small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+def global_index(df: DataFrame, order: str, name: str = "index", rows_per_range: int = ROWS_PER_SLICE) -> DataFrame:
     """0-based position of every row in the order of a unique column.
 
-    Small inputs use one window.  Larger ones are cut into key ranges by sampled
-    bounds, numbered inside each range and shifted by the sizes of the ranges before.
+    The rows are cut into key ranges by sampled bounds, numbered inside each range and
+    shifted by the sizes of the ranges before.  How many ranges follows from the row
+    count; a table of one range has no bounds.
     """
-    size = known_bytes(df)
-    if size <= small_bytes:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
-    fraction = min(1.0, SAMPLE_ROWS * BYTES_PER_ROW / size)
-    sampled = df.select(order).sample(fraction=fraction, seed=11) if fraction < 1.0 else df.select(order)
-    tile = F.ntile(RANGES).over(Window.orderBy(order))
-    cuts = sampled.withColumn("tile", tile).groupBy("tile").agg(F.min(order).alias("low"))
-    points = sorted(row["low"] for row in cuts.where("tile > 1").collect())  # at most RANGES entries
+    rows = df.count()
+    ranges = max(1, round(rows / rows_per_range))
+    points: list = []
+    if ranges > 1:
+        share = min(1.0, ranges * SAMPLED_ROWS_PER_SLICE / rows)
+        tile = F.ntile(ranges).over(Window.orderBy(order))  # over the sample
+        cuts = df.select(order).sample(fraction=share, seed=11).withColumn("tile", tile).groupBy("tile").agg(F.min(order).alias("low"))
+        points = sorted(row["low"] for row in cuts.where("tile > 1").collect())  # one per range
     lookup = small_table(df.sparkSession, [(points,)], f"_points array<{dict(df.dtypes)[order]}>")
-    ranged = df.crossJoin(F.broadcast(lookup)).select(*df.columns, search(F.col("_points"), F.col(order)).alias("_range"))
+    ranged = df.crossJoin(F.broadcast(lookup)).select(
+        *df.columns, search(F.col("_points"), F.col(order), len(points)).alias("_range"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # one row per range
     shift = shift.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
@@ -103,29 +83,46 @@ def global_index(df: DataFrame, order: str, name: str = "index", small_bytes: in
     return numbered.select(*df.columns, (F.col("_place") + F.col("_shift")).cast("bigint").alias(name))
 
 
-def find_slices(
-    log: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, small_bytes: int = SMALL_INPUT_BYTES
-) -> Slices:
-    """Sample (subject, id) once and choose cut points for subjects that need them."""
-    size = known_bytes(log)
-    if size <= small_bytes:
-        return Slices(small=True)
-    fraction = min(1.0, SAMPLE_ROWS * BYTES_PER_ROW / size)
-    every = max(SAMPLED_ROWS_PER_SLICE, math.ceil(rows_per_slice * fraction)) if fraction < 1.0 else rows_per_slice
-    sampled = log.select("subject", "id")
-    if fraction < 1.0:
-        sampled = sampled.sample(fraction=fraction, seed=11)
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """1-based place of every row of a table in a sort order, however long the table is.
+
+    Range partitions are sorted and kept; places inside a partition are shifted by the
+    sizes of the partitions before.
+    """
+    kept = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    shift = shift.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return kept.withColumn("_place", place).join(F.broadcast(shift), "_part").select(
+        *df.columns, (F.col("_place") + F.col("_shift")).cast("bigint").alias(name))
+
+
+def find_slices(log: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Slices:
+    """Choose cut points for the subjects with more than one slice of events.
+
+    One pass counts events per subject (reduced on the map side); only ids of subjects
+    that need cutting are sampled, about ``SAMPLED_ROWS_PER_SLICE`` per slice.
+    """
+    counts = log.groupBy("subject").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2 * rows_per_slice)
+    heavy = counts.collect()  # at most half as many as the log has slices
+    if not heavy:
+        return Slices()
+    large = small_table(log.sparkSession, [tuple(r) for r in heavy], "subject string, _n bigint")
+    wanted = F.col("_n") / rows_per_slice * SAMPLED_ROWS_PER_SLICE
+    sampled = log.select("subject", "id").join(F.broadcast(large), "subject").where(F.rand(11) < wanted / F.col("_n"))
     place = F.row_number().over(Window.partitionBy("subject").orderBy("id"))
+    every = max(1, min(SAMPLED_ROWS_PER_SLICE, rows_per_slice))
     cuts = (
         sampled.withColumn("place", place)
         .where(F.col("place") % every == 0)
         .groupBy("subject")
         .agg(F.sort_array(F.collect_set("id")).alias("_bounds"))
     )
-    rows = cuts.collect()  # bounded by the sample size over `every`
+    rows = cuts.collect()  # one id per slice
     if not rows:
         return Slices()
-    return Slices(bounds=small_table(log.sparkSession, rows, "subject string, _bounds array<string>"))
+    return Slices(small_table(log.sparkSession, rows, "subject string, _bounds array<string>"), max(len(r[1]) for r in rows))
 
 
 @dataclass(frozen=True)
@@ -143,9 +140,13 @@ class Ordered:
         return Window.partitionBy(*self.keys).orderBy("id")
 
     def _seams(self, *summary: Column) -> DataFrame:
-        """Summary rows of the slices of cut subjects: small, one row per slice."""
-        cut = self.df.where("sliced")
-        return cut.groupBy("subject", "slice").agg(*summary)
+        """Summary rows of the slices of cut subjects: small, one row per slice.
+
+        Rows are told apart after grouping, so that the summary is made from the same
+        exchange as the windows and the log is neither read nor shuffled again.
+        """
+        sums = self.df.groupBy("subject", "slice").agg(F.max("sliced").alias("_cut"), *summary)
+        return sums.where("_cut").drop("_cut")
 
     def running(self, fold=F.sum, **values: Column) -> "Ordered":
         """Running sum (or running ``F.max``) per subject, current event included."""
@@ -181,9 +182,9 @@ def in_order(log: DataFrame, slices: Slices | None = None, extra: tuple[str, ...
         return Ordered(df, slices)
     cut = base.join(F.broadcast(slices.bounds), "subject", "left").select(
         *base.columns,
-        F.when(F.col("_bounds").isNull(), 0).otherwise(search(F.col("_bounds"), F.col("id"))).alias("slice"),
+        F.when(F.col("_bounds").isNull(), 0).otherwise(search(F.col("_bounds"), F.col("id"), slices.longest)).alias("slice"),
         F.col("_bounds").isNotNull().alias("sliced"),
-    )
+    ).repartition("subject", "slice")
     w = Window.partitionBy("subject", "slice").orderBy("id")
     local = cut.select(
         "*", F.lag("type").over(w).alias("prev_type"), F.lead("type").over(w).alias("next_type"),

@@ -12,7 +12,7 @@ from trailweave.functions.paths import common_path_prefix
 from trailweave.functions.predicates import id_from, id_to, subject_prefix, subject_range
 from trailweave.functions.text import band_label, log_intensity, normalise_x, rfc3339, variant_label
 from trailweave.operators.ordering import Slices, find_slices, global_index, which_range
-from trailweave.operators.variants import subject_signatures, tally, tie_breakers
+from trailweave.operators.variants import most_common, subject_signatures, tally, tie_breakers, with_heads
 from trailweave.session import cut_lineage
 
 # Budgets of the automatic choice and sizes of the views.
@@ -116,9 +116,10 @@ def variant_bands(log: DataFrame, max_rows: int = MAX_ROWS, slices: Slices | Non
     signed = cut_lineage(signed)
     deepest = signed.agg(F.max("length")).first()[0] or 0
     ident = ["h1", "h2", "length"]
-    counted, keys = tie_breakers(tally(signed), pieces, deepest, "\u0000", ["count"])
+    counted = cut_lineage(tally(signed))
     total = counted.count()
     kept = max_rows - 1 if total > max_rows else max_rows
+    counted, keys = tie_breakers(with_heads(most_common(counted, kept), pieces), pieces, deepest, "\u0000", ["count"])
     order = [F.desc("count"), *keys, "h1", "h2"]
     top = counted.orderBy(*order).limit(kept).withColumn(
         "band", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint")

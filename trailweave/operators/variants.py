@@ -3,9 +3,9 @@
 A sequence is identified by a fingerprint that can be aggregated in any order: the
 XOR of hashes of its (position, type) pieces, twice with different salts, plus its
 length.  So variants are counted with ordinary partial aggregation and no sequence
-has to fit into one row.  For sorting and labels each sequence also carries the text
-of its first ``HEAD`` steps; sequences that agree up to there are told apart by the
-text of later steps, block by block.
+has to fit into one row.  Two 64-bit digests and the length decide equality.  Text is made for
+one example run of each distinct sequence only: its first ``HEAD`` steps for sorting;
+sequences that agree up to there are told apart by later steps, block by block.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.text import pct
 from trailweave.operators.discovery import Discovery
-from trailweave.operators.ordering import Ordered, Slices, in_order
+from trailweave.operators.ordering import Ordered, Slices, in_order, numbered
 from trailweave.session import checked_broadcast, cut_lineage
 
 HEAD = 1000
@@ -112,11 +112,9 @@ def canonicalise(found: Discovery) -> DataFrame:
 
 
 def signatures(pieces: DataFrame) -> DataFrame:
-    """One row per (subject, run): fingerprint, length, first id, head steps."""
+    """One row per (subject, run): fingerprint, length, first id."""
     return pieces.groupBy("subject", "run").agg(
-        *_fingerprint(), F.sum("n").alias("length"), F.min("id").alias("first_id"),
-        _steps_between(0, HEAD).alias("head"), F.max_by("type", "start").alias("last_type"),
-    )
+        *_fingerprint(), F.sum("n").alias("length"), F.min("id").alias("first_id"))
 
 
 def tally(signed: DataFrame) -> DataFrame:
@@ -124,11 +122,25 @@ def tally(signed: DataFrame) -> DataFrame:
     return signed.groupBy("h1", "h2", "length").agg(
         F.count(F.lit(1)).alias("count"),
         F.min(F.struct("subject", "run")).alias("example"),
-        F.any_value("head").alias("head"),
-        F.any_value("last_type").alias("last_type"),
     )
 
 
+def with_heads(counted: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Adds the first ``HEAD`` steps and the last type, taken from the example run."""
+    wanted = checked_broadcast(counted.select("h1", "h2", "length", "example.*"))
+    heads = pieces.join(wanted, ["subject", "run"]).groupBy("h1", "h2", "length").agg(
+        _steps_between(0, HEAD).alias("head"), F.max_by("type", "start").alias("last_type"))
+    return counted.join(heads, ["h1", "h2", "length"])
+
+
+def most_common(counted: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent sequences and all that tie with the last of them; all if ``n`` is 0."""
+    if n <= 0:
+        return counted
+    least = counted.orderBy(F.desc("count")).limit(n).agg(F.coalesce(F.min("count"), F.lit(0)).alias("_least"))
+    return counted.crossJoin(F.broadcast(least)).where("count >= _least").drop("_least")  # one row
+
+
 def tie_breakers(
     counted: DataFrame, pieces: DataFrame, deepest: int, joiner: str, by: list[str]
 ) -> tuple[DataFrame, list[str]]:
@@ -163,36 +175,46 @@ def tie_breakers(
 
 
 def variants(found: Discovery, max_n: int = 0) -> DataFrame:
-    """Canonical run sequences by frequency, then by text.
+    """Canonical run sequences by frequency, then by text: rank, length, count, pct, block, sequence.
 
-    ``sequence`` holds the whole text of sequences up to ``HEAD`` steps and is NULL
-    for longer ones, whose steps ``variant_steps`` lists.
+    Every step is returned: a sequence has one row per ``HEAD`` steps, numbered by
+    ``block`` from 0, so ordinary sequences have one row.
     """
-    return _ranked(found, max_n).select("rank", "length", "count", "pct", "sequence")
-
-
-def _ranked(found: Discovery, max_n: int) -> DataFrame:
+    pieces, ranked = _ranked(found, max_n)
+    top = ranked.select("rank", "example.subject", "example.run")
+    last = F.floor((F.col("start") + F.col("n") - 1) / HEAD)
+    spread = pieces.join(checked_broadcast(top), ["subject", "run"]).select(
+        "rank", "start", "type", "n", F.explode(F.sequence(F.floor(F.col("start") / HEAD), last)).alias("block"))
+    begin = F.greatest(F.col("start"), F.col("block") * HEAD)
+    times = F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * HEAD) - begin
+    ordered = F.array_sort(F.collect_list(F.struct(begin.alias("at"), "type", times.cast("int").alias("times"))))
+    steps = F.flatten(F.transform(ordered, lambda p: F.array_repeat(p["type"], p["times"])))
+    texts = spread.groupBy("rank", "block").agg(F.array_join(steps, " ").alias("sequence"))
+    return ranked.drop("example").join(texts, "rank").select("rank", "length", "count", "pct", "block", "sequence")
+
+
+def _ranked(found: Discovery, max_n: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of all runs, and the ranked sequences with an example run each."""
     pieces = run_pieces(found)
-    counted, keys = tie_breakers(tally(signatures(pieces)), pieces, found.deepest, " ", ["count"])
-    order = [F.desc("count"), *keys, "h1", "h2"]
-    top = counted.orderBy(*order).limit(max_n) if max_n > 0 else counted
-    ranked = (
-        top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-        if max_n > 0
-        else top.withColumn("rank", F.lit(None).cast("bigint")).orderBy(*order)
-    )
-    return ranked.crossJoin(found.totals.select("traces")).select(
-        "rank", "length", "count", pct(F.col("count"), F.col("traces")).alias("pct"),
-        F.when(F.col("length") <= HEAD, F.array_join("head", " ")).alias("sequence"), "example",
-    )
+    counted = most_common(cut_lineage(tally(signatures(pieces))), max_n)
+    named, keys = tie_breakers(with_heads(counted, pieces), pieces, found.deepest, " ", ["count"])
+    order = [F.desc("count"), *map(F.col, keys), F.col("h1"), F.col("h2")]
+    if max_n > 0:
+        top = named.orderBy(*order).limit(max_n)
+        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    else:
+        ranked = numbered(named, order, "rank")
+    return pieces, cut_lineage(ranked.crossJoin(F.broadcast(found.totals.select("traces"))).select(
+        "rank", "length", "count", pct(F.col("count"), F.col("traces")).alias("pct"), "example"))
 
 
 def variant_steps(found: Discovery, max_n: int) -> DataFrame:
     """Steps of the top variants as rows (rank, start, type, n), whatever their length."""
     if max_n < 1:
         raise ValueError("variant_steps lists the steps of a number of top variants")
-    top = _ranked(found, max_n).select("rank", "example.subject", "example.run")  # max_n rows
-    return run_pieces(found).join(F.broadcast(top), ["subject", "run"]).select("rank", "start", "type", "n")
+    pieces, ranked = _ranked(found, max_n)
+    top = ranked.select("rank", "example.subject", "example.run")  # max_n rows
+    return pieces.join(F.broadcast(top), ["subject", "run"]).select("rank", "start", "type", "n")
 
 
 def subject_signatures(log: DataFrame, slices: Slices | None = None) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +235,7 @@ def walk_order(log: DataFrame, mode: str = "chrono", slices: Slices | None = Non
     keys: list[str] = []
     if mode == "variant":
         deepest = deepest or signed.agg(F.max("length")).first()[0] or 0
-        counted, keys = tie_breakers(counted, pieces, deepest, " → ", ["count"])
+        counted, keys = tie_breakers(with_heads(cut_lineage(counted), pieces), pieces, deepest, " → ", ["count"])
     mates = counted.select("h1", "h2", "length", F.col("count").alias("population"), *keys)
     order = {
         "chrono": ["first_id"],
