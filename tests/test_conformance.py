@@ -20,9 +20,9 @@ STARTS = m.Model(
     (m.Edge("1", "other", "s1", "mid"), m.Edge("2", "go", "s2", "mid"), m.Edge("3", "done", "mid", "fin")),
 )
 ONCE = m.Model(
-    "once", (m.Node("none", start=True), m.Node("active")),
-    (m.Edge("1", "new.v2", "none", "active", "once"), m.Edge("2", "new.v2", "active", "active", "once"),
-     m.Edge("3", "profile-updated", "active", "active", "many"), m.Edge("4", "email-verified", "active", "active", "once")),
+    "kiln", (m.Node("cold", start=True), m.Node("hot")),
+    (m.Edge("k1", "lit", "cold", "hot", "once"), m.Edge("k2", "lit", "hot", "hot", "once"),
+     m.Edge("k3", "stoked", "hot", "hot", "many"), m.Edge("k4", "glazed", "hot", "hot", "once")),
 )
 EMPTY = m.Model("empty")
 NO_START = m.Model("nostart", (m.Node("a"),), (m.Edge("1", "x", "a", "a"),))
@@ -32,8 +32,8 @@ CASES = [
     (ORDER, "created paid shipped", True, -1), (ORDER, "created cancelled", True, -1), (ORDER, "", True, -1),
     (ORDER, "shipped", False, 0), (ORDER, "created shipped", False, 1), (ORDER, "created paid", False, 2),
     (STARTS, "go done", True, -1), (STARTS, "nope", False, 0), (STARTS, "go nope", False, 1),
-    (ONCE, "new.v2 profile-updated profile-updated", True, -1), (ONCE, "new.v2 new.v2", False, 1),
-    (ONCE, "new.v2 email-verified email-verified", False, 2), (EMPTY, "x", False, -1), (NO_START, "x", False, 0),
+    (ONCE, "lit stoked stoked stoked", True, -1), (ONCE, "lit lit", False, 1),
+    (ONCE, "lit glazed glazed", False, 2), (EMPTY, "x", False, -1), (NO_START, "x", False, 0),
     (OFF_LIST, "x y x", True, -1), (OFF_LIST, "x x", False, 1),
 ]
 
@@ -61,7 +61,7 @@ def test_reasons(judged):
     assert judged[0]["path"] == ["new", "placed", "paid", "shipped"]
     assert judged[3]["reason"] == 'no transition from state "new" via event type "shipped"'
     assert judged[5]["reason"] == 'sequence ends in non-terminal state "paid"'
-    assert judged[10]["reason"] == 'event type "new.v2" may occur at most once per subject'
+    assert judged[10]["reason"] == 'event type "lit" may occur at most once per subject'
     assert judged[13]["reason"] == "model has no start state"
 
 

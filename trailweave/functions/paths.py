@@ -10,7 +10,8 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 REFERENCE_FIELD = r"^(?!id\z)([^\n]+?)(ids|id|refs|ref)\z"
 ID_SEGMENT = "{id}"
 
-# Numbers, long hex, UUIDs, long alphanumerics with a digit, prefixed ids such as EMP-30000.
+# Digits only; 16 or more hex digits; a UUID; 12 or more letters and digits with a digit
+# among them; 4 or more of letters, digits, dashes and underscores with a digit and a dash or underscore.
 _ID = (
     r"^(?:[0-9]+|[0-9A-Fa-f]{16,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|(?=[^0-9]*+[0-9])(?:[0-9A-Za-z]{12,}|(?=[^_-]*+[_-])[0-9A-Za-z_-]{4,}))\z"
@@ -18,7 +19,7 @@ _ID = (
 
 
 def is_id(segment: Column) -> Column:
-    """Does a path segment look like an instance id rather than a name?"""
+    """Whether a path segment has the shape of a generated key."""
     return F.coalesce(segment.rlike(_ID), F.lit(False))
 
 
@@ -82,9 +83,10 @@ def subject_scope(lane: Column, process: Column) -> Column:
 
 
 def style_prefix(style: Column) -> Column:
-    """Static start of a subject style such as ``/orders/{id}``."""
-    head = F.substring_index(F.regexp_replace(style, r"^\s+|\s+\z", ""), "{", 1)
-    return F.regexp_replace(head, r"/+\z", "")
+    """Static start of a subject style such as ``/orders/{id}``, cut back to whole segments."""
+    text = F.regexp_replace(style, r"^\s+|\s+\z", "")
+    head = F.regexp_replace(F.substring_index(text, "{", 1), r"[^/]*\z", "")
+    return F.regexp_replace(F.when(F.contains(text, F.lit("{")), head).otherwise(text), r"/+\z", "")
 
 
 def first_segment(subject: Column) -> Column:

@@ -9,12 +9,20 @@ from trailweave.functions.paths import UUID
 
 # Accepted text shapes.
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z"
+_ZONED = r"^([^Z+]{11}[^Z+-]*)(Z|([+-])([0-9]{2}):([0-9]{2}))\z"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 
 
 def rfc3339(text: Column) -> Column:
-    """Timestamp of a strict RFC 3339 text, otherwise NULL."""
-    return F.when(text.rlike(RFC3339), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
+    """Timestamp of a strict RFC 3339 text, otherwise NULL.
+
+    The local part is read as UTC and the offset taken off it, since Spark knows zones up
+    to 18 hours only.
+    """
+    local = F.try_to_timestamp(F.concat(F.replace(F.regexp_extract(text, _ZONED, 1), F.lit(","), F.lit(".")), F.lit("Z")))
+    minutes = F.regexp_extract(text, _ZONED, 4).try_cast("int") * 60 + F.regexp_extract(text, _ZONED, 5).try_cast("int")
+    offset = F.coalesce(minutes, F.lit(0)) * F.when(F.regexp_extract(text, _ZONED, 3) == "-", -1).otherwise(1)
+    return F.when(text.rlike(RFC3339), local - F.make_dt_interval(mins=offset))
 
 
 def is_uuid(text: Column) -> Column:

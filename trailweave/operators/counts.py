@@ -95,8 +95,7 @@ def inspect(log: DataFrame, event_type: str = "", subject: str = "", cap: int =
         raise ValueError("an event type or a subject is needed")
     chosen = subject_prefix(subject) if subject else F.col("type") == event_type
     listed = log.where(chosen).orderBy("id").limit(cap)
-    size = listed.agg((F.count(F.lit(1)) >= cap).alias("capped"))
-    return listed.crossJoin(F.broadcast(size))
+    return listed.withColumn("capped", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) >= cap)  # cap rows
 
 
 def scoped_or_all(log: DataFrame, prefix: str) -> DataFrame:
@@ -104,13 +103,7 @@ def scoped_or_all(log: DataFrame, prefix: str) -> DataFrame:
     inside = subject_prefix(prefix)
     if not prefix.strip("/"):
         return log
-    found = log.where(inside).limit(1).agg((F.count(F.lit(1)) > 0).alias("_any"))
-    return log.crossJoin(F.broadcast(found)).where(inside | ~F.col("_any")).drop("_any")
+    under = log.where(inside)  # this filter reaches the scan
+    nothing = under.limit(1).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    return under.unionByName(log.crossJoin(F.broadcast(nothing)).drop("_n"))  # one row or none
 
-
-def replay_counts(log: DataFrame, indexed: DataFrame, upto: int) -> DataFrame:
-    """Counts per type over the first ``upto`` events of an indexed log."""
-    seen = indexed.where(F.col("index") < upto).groupBy("type").agg(F.count(F.lit(1)).alias("count"))
-    return log.select("type").distinct().join(seen, "type", "left").select(
-        "type", F.coalesce("count", F.lit(0)).alias("count")
-    )

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.operators.ordering import global_index, in_order
+from trailweave.operators.ordering import in_order
 
 
 def running_counts(log: DataFrame) -> DataFrame:
     """How often the type of each event has occurred so far: (id, subject, type, so_far)."""
-    by_type = log.select(F.col("type").alias("subject"), "id", F.col("subject").alias("type"))
-    counted = in_order(by_type).df
-    return counted.select("id", F.col("type").alias("subject"), F.col("subject").alias("type"), F.col("pos").alias("so_far"))
+    # Types take the part of subjects here, the key that events are ordered under.
+    keyed = log.select(F.coalesce("type", F.lit("")).alias("subject"), "id", "type", F.col("subject").alias("owner"))
+    counted = in_order(keyed, extra=("owner",)).df
+    return counted.select("id", F.col("owner").alias("subject"), "type", F.col("pos").alias("so_far"))
 
 
 def replay_at(log: DataFrame, events: int) -> DataFrame:
     """Counts per type after the first ``events`` events; unseen types count 0."""
-    placed = global_index(log.select("id", "type"), "id")
-    return placed.groupBy("type").agg(F.count_if(F.col("index") < events).alias("count"))
+    seen = log.select("id", "type").orderBy("id").limit(max(events, 0)).groupBy("type").agg(F.count(F.lit(1)).alias("count"))
+    return log.select("type").distinct().join(seen, "type", "left").select(
+        "type", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def compare_subjects(log: DataFrame, subjects: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -259,7 +259,11 @@ def fold_log(
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """Text in double quotes, with quotes, backslashes and control characters escaped."""
+    for mark, code in (("\\", "\\\\"), ('"', '\\"'), ("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"),
+                       ("\r", "\\r"), ("\t", "\\t"), ("\v", "\\v")):
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
 def verdict(walked: DataFrame, keep: list[str]) -> DataFrame:

@@ -170,9 +170,12 @@ class Ordered:
 
 
 def in_order(log: DataFrame, slices: Slices | None = None, extra: tuple[str, ...] = ()) -> Ordered:
-    """Neighbouring types and 1-based position of every event in its subject."""
+    """Neighbouring types and 1-based position of every event in its subject.
+
+    A missing type is empty text, so ``prev_type`` is NULL exactly at position 1.
+    """
     slices = slices or find_slices(log)
-    base = log.select("subject", "id", "type", *extra)
+    base = log.select("subject", "id", F.coalesce("type", F.lit("")).alias("type"), *extra)
     if slices.bounds is None:
         w = Window.partitionBy("subject").orderBy("id")
         df = base.select(

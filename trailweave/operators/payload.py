@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.functions.payloads import whole_json
 from trailweave.functions.text import is_email, is_uuid, rfc3339
 from trailweave.operators.machine import Model
 from trailweave.session import checked_broadcast, small_table
@@ -33,7 +34,7 @@ def field_table(spark: SparkSession, model: Model) -> DataFrame:
 def parsed(log: DataFrame) -> DataFrame:
     """Adds ``value`` (the payload as a variant) and ``broken`` (text that is no JSON)."""
     text = F.coalesce("data", F.lit(""))
-    value = F.try_parse_json(F.nullif(text, F.lit("")))
+    value = whole_json(text)
     return log.withColumn("value", value).withColumn("broken", (text != "") & F.col("value").isNull())
 
 

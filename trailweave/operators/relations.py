@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.session import cut_lineage
 from trailweave.functions.paths import (
     ID_SEGMENT, collapse, first_segment, plural_of, reference_stem, reference_suffix, segments,
 )
+from trailweave.functions.payloads import whole_json
+from trailweave.session import cut_lineage
 
 # Every string token of a JSON text, with the string value behind it if it is a key.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -58,7 +59,7 @@ class References:
     """
 
     def __init__(self, log: DataFrame) -> None:
-        members = F.try_variant_get(F.try_parse_json("data"), "$", "map<string,variant>")
+        members = F.try_variant_get(whole_json(F.col("data")), "$", "map<string,variant>")
         entries = F.map_entries(members)
         fields = F.array_sort(
             F.transform(
@@ -163,7 +164,7 @@ def payload_references(log: DataFrame) -> DataFrame:
     string tokens finds every key with a string value, however deep.
     """
     likely = F.lower("data").rlike(r'(?:id|ids|ref|refs)\s*"\s*:|\\')
-    text = F.when(likely & F.try_parse_json("data").isNotNull(), F.col("data"))
+    text = F.when(likely & whole_json(F.col("data")).isNotNull(), F.col("data"))
     # Outer explode: an inner one would scan each text a second time to test for rows.
     tokens = log.select("id", "subject", F.explode_outer(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("token"))
     key = F.regexp_extract("token", rf"(?s)^({_STRING})\s*:", 1)

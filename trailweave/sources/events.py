@@ -21,7 +21,14 @@ def read_events(spark: SparkSession, path: str, with_payload: bool = False, fmt:
     if fmt == "json":
         reader = reader.option("mode", "FAILFAST")
     columns = [*EVENT_COLUMNS, "data"] if with_payload else EVENT_COLUMNS
-    return reader.format(fmt).load(path).select(*columns)
+    log = reader.format(fmt).load(path).select(*columns)
+    # Written logs have no missing fields, and filters must reach their scan.
+    return log.select(*filled(columns)) if fmt == "json" else log
+
+
+def filled(columns: list[str]) -> list[Column]:
+    """The columns of an event; a missing field other than the payload is empty text."""
+    return [F.col(c) if c == "data" else F.coalesce(c, F.lit("")).alias(c) for c in columns]
 
 
 def write_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -32,7 +39,7 @@ def write_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """
     columns = [c for c in [*EVENT_COLUMNS, "data"] if c in log.columns]
     (
-        log.select(*columns)
+        log.select(*filled(columns))
         .repartitionByRange("subject", "id")
         .sortWithinPartitions("subject", "id")
         .write.mode(mode)

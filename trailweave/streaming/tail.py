@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trailweave.functions.lifecycle import phase
 from trailweave.functions.text import rfc3339
 from trailweave.session import small_table
-from trailweave.sources.events import EVENT_SCHEMA
+from trailweave.sources.events import EVENT_SCHEMA, filled
 
 POLL = "2 seconds"
 SHOWN = ["id", "subject", "type", "time"]
@@ -25,7 +24,8 @@ SHOWN = ["id", "subject", "type", "time"]
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "json", **options: str) -> DataFrame:
     """Log files as a stream; extra options go to the source."""
-    return spark.readStream.schema(EVENT_SCHEMA).format(fmt).options(**options).load(path)
+    raw = spark.readStream.schema(EVENT_SCHEMA).format(fmt).options(**options).load(path)
+    return raw.select(*filled(EVENT_SCHEMA.names))
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, from_start: bool = False) -> DataFrame:
@@ -37,7 +37,8 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, from_start: bool =
         .option("startingOffsets", "earliest" if from_start else "latest")
         .load()
     )
-    return raw.select(F.from_json(F.col("value").cast("string"), EVENT_SCHEMA).alias("e")).select("e.*")
+    return raw.select(F.from_json(F.col("value").cast("string"), EVENT_SCHEMA).alias("e")).select("e.*").select(
+        *filled(EVENT_SCHEMA.names))
 
 
 def current_tail(log: DataFrame) -> str:
@@ -64,21 +65,38 @@ def live_counts(stream: DataFrame) -> DataFrame:
 
 
 class HighWater:
-    """Anchor per batch in a Parquet folder on shared storage."""
+    """Anchors of the last two batches, one small folder each, on shared storage.
+
+    Writing a batch again replaces its folder, so a repeated batch gives the same answer.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, start: str = "") -> None:
         self.spark, self.folder, self.start = spark, folder, start
 
     def before(self, batch: int) -> str:
-        try:
-            past = self.spark.read.schema("batch bigint, anchor string").parquet(self.folder)
-        except AnalysisException:  # nothing written yet
+        past = [n for n in self._batches() if n < batch]
+        if not past:
             return self.start
-        return past.where(F.col("batch") < batch).agg(F.max("anchor")).first()[0] or self.start
+        read = self.spark.read.schema("anchor string")
+        return read.parquet(f"{self.folder}/batch-{max(past)}").agg(F.max("anchor")).first()[0] or self.start
 
     def record(self, batch: int, anchor: str) -> None:
-        row = small_table(self.spark, [(batch, anchor)], "batch bigint, anchor string")
-        row.coalesce(1).write.mode("append").parquet(self.folder)
+        row = small_table(self.spark, [(anchor,)], "anchor string")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
+        for old in self._batches():
+            if old < batch - 1:
+                self._files().delete(self._path(f"{self.folder}/batch-{old}"), True)
+
+    def _path(self, text: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+
+    def _files(self):
+        return self._path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _batches(self) -> list[int]:
+        """Batches with a finished mark."""
+        found = self._files().globStatus(self._path(f"{self.folder}/batch-*/_SUCCESS")) or []
+        return [int(f.getPath().getParent().getName().removeprefix("batch-")) for f in found]
 
 
 def strict_batch(
@@ -91,9 +109,13 @@ def strict_batch(
 
     def run(batch: DataFrame, number: int) -> None:
         anchor = marks.before(number)
-        highest = batch.agg(F.max("id")).first()[0]
-        sink(tail_events(batch.where(F.col("id") > anchor), predicate), number)
-        marks.record(number, max(anchor, highest or ""))
+        batch = batch.persist()  # read by the sink and for the mark
+        try:
+            highest = batch.agg(F.max("id")).first()[0]
+            sink(tail_events(batch.where(F.col("id") > anchor), predicate), number)
+            marks.record(number, max(anchor, highest or ""))
+        finally:
+            batch.unpersist()
 
     return run
 
