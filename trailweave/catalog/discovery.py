@@ -13,6 +13,13 @@ def _order(spark, sf):
     return discover(order_log(spark, sf))
 
 
+def marked_log(spark, sf):
+    """The activity of users with lifecycle markers by id."""
+    marks = F.array(*map(F.lit, ("-started", ".completed", "_failed", "")))
+    mark = F.element_at(marks, (F.substring("id", -2, 2).cast("int") % 4 + 1).cast("int"))
+    return user_log(spark, sf).withColumn("type", F.concat("type", mark))
+
+
 QUERIES = {
     "sequences": lambda s, d: sequences(order_log(s, d)).select(
         "subject", "block", F.array_join("types", " ").alias("types")),
@@ -37,7 +44,8 @@ QUERIES = {
     "edges": lambda s, d: _order(s, d).edges,
     "ranks": lambda s, d: _order(s, d).ranks,
     "nodes": lambda s, d: _order(s, d).nodes,
-    "task_groups": lambda s, d: _order(s, d).task_groups(),
+    "task_groups": lambda s, d: discover(marked_log(s, d)).task_groups(),
+    "node_stats_marked": lambda s, d: discover(marked_log(s, d)).node_stats,
     "downstream_nodes": lambda s, d: _order(s, d).downstream("order.placed", 1)[0],
     "downstream_edges": lambda s, d: _order(s, d).downstream("order.placed", None)[1],
 }
@@ -82,6 +90,11 @@ _GU = graph(USER, "user_log")
 _STATS = """SELECT type, type AS task, CASE type WHEN 'error' THEN 'error' ELSE 'complete' END AS phase,
   count, start_count, end_count FROM stats"""
 
+_MARKED = """, marked AS (SELECT id, subject, type AS task, type || ['-started', '.completed', '_failed', ''][right(id, 2)::INT % 4 + 1] AS type,
+  CASE right(id, 2)::INT % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'complete' WHEN 2 THEN 'error'
+    ELSE CASE type WHEN 'error' THEN 'error' ELSE 'complete' END END AS phase FROM user_log)
+"""
+
 ORACLE = {
     "sequences": with_logs(ORDER)
     + """, p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY id) AS pos FROM order_log)
@@ -112,9 +125,14 @@ ORACLE = {
     "ranks": _G + "SELECT type, rank FROM rank",
     "nodes": _G
     + """SELECT type, type AS task, 'complete' AS phase, count, start_count, end_count, rank FROM stats JOIN rank USING (type)""",
-    "task_groups": _G
-    + """SELECT task, string_agg(type, ',' ORDER BY type) AS types, count(*) AS size FROM (SELECT type, type AS task FROM stats)
+    "task_groups": with_logs(USER)
+    + _MARKED + """SELECT task, string_agg(type, ',' ORDER BY type) AS types, count(*) AS size FROM (SELECT DISTINCT type, task FROM marked)
        GROUP BY task HAVING count(*) >= 2""",
+    "node_stats_marked": with_logs(USER)
+    + _MARKED + """, s AS (SELECT *, lag(type) OVER w IS NULL AS is_first, lead(type) OVER w IS NULL AS is_last
+         FROM marked WINDOW w AS (PARTITION BY subject ORDER BY id))
+       SELECT type, task, phase, count(*) AS count, count(*) FILTER (is_first) AS start_count, count(*) FILTER (is_last) AS end_count
+       FROM s GROUP BY type, task, phase""",
     "downstream_nodes": _G
     + """SELECT 'order.placed' AS type, 0::BIGINT AS hop UNION ALL
        SELECT DISTINCT t, 1 FROM edge WHERE f = 'order.placed' AND NOT parallel AND t <> f""",

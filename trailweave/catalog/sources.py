@@ -47,8 +47,6 @@ def drifted(spark, sf):
 
 
 QUERIES = {
-    "read_events": lambda s, d: user_log(s, d).select(*events.EVENT_COLUMNS),
-    "read_events_with_payload": lambda s, d: order_docs(s, d),
     "scan_scope": lambda s, d: events.scan_scope(order_log(s, d), SCOPE),
     "scan_subtree": lambda s, d: events.scan_subtree(order_docs(s, d), "orders/77"),
     "scan_type": lambda s, d: events.scan_type(user_log(s, d), "purchase", 500),
@@ -58,6 +56,8 @@ QUERIES = {
     "log_info": lambda s, d: events.log_info(order_log(s, d)),
     "write_cloudevents": lambda s, d: events.cloudevents(order_docs(s, d), "trailweave", "/_test/run-1", ids="id"),
     "export_replay": lambda s, d: events.replay_feed(user_log(s, d)),
+    "model_edges": lambda s, d: models.model_edges(mined_models(user_log(s, d))),
+    "model_fields": lambda s, d: models.model_fields(mined_models(user_log(s, d))),
     "model_revision": lambda s, d: models.model_revision(mined_models(user_log(s, d))),
     "drift": drifted,
 }
@@ -80,8 +80,6 @@ def _revision(name: str, rows: str) -> str:
 
 
 ORACLE = {
-    "read_events": with_logs(USER) + "SELECT id, source, subject, type, time FROM user_log",
-    "read_events_with_payload": with_logs(DOCS) + "SELECT id, source, subject, type, time, data FROM order_docs",
     "scan_scope": with_logs(ORDER) + f"SELECT id, source, subject, type, time {_SCOPED}",
     "scan_subtree": with_logs(DOCS)
     + "SELECT id, source, subject, type, time, data FROM order_docs WHERE subject = '/orders/77' OR starts_with(subject, '/orders/77/')",
@@ -100,6 +98,13 @@ ORACLE = {
        || '","subject":"/_test/run-1' || subject || '","datacontenttype":"application/json","data":' || data || '}' AS value
        FROM order_docs""",
     "export_replay": with_logs(USER) + "SELECT subject AS s, type AS t, time AS ts, id FROM user_log",
+    "model_edges": with_logs(USER, _revision("rev", "user_log"))
+    + """SELECT subject AS model_id, (row_number() OVER (PARTITION BY subject ORDER BY p || '>' || type) - 1)::INT AS pos,
+       p || '>' || type AS edge_id, type, p AS from_node, type AS to_node,
+       CASE WHEN type = 'signup' THEN 'once' ELSE '' END AS cardinality FROM rev_steps""",
+    "model_fields": with_logs(USER, _revision("rev", "user_log"))
+    + """SELECT DISTINCT subject AS model_id, 'click' AS step_name, 0::INT AS pos, 'k' AS name, 'integer' AS type, true AS required,
+       '' AS format, '' AS ref, []::VARCHAR[] AS enum FROM rev_steps""",
     "model_revision": with_logs(USER, _revision("rev", "user_log")) + "SELECT model_id, revision FROM rev",
     "drift": with_logs(USER, _revision("rev", "user_log"), _revision("old", "(SELECT * FROM user_log WHERE time < '2024-01-28')"))
     + """SELECT 'suite-of-' || old.model_id AS suite_id, old.model_id AS draft_id, old.revision AS draft_rev,

@@ -60,7 +60,7 @@ def subject_counts(log: DataFrame) -> DataFrame:
 
 def distinct_subjects(log: DataFrame, approximate: bool = False) -> DataFrame:
     if approximate:
-        return log.agg(F.approx_count_distinct("subject").alias("subjects"))
+        return log.agg(F.approx_count_distinct("subject", 0.01).alias("subjects"))
     return log.select("subject").distinct().agg(F.count(F.lit(1)).alias("subjects"))
 
 
