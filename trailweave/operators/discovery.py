@@ -53,8 +53,22 @@ class Discovery:
         self.slices = self.slices or find_slices(self.log)
 
     @cached_property
+    def _counted(self) -> tuple[DataFrame, bool]:
+        """Neighbour counts, and whether they are few enough for one partition.
+
+        One partition spares every join and round on the type graph its shuffles.
+        """
+        pairs = cut_lineage(neighbours(self.log, self.slices))
+        single = pairs.count() <= typegraph.FEW
+        return (pairs.coalesce(1) if single else pairs), single
+
+    @property
     def pairs(self) -> DataFrame:
-        return cut_lineage(neighbours(self.log, self.slices))
+        return self._counted[0]
+
+    @property
+    def single(self) -> bool:
+        return self._counted[1]
 
     @cached_property
     def deepest(self) -> int:
@@ -132,7 +146,7 @@ class Discovery:
     @cached_property
     def group_of(self) -> DataFrame:
         """(type, grp): the parallel group of a type, named by its first member."""
-        return cut_lineage(typegraph.components(self.concurrent_pairs.select("a", "b")))
+        return typegraph.components(self.concurrent_pairs.select("a", "b"), self.single)
 
     @property
     def concurrent_groups(self) -> DataFrame:
@@ -145,7 +159,7 @@ class Discovery:
     def edges(self) -> DataFrame:
         """Directly-follows edges with a flag for order that is only interleaving."""
         pairs = self.concurrent_pairs.select("a", "b")
-        both = pairs.union(pairs.select("b", "a")).select(
+        both = typegraph.union(pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), self.single).select(
             F.col("a").alias("from"), F.col("b").alias("to"), F.lit(True).alias("parallel")
         )
         return self.directly_follows.join(both, ["from", "to"], "left").select(
@@ -160,7 +174,7 @@ class Discovery:
     @cached_property
     def ranks(self) -> DataFrame:
         starts = self.node_stats.where("start_count > 0").select("type")
-        ranked = typegraph.longest_paths(self.structural, starts)
+        ranked = typegraph.longest_paths(self.structural, starts, self.single)
         return self.node_stats.select("type").join(ranked, "type", "left").select(
             "type", F.coalesce("rank", F.lit(0)).cast("bigint").alias("rank")
         )
@@ -193,7 +207,7 @@ class Discovery:
         """Types and drawn edges within reach of a type; ``None`` hops goes all the way."""
         steps = self.edges.where("NOT parallel").select("from", "to")
         seed = self.node_stats.where(F.col("type") == start).select("type")
-        return typegraph.reach(steps, seed, hops)
+        return typegraph.reach(steps, seed, hops, self.single)
 
 
 def discover(log: DataFrame, **options) -> Discovery:

@@ -2,7 +2,8 @@
 
 The graph has one row per pair of types that follow each other, so it is far
 smaller than the log.  Every round works on de-duplicated rows (no path is ever
-enumerated) and cuts its lineage, so plans do not grow with the rounds.
+enumerated) and cuts its lineage, so plans do not grow with the rounds.  A graph of at
+most ``FEW`` pairs sits in one partition (``single``), where no round shuffles.
 """
 
 from __future__ import annotations
@@ -13,13 +14,21 @@ from pyspark.sql import functions as F
 from trailweave.session import cut_lineage
 
 
-def components(pairs: DataFrame) -> DataFrame:
+FEW = 200_000
+
+
+def union(a: DataFrame, b: DataFrame, single: bool) -> DataFrame:
+    both = a.unionByName(b)
+    return both.coalesce(1) if single else both
+
+
+def components(pairs: DataFrame, single: bool = False) -> DataFrame:
     """(type, grp) for every node of an undirected pair list, grp = smallest member.
 
     Each node repeatedly takes the smallest label around it and then the label of
     its label, which halves long chains per round.
     """
-    both = cut_lineage(pairs.union(pairs.select("b", "a")).distinct())
+    both = cut_lineage(union(pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), single).distinct())
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("grp")))
     while not labels.isEmpty():
         around = (
@@ -39,7 +48,7 @@ def components(pairs: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("a", "type")
 
 
-def reach(edges: DataFrame, seed: DataFrame, hops: int | None) -> tuple[DataFrame, DataFrame]:
+def reach(edges: DataFrame, seed: DataFrame, hops: int | None, single: bool = False) -> tuple[DataFrame, DataFrame]:
     """Breadth-first nodes (type, hop) and the edges leaving nodes before the last hop."""
     seen = cut_lineage(seed.select("type", F.lit(0).cast("bigint").alias("hop")))
     frontier, step = seen, 0
@@ -52,7 +61,7 @@ def reach(edges: DataFrame, seed: DataFrame, hops: int | None) -> tuple[DataFram
             .join(seen, "type", "left_anti")
         )
         frontier = cut_lineage(fresh.select("type", F.lit(step).cast("bigint").alias("hop")))
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = cut_lineage(union(seen, frontier, single))
     inner = seen if hops is None else seen.where(F.col("hop") < hops)
     walked = edges.join(inner.select(F.col("type").alias("from")), "from", "left_semi")
     return seen, walked
@@ -73,7 +82,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, single: bool = False) -> DataFrame:
     """(type, scc) of every node of a graph whose nodes all have edges both ways.
 
     Colouring: each node takes the largest name that can reach it; the nodes of a
@@ -82,7 +91,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found: DataFrame | None = None
     left = edges
     while not left.isEmpty():
-        nodes = left.select(F.col("from").alias("type")).union(left.select("to")).distinct()
+        nodes = union(left.select(F.col("from").alias("type")), left.select(F.col("to").alias("type")), single).distinct()
         colours = cut_lineage(nodes.select("type", F.col("type").alias("colour")))
         while True:
             incoming = (
@@ -105,9 +114,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
             .where("c1 = c2")
             .select(F.col("to").alias("from"), F.col("from").alias("to"))
         )
-        members, _ = reach(cut_lineage(inside), colours.where("type = colour").select("type"), None)
+        members, _ = reach(cut_lineage(inside), colours.where("type = colour").select("type"), None, single)
         done = cut_lineage(members.select("type").join(colours, "type").select("type", F.col("colour").alias("scc")))
-        found = done if found is None else cut_lineage(found.unionByName(done))
+        found = done if found is None else cut_lineage(union(found, done, single))
         gone = done.select("type")
         left = cut_lineage(
             left.join(gone.withColumnRenamed("type", "from"), "from", "left_anti")
@@ -119,13 +128,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def forward_edges(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def forward_edges(edges: DataFrame, starts: DataFrame, single: bool = False) -> DataFrame:
     """An acyclic subset: inside a cycle only edges that lead away from the starts."""
     core = cyclic_core(edges)
     if core.isEmpty():
         return edges
-    scc = strong_components(core)
-    levels, _ = reach(edges, starts, None)
+    scc = strong_components(core, single)
+    levels, _ = reach(edges, starts, None, single)
     at = levels.select("type", F.col("hop").alias("level"))
     marked = (
         edges.join(scc.select(F.col("type").alias("from"), F.col("scc").alias("s1")), "from", "left")
@@ -137,9 +146,9 @@ def forward_edges(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return cut_lineage(marked.where(~backward).select("from", "to"))
 
 
-def longest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def longest_paths(edges: DataFrame, starts: DataFrame, single: bool = False) -> DataFrame:
     """(type, rank): longest way from any start; types out of reach are left out."""
-    steps = forward_edges(edges, starts)
+    steps = forward_edges(edges, starts, single)
     ranks = cut_lineage(starts.select("type", F.lit(0).cast("bigint").alias("rank")).distinct())
     frontier = ranks
     while not frontier.isEmpty():
