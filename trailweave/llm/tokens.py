@@ -21,14 +21,16 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import documents, pieces, table, texts
+from trailweave.llm.common import documents, pieces, table
 from trailweave.session import checkpoint_folder
 
 BLOCK, COVER, END = 256, 0.9, 1
@@ -63,8 +65,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     index["start"], index["low"], index["width"], index["odd"] = np.cumsum(size) - size, low, width, odd
     body = np.zeros(int(size.sum()), np.uint8)
     for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        if w:
+        every = np.flatnonzero(width == w)
+        for at in np.array_split(every, -(-len(every) // 512)) if w else []:
             ones = ((delta[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
             packed = np.packbits(ones.reshape(len(at), -1), axis=1, bitorder="little")
             body[index["start"][at].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
@@ -83,8 +85,8 @@ def unpack(index: np.ndarray, body: bytes, count: int) -> np.ndarray:
     delta = np.zeros((blocks, BLOCK), np.uint32)
     start, width, odd = (index[c].astype(np.int64) for c in ("start", "width", "odd"))
     for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        if w:
+        every = np.flatnonzero(width == w)
+        for at in np.array_split(every, -(-len(every) // 512)) if w else []:
             ones = np.unpackbits(raw[start[at][:, None] + np.arange(w * BLOCK // 8)], axis=1, bitorder="little")
             ones = ones.reshape(len(at), BLOCK, w)
             values = np.zeros((len(at), BLOCK), np.uint32)
@@ -119,11 +121,20 @@ def read_segment(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(i) if has else None for has, i in zip(docs["has"], docs["id"])], docs["n"].astype(np.int64), ids
 
 
+#: ASCII marks.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The character that stands for each byte: printable ones for themselves, the others from 256 up.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b for b in SHOWN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 class WordIds(dict):
     """Ids of white-space separated words as little-endian u32 bytes, remembered.
 
     The tokenizer lower-cases, never joins across white space and splits letters from
-    punctuation, so a word is encoded once, in lower case, and without the marks at its end.
+    punctuation.  So a word is encoded once, in lower case, apart from the marks behind
+    its letters; words of small letters go straight to the BPE model, which takes every
+    byte as one character.
     """
 
     def __init__(self, path: str):
@@ -134,18 +145,36 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
 
-    def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(b".,!?;:")
-        if stem and stem != word and stem[-1:].isalnum():
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if stem != word and stem and stem[-1].isalpha():
             ids = self[stem] + self[word[len(stem):]]
-        elif word.isalpha():  # plain letters pass the normaliser and the splitter unchanged
-            ids = array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         else:
-            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) < MEMORY:
             self[word] = ids
         return ids
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, the end id after each, and the number per text.
+
+        Arrow splits the texts and numbers their words, so each different word is looked
+        up once; ids are then put in place by index.
+        """
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        numbered = lists.flatten().dictionary_encode()
+        parts = list(map(self.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, code = np.frombuffer(b"".join(parts), "<u4"), numbered.indices.to_numpy(zero_copy_only=False)
+        n = size[code]
+        after = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(size) - size)[code] - (after - n), n) + np.arange(n.sum())]
+        ends = np.r_[0, after][np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()]
+        return np.insert(ids, ends, END), np.diff(ends, prepend=0) + 1
+
 
 _WORDS: dict[str, WordIds] = {}
 
@@ -161,11 +190,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if tokenizer not in _WORDS:
             _WORDS[tokenizer] = WordIds(tokenizer)
         words = _WORDS[tokenizer]
-        end, part, number = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        for piece in pieces(batches, "text"):
-            encoded = [b"".join(map(words.__getitem__, t.encode().lower().split())) + end for t in texts(piece)]
-            counts = np.array([len(x) // 4 for x in encoded])
-            payload = segment(piece.column("doc_id").to_pylist(), counts, np.frombuffer(b"".join(encoded), "<u4"))
+        part, number = TaskContext.get().partitionId(), 0
+        for piece in pieces(batches, "text", 1 << 22):
+            ids, counts = words.encode(piece.column("text"))
+            payload = segment(piece.column("doc_id").to_pylist(), counts, ids)
             yield table(SEGMENTS, [part], [number], [int(counts.sum())], [payload])
             number += 1
 
