@@ -1,8 +1,8 @@
 """Named queries over the test tables, with the SQL they are checked against."""
 
-from trailweave.catalog import conformance, discovery, explore, filters, relations, scalars, sources, space, streams
+from trailweave.catalog import conformance, discovery, explore, filters, relations, scalars, sources, space, streams, views
 
-MODULES = [sources, streams, filters, scalars, discovery, explore, relations, space, conformance]
+MODULES = [sources, streams, filters, scalars, discovery, explore, relations, space, conformance, views]
 
 
 def all_queries():

@@ -81,6 +81,10 @@ def _verdicts(spark, sf):
     return checked, c.stream_verdict(checked, faults)
 
 
+def verdicts(spark, sf):
+    return _verdicts(spark, sf)[1]
+
+
 def report(spark, sf):
     checked, verdicts = _verdicts(spark, sf)
     return c.quality_report(verdicts, c.edge_coverage(checked, DOC_MODEL))
@@ -201,7 +205,7 @@ _FAULTS = """faults AS (
   UNION ALL SELECT id, subject, type, unnest(['supplierId', 'quantity']), unnest(['format', 'type']),
     unnest(['expected an email address', 'expected type boolean']) FROM order_docs WHERE type = 'item.R.updated')"""
 
-_JUDGED = _WD + ", " + _FAULTS + """, judged AS (
+JUDGED = _WD + ", " + _FAULTS + """, judged AS (
   SELECT subject, NOT ok OR subject IN (SELECT subject FROM faults) AS rejected,
     CASE WHEN NOT ok THEN reason WHEN subject IN (SELECT subject FROM faults) THEN 'payload rejected' ELSE '' END AS reason
   FROM verdict)
@@ -249,11 +253,11 @@ ORACLE = {
            WHEN NOT ok THEN reason WHEN end_node <> es THEN 'ended in ' || l1.label || ', expected ' || l2.label ELSE 'valid walk' END AS detail
        FROM j JOIN lab l1 ON l1.node = end_node JOIN lab l2 ON l2.node = es""",
     "validate_payload": with_logs(DOCS, _FAULTS) + "SELECT * FROM faults",
-    "stream_verdict": _JUDGED + "SELECT subject, rejected, reason FROM judged",
-    "quality_report": _JUDGED
+    "stream_verdict": JUDGED + "SELECT subject, rejected, reason FROM judged",
+    "quality_report": JUDGED
     + f"""SELECT count(*) FILTER (NOT rejected) AS passed, count(*) FILTER (rejected) AS failed, {_COVER} AS covered_edges,
        6::BIGINT AS total_edges, {_COVER} * 100 // 6 AS coverage_pct FROM judged""",
-    "quality_failures": _JUDGED + "SELECT reason, count(*) AS subjects FROM judged WHERE rejected GROUP BY reason",
+    "quality_failures": JUDGED + "SELECT reason, count(*) AS subjects FROM judged WHERE rejected GROUP BY reason",
     "round_trip": walk_sql([ORDER], "order_log", ORDER_MODEL, "type <> 'order.closed.P'")
     + """SELECT (SELECT count(*) FROM order_log) AS written_events, (SELECT count(DISTINCT subject) FROM order_log) AS written_subjects,
        (SELECT count(*) FROM s) AS read_events, (SELECT count(DISTINCT subject) FROM s) AS read_subjects,

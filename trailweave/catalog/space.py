@@ -15,10 +15,11 @@ def _grid(spark, sf):
     return bands, space.density(space.axis(log), bands)
 
 
-def _variant_grid(spark, sf):
+def variant_grid_parts(spark, sf):
+    """Bands of equal behaviour with their members, and the cells over them."""
     log = chat_log(spark, sf)
     bands, member = space.variant_bands(log, 10)
-    return bands, space.density(space.axis(log), bands, member, 24)
+    return (bands, member), space.density(space.axis(log), bands, member, 24)
 
 
 def _view(spark, sf):
@@ -36,7 +37,7 @@ QUERIES = {
     "variant_bands": lambda s, d: space.variant_bands(chat_log(s, d), 10)[0],
     "density": lambda s, d: _grid(s, d)[1],
     "density_rows": lambda s, d: space.density_rows(_grid(s, d)[1], _grid(s, d)[0]).select("band", "subjects", "count"),
-    "density_by_variant": lambda s, d: _variant_grid(s, d)[1],
+    "density_by_variant": lambda s, d: variant_grid_parts(s, d)[1],
     "density_view": lambda s, d: space.density_view(_grid(s, d)[1]).select("row", "col", "opacity"),
     "dominant_phase": lambda s, d: space.dominant_phase(
         user_log(s, d).withColumn("day", F.substring("time", 1, 13)), "day"),
@@ -44,7 +45,7 @@ QUERIES = {
     "space_view": _view,
 }
 
-_SIG = """, sig AS (SELECT subject, string_agg(type, chr(1) ORDER BY id) AS v, count(*) AS len, arg_min(type, id) AS a, arg_max(type, id) AS z
+SIG = """, sig AS (SELECT subject, string_agg(type, chr(1) ORDER BY id) AS v, count(*) AS len, arg_min(type, id) AS a, arg_max(type, id) AS z
    FROM chat_log GROUP BY subject),
  vs AS (SELECT v, any_value(len) AS len, any_value(a) AS a, any_value(z) AS z, count(*) AS m,
         row_number() OVER (ORDER BY count(*) DESC, v) - 1 AS r, count(*) OVER () AS total FROM sig GROUP BY v),
@@ -76,7 +77,7 @@ ORACLE = {
        SELECT band, CASE m WHEN 1 THEN lo ELSE lo || ' … ' || hi || ' · ' || m END AS label,
          CASE m WHEN 1 THEN lo WHEN 0 THEN '' ELSE CASE WHEN string_split(lo, '/')[3] = string_split(hi, '/')[3] THEN '/customers/' || string_split(lo, '/')[3] ELSE '/customers' END END AS prefix,
          lo AS "from", hi AS "to", m AS subjects FROM b""",
-    "variant_bands": with_logs(CHAT) + _SIG
+    "variant_bands": with_logs(CHAT) + SIG
     + """SELECT band, CASE WHEN band = 9 AND any_value(band.total) > 10 THEN '+' || (any_value(band.total) - 9) || ' more variants · ' || sum(m)
          ELSE CASE WHEN any_value(len) <= 3 THEN replace(any_value(v), chr(1), ' → ')
               ELSE any_value(a) || ' → … → ' || any_value(z) || ' (' || any_value(len) || ')' END || ' · ' || sum(m) END AS label,
@@ -86,7 +87,7 @@ ORACLE = {
     + """SELECT band AS row, col, count(*) AS count, 'complete' AS phase, min(id) AS min_id, max(id) AS max_id FROM placed GROUP BY band, col""",
     "density_rows": with_logs(GRID)
     + "SELECT band, count(DISTINCT subject) AS subjects, count(*) AS count FROM placed GROUP BY band",
-    "density_by_variant": with_logs(CHAT) + _SIG
+    "density_by_variant": with_logs(CHAT) + SIG
     + """, t AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS val, count(*) OVER () AS n FROM chat_log)
        SELECT band AS row, least(floor(val / (n - 1)::DOUBLE * 24), 23)::BIGINT AS col, count(*) AS count, 'complete' AS phase,
          min(id) AS min_id, max(id) AS max_id FROM t JOIN mem USING (subject) GROUP BY ALL""",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from trailweave.functions.paths import matches_literal, subject_pattern
 from trailweave.functions.text import deviation_detail, pct
 from trailweave.operators.machine import Model, check_log, check_sequences, fold_log
-from trailweave.operators.ordering import Slices, in_order
-from trailweave.session import small_table
+from trailweave.operators.ordering import Slices, in_order, sequences
+from trailweave.session import cut_lineage, small_table
 
 # Lengths of the example lists.
 TEMPLATE_DEVIATIONS = 12
@@ -220,6 +220,13 @@ def failures_by_reason(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("rejected").groupBy("reason").agg(F.count(F.lit(1)).alias("subjects"))
 
 
+def failing_sequences(verdicts: DataFrame, log: DataFrame) -> DataFrame:
+    """Refused subjects with reason and steps, in numbered blocks (subject, reason, block, types)."""
+    failed = cut_lineage(verdicts.where("rejected").select("subject", "reason"))  # used twice
+    return sequences(log.join(failed.select("subject"), "subject", "left_semi")).join(failed, "subject").select(
+        "subject", "reason", "block", "types")
+
+
 def round_trip(written: DataFrame, read_back: DataFrame, machine: DataFrame) -> DataFrame:
     """Events and subjects on both sides, and how many read-back subjects conform."""
     sides = [

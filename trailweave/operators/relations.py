@@ -177,6 +177,22 @@ def payload_references(log: DataFrame) -> DataFrame:
     ).select("id", "subject", "field", F.concat(F.lit("/"), "collection", F.lit("/"), "value").alias("ref_subject"))
 
 
+def referenced_events(log: DataFrame, chosen: DataFrame, subtree: bool = False) -> DataFrame:
+    """Events of the subjects that the payloads of ``chosen`` events refer to.
+
+    The referenced subjects are a key set that the log is reduced by; nothing is joined
+    event by event.  ``subtree`` takes what lies under those subjects too: distinct
+    subjects are looked up by each of their own leading paths.
+    """
+    keys = payload_references(chosen).select(F.col("ref_subject").alias("subject")).distinct()
+    if subtree:
+        parts = F.split("subject", "/")
+        paths = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        under = log.select("subject").distinct().select("subject", F.explode(paths).alias("_path"))
+        keys = under.join(keys.withColumnRenamed("subject", "_path"), "_path", "left_semi").select("subject").distinct()
+    return log.join(keys, "subject", "left_semi").select(*log.columns)
+
+
 def resolve_references(log: DataFrame) -> DataFrame:
     """How often each subject is referred to, and how many events it has itself.
 

@@ -205,18 +205,24 @@ def density_view(cells: DataFrame) -> DataFrame:
     )
 
 
-def drill(cells: DataFrame, bands: DataFrame, events: DataFrame) -> DataFrame:
-    """Events inside the subject range and the id range of name-banded cells.
+def drill(cells: DataFrame, bands: DataFrame, events: DataFrame, member: DataFrame | None = None) -> DataFrame:
+    """Events inside the subjects and the id range of cells (at most rows x columns of them).
 
-    The band of an event is found by its name, which leaves an equi join with the
-    (at most rows x columns) cells plus the id test: no all-pairs join.
+    The band of an event is found by its name, or through ``member`` where bands are not
+    name ranges.  The cells of a band travel as one array, which is filtered in place, so an
+    event is copied only into the cells that hold it.
     """
-    located = events.withColumn("row", which_range(F.col("subject"), _lows(bands)))
-    wanted = cells.select("row", "col", "min_id", "max_id").join(
-        bands.select(F.col("band").alias("row"), F.col("to").alias("_to")), "row"
-    )
-    inside = F.col("id").between(F.col("min_id"), F.col("max_id")) & (F.col("subject") <= F.col("_to"))
-    return located.join(F.broadcast(wanted), "row").where(inside).select("row", "col", *events.columns)
+    if member is None:
+        bands = cut_lineage(bands)
+        ends = bands.select(F.col("band").alias("row"), F.col("to").alias("_to"))
+        located = events.withColumn("row", which_range(F.col("subject"), _lows(bands)))
+    else:
+        ends = bands.select(F.col("band").alias("row"), F.lit(None).cast("string").alias("_to"))
+        located = events.join(member.withColumnRenamed("band", "row"), "subject")
+    held = cells.groupBy("row").agg(F.collect_list(F.struct("col", "min_id", "max_id")).alias("_cells")).join(ends, "row")
+    hit = F.filter("_cells", lambda c: F.col("id").between(c["min_id"], c["max_id"]))
+    found = located.join(F.broadcast(held), "row").where("_to IS NULL OR subject <= _to")  # one row per band
+    return found.select("row", F.explode(hit).alias("_cell"), *events.columns).select("row", "_cell.col", *events.columns)
 
 
 def cell_filter(min_id: str, max_id: str, low: str = "", high: str = "", prefix: str = "") -> Column:
