@@ -239,7 +239,9 @@ ORACLE = {
     "model_deviations": _W
     + """SELECT subject, fail_ix, reason FROM verdict JOIN (SELECT subject, min(id) AS f FROM s GROUP BY subject) USING (subject)
        WHERE NOT ok ORDER BY f LIMIT 20""",
-    "unused_types": "SELECT 6::BIGINT AS pos, 'order.returned' AS type",
+    "unused_types": with_logs(ORDER, _edges(ORDER_MODEL))
+    + """, d AS (SELECT type, row_number() OVER (ORDER BY min(pos)) - 1 AS pos FROM edge GROUP BY type)
+       SELECT pos, type FROM d WHERE type NOT IN (SELECT type FROM order_log)""",
     "unknown_types": with_logs(ORDER) + "SELECT DISTINCT type FROM order_log WHERE type = 'order.closed.P'",
     "edge_coverage": _W
     + f"SELECT {_COVER} AS covered, {len(_MOVES)}::BIGINT AS total, {_COVER} * 100 // {len(_MOVES)} AS pct",

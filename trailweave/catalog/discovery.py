@@ -20,6 +20,14 @@ def marked_log(spark, sf):
     return user_log(spark, sf).withColumn("type", F.concat("type", mark))
 
 
+def cyclic_log(spark, sf):
+    """Users as they turn from day to day: sparse steps, some of them in rings."""
+    log = user_log(spark, sf)
+    day = F.substring("time", 9, 2).cast("int")
+    return log.select("id", "subject", F.concat(F.lit("d"), (F.floor(day / 4) % 5).cast("string")).alias("type")).where(
+        day % 4 != 3).unionByName(log.where(day % 4 == 3).select("id", "subject", "type"))
+
+
 QUERIES = {
     "sequences": lambda s, d: sequences(order_log(s, d)).select(
         "subject", "block", F.array_join("types", " ").alias("types")),
@@ -45,6 +53,9 @@ QUERIES = {
     "ranks": lambda s, d: _order(s, d).ranks,
     "nodes": lambda s, d: _order(s, d).nodes,
     "task_groups": lambda s, d: discover(marked_log(s, d)).task_groups(),
+    "concurrent_groups_marked": lambda s, d: discover(marked_log(s, d)).concurrent_groups,
+    "ranks_cyclic": lambda s, d: discover(cyclic_log(s, d)).ranks,
+    "edges_cyclic": lambda s, d: discover(cyclic_log(s, d)).edges,
     "node_stats_marked": lambda s, d: discover(marked_log(s, d)).node_stats,
     "downstream_nodes": lambda s, d: _order(s, d).downstream("order.placed", 1)[0],
     "downstream_edges": lambda s, d: _order(s, d).downstream("order.placed", None)[1],
@@ -90,6 +101,8 @@ _GU = graph(USER, "user_log")
 _STATS = """SELECT type, type AS task, CASE type WHEN 'error' THEN 'error' ELSE 'complete' END AS phase,
   count, start_count, end_count FROM stats"""
 
+_GC = graph(USER + """, cyclic_log AS (SELECT id, subject, CASE WHEN day % 4 = 3 THEN type ELSE 'd' || (day // 4) % 5 END AS type
+  FROM (SELECT *, substr(time, 9, 2)::INT AS day FROM user_log))""", "cyclic_log")
 _MARKED = """, marked AS (SELECT id, subject, type AS task, type || ['-started', '.completed', '_failed', ''][right(id, 2)::INT % 4 + 1] AS type,
   CASE right(id, 2)::INT % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'complete' WHEN 2 THEN 'error'
     ELSE CASE type WHEN 'error' THEN 'error' ELSE 'complete' END END AS phase FROM user_log)
@@ -128,6 +141,18 @@ ORACLE = {
     "task_groups": with_logs(USER)
     + _MARKED + """SELECT task, string_agg(type, ',' ORDER BY type) AS types, count(*) AS size FROM (SELECT DISTINCT type, task FROM marked)
        GROUP BY task HAVING count(*) >= 2""",
+    "concurrent_groups_marked": graph(USER + _MARKED.replace("marked AS", "marked_log AS"), "marked_log")
+    + "SELECT string_agg(type, ',' ORDER BY type) AS members, count(*) AS size FROM grp GROUP BY grp",
+    "ranks_cyclic": _GC
+    + """, st AS (SELECT f, t FROM edge WHERE NOT parallel AND f <> t),
+       clo AS (SELECT f, t FROM st UNION SELECT clo.f, st.t FROM clo JOIN st ON st.f = clo.t),
+       lev AS (SELECT type AS t, 0::BIGINT AS d FROM starts UNION SELECT st.t, d + 1 FROM lev JOIN st ON st.f = lev.t WHERE d < 30),
+       lv AS (SELECT t, min(d) AS l FROM lev GROUP BY t),
+       fwd AS (SELECT st.f, st.t FROM st LEFT JOIN lv a ON a.t = st.f LEFT JOIN lv b ON b.t = st.t
+               WHERE NOT coalesce((st.t, st.f) IN (SELECT (f, t) FROM clo) AND a.l >= b.l, false)),
+       way2 AS (SELECT type AS t, 0::BIGINT AS d FROM starts UNION SELECT fwd.t, d + 1 FROM way2 JOIN fwd ON fwd.f = way2.t WHERE d < 30)
+       SELECT stats.type, coalesce(max(d), 0) AS rank FROM stats LEFT JOIN way2 ON way2.t = stats.type GROUP BY ALL""",
+    "edges_cyclic": _GC + 'SELECT f AS "from", t AS "to", n AS count, parallel FROM edge',
     "node_stats_marked": with_logs(USER)
     + _MARKED + """, s AS (SELECT *, lag(type) OVER w IS NULL AS is_first, lead(type) OVER w IS NULL AS is_last
          FROM marked WINDOW w AS (PARTITION BY subject ORDER BY id))
