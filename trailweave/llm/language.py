@@ -26,7 +26,7 @@ MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.array([0, 0x1B873593, 0x2545F491, 0x3C6EF372, 0x510E527F], np.uint64)
 SAMPLE, GRAMS = 2000, 500_000
 #: Nats per letter above what the sample needed before a text is rejected.
-SLACK = 1.0
+SLACK = 1.5
 NONE = "und"
 
 _LETTERS: list[np.ndarray] = []
