@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -27,7 +28,8 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-           "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
+           "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
+           "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = all_queries()

@@ -7,13 +7,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from trailweave import build_session
 
     session = build_session(
         "tests", "local[4]",
         **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4",
-           "spark.default.parallelism": "4", "spark.driver.memory": "4g"},
+           "spark.default.parallelism": "4", "spark.driver.memory": "4g",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
