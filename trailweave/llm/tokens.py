@@ -35,7 +35,7 @@ from trailweave.session import checkpoint_folder
 
 BLOCK, COVER, END = 256, 0.9, 1
 #: Words whose ids a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 600_000
 MAGIC = b"PFR1"
 SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 DOCS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("offset", pa.int64()),
