@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from trailweave.catalog.logs import CHAT, DOCS, ORDER, USER, with_logs
 from trailweave.functions.predicates import Stage
-from trailweave.sources import events, models
-from trailweave.sources.tables import chat_log, order_docs, order_log, user_log
+from trailweave.sources import events, models, templates
+from trailweave.sources.tables import chat_log, order_docs, order_log, table, user_log
 from trailweave.operators.ordering import in_order
 
 SCOPE = Stage(subject="/customers", types=("order.placed", "order.closed.F", "item.R"), lower="1995", upper="19980101")
@@ -46,7 +46,42 @@ def drifted(spark, sf):
     return models.drift(suites, now)
 
 
+def suite_documents(spark, sf):
+    """Fifty suites of conversations: every conversation is a case."""
+    step = F.struct("id", F.col("type"), F.col("subject"), F.lit("{}").alias("data"))
+    cases = chat_log(spark, sf).groupBy("subject").agg(F.array_sort(F.collect_list(step)).alias("turns")).select(
+        F.concat(F.lit("suite-"), (F.regexp_extract("subject", r"(\d+)\z", 1).cast("bigint") % 50).cast("string")).alias("id"),
+        F.struct(
+            F.col("subject").alias("id"), F.concat(F.lit("talk "), "subject").alias("name"),
+            F.transform("turns", lambda t: F.struct(t["type"].alias("type"), t["subject"].alias("subject"), t["data"].alias("data"))).alias("steps"),
+            F.struct(F.when(F.size("turns") > 3, "reject").otherwise("accept").alias("outcome"),
+                     F.lit(None).cast("string").alias("endState")).alias("expect")).alias("c"))
+    return cases.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("cases")).select(
+        "id", F.lit("talks").alias("name"), F.lit("chat").alias("draftId"), F.lit(None).cast("string").alias("draftRev"), "cases")
+
+
+def suite_cases(spark, sf):
+    _, cases = models.suite_tables(suite_documents(spark, sf))
+    return cases.withColumn("steps", F.array_join("steps", " "))
+
+
+def template_documents(spark, sf):
+    """One process document per customer, as XML text read by its schema."""
+    event = lambda tag, key, name: F.concat(F.lit(f'<{tag} id="{key}" name="'), name, F.lit('"/>'))
+    flow = lambda a, b: F.lit(f'<sequenceFlow sourceRef="{a}" targetRef="{b}"/>')
+    text = F.concat(
+        F.lit('<definitions><collaboration><participant name="desk" processRef="p"/></collaboration><process id="p">'),
+        event("endEvent", "z", F.concat(F.lit("left-"), F.col("c_nationkey").cast("string"))),
+        event("intermediateCatchEvent", "m", F.lower("c_mktsegment")), F.lit('<task id="t" name="serve"/>'),
+        event("startEvent", "a", F.lit("came")), flow("t", "m"), flow("a", "t"), flow("m", "z"), F.lit("</process></definitions>"))
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("template_id"), F.from_xml(text, templates.SCHEMA, {"rowTag": "definitions"}).alias("d")
+    ).select("template_id", "d.*")
+
+
 QUERIES = {
+    "read_suites": suite_cases,
+    "read_templates": lambda s, d: templates.template_rows(template_documents(s, d)),
     "scan_scope": lambda s, d: events.scan_scope(order_log(s, d), SCOPE),
     "scan_subtree": lambda s, d: events.scan_subtree(order_docs(s, d), "orders/77"),
     "scan_type": lambda s, d: events.scan_type(user_log(s, d), "purchase", 500),
@@ -80,6 +115,13 @@ def _revision(name: str, rows: str) -> str:
 
 
 ORACLE = {
+    "read_suites": with_logs(CHAT)
+    + """, c AS (SELECT subject, string_agg(type, ' ' ORDER BY id) AS steps, count(*) AS n FROM chat_log GROUP BY subject),
+       d AS (SELECT *, 'suite-' || (regexp_extract(subject, '[0-9]+$')::BIGINT % 50) AS suite_id FROM c)
+       SELECT suite_id, 'chat' AS model_id, (row_number() OVER (PARTITION BY suite_id ORDER BY subject) - 1)::INT AS pos, subject AS case_id,
+         'talk ' || subject AS name, steps, CASE WHEN n > 3 THEN 'reject' ELSE 'accept' END AS outcome, '' AS end_state FROM d""",
+    "read_templates": """SELECT c_custkey::VARCHAR AS template_id, 'desk' AS process, '' AS subject_pattern, unnest([0, 2, 3])::INT AS pos,
+       unnest(['came', lower(c_mktsegment), 'left-' || c_nationkey]) AS type FROM customer""",
     "scan_scope": with_logs(ORDER) + f"SELECT id, source, subject, type, time {_SCOPED}",
     "scan_subtree": with_logs(DOCS)
     + "SELECT id, source, subject, type, time, data FROM order_docs WHERE subject = '/orders/77' OR starts_with(subject, '/orders/77/')",

@@ -71,7 +71,10 @@ def fields_by_type(fields: DataFrame, model_id: str) -> DataFrame:
 
 def read_suites(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Suites (suite_id, name, draft_id, draft_rev) and their cases."""
-    documents = spark.read.schema(SUITE_SCHEMA).option("multiLine", True).json(path)
+    return suite_tables(spark.read.schema(SUITE_SCHEMA).option("multiLine", True).json(path))
+
+
+def suite_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     suites = documents.select(
         F.col("id").alias("suite_id"), "name", F.col("draftId").alias("draft_id"),
         F.coalesce("draftRev", F.lit("")).alias("draft_rev"),

@@ -27,12 +27,8 @@ SCHEMA = (
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """(template_id, process, subject_pattern, pos, type): expected events in order.
-
-    From the start event (or else a node nothing leads to) the first outgoing flow is
-    followed until it ends or repeats.  All templates advance one node per round.
-    """
-    documents = (
+    """(template_id, process, subject_pattern, pos, type): expected events in order."""
+    return template_rows(
         spark.read.format("xml")
         .schema(SCHEMA)
         .option("rowTag", "definitions")
@@ -40,6 +36,14 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?\z", 1).alias("template_id"), "*")
     )
+
+
+def template_rows(documents: DataFrame) -> DataFrame:
+    """The rows of parsed template documents (``template_id`` and the columns of ``SCHEMA``).
+
+    From the start event (or else a node nothing leads to) the first outgoing flow is
+    followed until it ends or repeats.  All templates advance one node per round.
+    """
     usable = F.filter("process", lambda p: (F.coalesce(p["_id"], F.lit("")) != "") | (F.size(p["sequenceFlow"]) > 0))
     named = F.filter(F.col("collaboration.participant._name"), lambda n: F.coalesce(n, F.lit("")) != "")
     documents = cut_lineage(
