@@ -1,13 +1,18 @@
 import random
 import re
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from trailweave.llm import mixing, tokens
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from trailweave.llm import mixing, tokens  # noqa: E402
 
 
 def test_mix_against_sql(make_docs, corpus):
@@ -98,6 +103,23 @@ def test_tokenize_against_the_library(make_docs, corpus):
         start += len(ids)
 
 
+def test_query_and_stage_give_added_tokens_like_the_library(make_docs, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "The<|startoftext|>CAT", "a...<|endoftext|>!!<|startoftext|>x <|endoftext|>",
+             "<|ENDOFTEXT|> <|EndOfText|>", "É<|endoftext|><|endoftext|>ß <|endoftext|", "<|endoftext|>'s <|<|endoftext|>|>", "plain Text."]
+    make_docs([(i, t, "aa", "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for got in (tokens.QUERIES["op6_token_blocks"](spark, str(tmp_path)), corpus_pipeline.token_blocks(spark, docs, str(tmp_path))):
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_written_ids_are_read_back(make_docs, spark, tmp_path):
     tokens.write_tokens(make_docs([(2, "b", "aa", "s"), (1, "a a", "aa", "s")]), str(tmp_path / "t"), tokens.default_tokenizer())
     got = {r.doc_id: r.ids for r in tokens.read_tokens(spark, str(tmp_path / "t")).collect()}

@@ -16,6 +16,7 @@ Segments are the rows of a Parquet table (``part, segment``: order of ids).
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -135,19 +136,28 @@ class WordIds(dict):
     punctuation.  So a word is encoded once, in lower case, apart from the marks behind
     its letters; words of small letters go straight to the BPE model, which takes every
     byte as one character.
+
+    With ``added``, the strings of the tokenizer's added tokens, as written, get their own
+    ids as in the library's plain call; otherwise they are ordinary text.  A word that may
+    hold one comes as it was written, after a space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(MARKS)
-        if stem != word and stem and stem[-1].isalpha():
+        if word[:1] == " ":
+            parts = [p for p in self.split.split(word[1:]) if p]
+            ids = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self[p.encode().lower().decode()] for p in parts)
+        elif stem != word and stem and stem[-1].isalpha():
             ids = self[stem] + self[word[len(stem):]]
         elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
@@ -164,8 +174,16 @@ class WordIds(dict):
         Arrow splits the texts and numbers their words, so each different word is looked
         up once; ids are then put in place by index.
         """
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        numbered = lists.flatten().dictionary_encode()
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten()
+        lower = pc.ascii_lower(words)
+        if self.added:
+            holds = [pc.match_substring(words, t) for t in self.added]
+            if any(pc.any(h).as_py() for h in holds):
+                raw = pc.binary_join_element_wise("", words, " ")
+                for h in holds:
+                    lower = pc.if_else(h, raw, lower)
+        numbered = lower.dictionary_encode()
         parts = list(map(self.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool, code = np.frombuffer(b"".join(parts), "<u4"), numbered.indices.to_numpy(zero_copy_only=False)
@@ -176,20 +194,23 @@ class WordIds(dict):
         return np.insert(ids, ends, END), np.diff(ends, prepend=0) + 1
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[tuple[str, bool], WordIds] = {}
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+                 added: bool = False) -> None:
     """Encode whole texts, append the end id to each, and write segments in ascending order of id.
 
+    Strings of the tokenizer's added tokens get their own ids if ``added``, else they are ordinary text.
+
     Null texts are empty (the end id only); documents without an id come first; rows that
     repeat an id are in order of a hash of their text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = WordIds(tokenizer)
-        words = _WORDS[tokenizer]
+        if (tokenizer, added) not in _WORDS:
+            _WORDS[tokenizer, added] = WordIds(tokenizer, added)
+        words = _WORDS[tokenizer, added]
         part, number = TaskContext.get().partitionId(), 0
         for piece in pieces(batches, "text", 1 << 22):
             ids, counts = words.encode(piece.column("text"))
@@ -251,13 +272,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, **columns) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, **options) -> DataFrame:
     """Write the token files of ``docs`` (in the shared folder unless ``path`` is given) and index them."""
     spark = docs.sparkSession
     path = path or f"{checkpoint_folder(spark)}/trailweave-tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer or default_tokenizer(), **columns)
+    write_tokens(docs, path, tokenizer or default_tokenizer(), **options)
     return token_index(spark, path)
 
 
-QUERIES = {"op6_token_blocks": lambda s, d: tokenize(documents(s, d))}
+QUERIES = {"op6_token_blocks": lambda s, d: tokenize(documents(s, d), added=True)}
 ORACLE: dict[str, str] = {}
