@@ -61,7 +61,7 @@ def started_at_tail(spark, sf):
     return streamed(spark, log, lambda s: tail.tail_events(s, after=anchor))
 
 
-def strict(spark, sf):
+def strict(spark, sf, deliveries):
     """Two deliveries, the second with ids below the mark of the first: those are dropped."""
     log, source, out, progress = user_log(spark, sf), _folder(spark, "stream"), _folder(spark, "tail"), _folder(spark, "progress")
     marks = tail.HighWater(spark, _folder(spark, "marks"))
@@ -70,12 +70,26 @@ def strict(spark, sf):
         batch.write.mode("append").parquet(out)
 
     run = tail.strict_batch(marks, sink, LENS.predicate())
-    for delivery in (log.where(F.col("id") <= LATE).where(F.substring("id", -1, 1) != "3"), log.where(F.substring("id", -1, 1) == "3")):
-        delivery.repartition(1).write.mode("append").parquet(source)
+    for delivery in deliveries(log):
+        delivery.write.mode("append").parquet(source)
         tail.start_tail(tail.read_stream(spark, source, "parquet"), run, progress, once=True).awaitTermination()
     return spark.read.schema(SHOWN).parquet(out)
 
 
+def late_part(log):
+    """Of the first ids all but a late share, then the late share of the whole log."""
+    late = F.substring("id", -1, 1) == "3"
+    return log.where(F.col("id") <= LATE).where(~late), log.where(late)
+
+
+def whole_log(log):
+    """All ids up to the middle of the log but a late share, then all the rest."""
+    number = F.col("id").cast("bigint")
+    middle = log.agg(F.lpad(((F.min(number) + F.max(number)) / 2).cast("bigint").cast("string"), len(LATE), "0")).first()[0]
+    first = (F.col("id") <= middle) & (F.substring("id", -1, 1) != "3")
+    return log.where(first), log.where(~first)
+
+
 def live(spark, sf):
     """Counts per type after the last batch."""
     source, out = _folder(spark, "stream"), _folder(spark, "counts")
@@ -98,7 +112,8 @@ QUERIES = {
         subject_prefix("/customers/7") & (F.col("type") == "item.R") & (F.col("id") >= "1995")),
     "tail_events": lambda s, d: streamed(s, user_log(s, d), lambda t: tail.tail_events(t, LENS.predicate())),
     "start_at_tail": started_at_tail,
-    "strict_tail": strict,
+    "strict_tail": lambda s, d: strict(s, d, late_part),
+    "strict_tail_whole": lambda s, d: strict(s, d, whole_log),
     "tail_once": lambda s, d: streamed(
         s, user_log(s, d).unionByName(user_log(s, d).where("type = 'error'")), lambda t: tail.tail_once(t, "1 hour")),
     "live_counts": live,
@@ -122,6 +137,10 @@ ORACLE = {
     "strict_tail": with_logs(USER)
     + f"""{_SHOWN} WHERE {_LENS} AND ((id <= '{LATE}' AND right(id, 1) <> '3') OR (right(id, 1) = '3' AND id >
        (SELECT max(id) FROM user_log WHERE id <= '{LATE}' AND right(id, 1) <> '3')))""",
+    "strict_tail_whole": with_logs(USER)
+    + f""", m AS (SELECT lpad(((min(id::BIGINT) + max(id::BIGINT)) // 2)::VARCHAR, {len(LATE)}, '0') AS middle FROM user_log)
+       {_SHOWN}, m WHERE {_LENS} AND ((id <= middle AND right(id, 1) <> '3') OR id >
+       (SELECT max(id) FROM user_log, m WHERE id <= middle AND right(id, 1) <> '3'))""",
     "tail_once": with_logs(USER) + _SHOWN,
     "live_counts": with_logs(USER) + "SELECT type, count(*) AS count FROM user_log GROUP BY type",
 }
