@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = [import_module(f"trailweave.llm.{name}") for name in ("decontaminate", "exact", "language", "mixing", "perplexity", "personal", "secrets", "simhash", "tokens", "toxicity")]
+MODULES = [import_module(f"trailweave.llm.{name}") for name in ("decontaminate", "exact", "jaccard", "language", "mixing", "perplexity", "personal", "phrases", "secrets", "simhash", "spelling", "tokens", "toxicity")]
 
 
 def all_queries():
