@@ -4,10 +4,10 @@
 * **Size bands.**  Sizes are cut into bands so that linked sets lie in the same or in
   neighbouring bands, so a node takes part in two bands' tiles.  In a tile two linked sets
   differ in at most ``d`` shingles.  Shingles are dealt to more than ``d`` parts by hash;
-  then two linked sets agree in some whole part that is not empty.  (A set with too many
-  empty parts is dealt again by other hashes; what fails them all shares one key of its
-  tile.)  Digests of parts meet in one shuffle, and what shares one forms a *block* of
-  mostly similar sets.
+  then two linked sets agree in some whole part of two or more shingles.  (A set with too
+  many thin parts is dealt again by other hashes; what fails them all shares one key of its
+  tile.)  Digests of parts meet in one shuffle, and what shares one, directly or in chains
+  inside a tile's sizes, forms a *block* of mostly similar sets.
 * **Tiles.**  A block is cut along its sizes into chunks of bounded weight; pairs of chunks
   whose sizes allow a link are tiles, each worked on by one task.  Of a block with many
   chunks the neighbouring ones come first; then only tiles that still hold more than one
@@ -23,6 +23,7 @@ connects only after the intersection of whole sets has confirmed it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import repeat
@@ -38,14 +39,16 @@ from trailweave.llm.simhash import components
 from trailweave.session import cut_lineage
 
 SIZE, LEAST = 4, (85, 100)
-#: Spare parts beyond the greatest difference, hash rounds of sets with many empty parts.
-SPARE, ROUNDS = 2, 6
+#: Hash rounds of sets with many thin parts; the bits of a key that name its tile.
+ROUNDS, TILES = 6, np.uint64(1023)
 #: Most bits of the table of asked ids (32 MB).
 FILTER = 1 << 28
 #: Greatest weight of a chunk; a set weighs its shingles and ``BASE``.
 WEIGHT, BASE = 1 << 19, 128
-NODES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+NODES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64())])
+KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+STARS = pa.schema([("tile", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -101,15 +104,22 @@ class Bands:
         return np.searchsorted(self.ends, size)
 
 
-def part_keys(shingles: np.ndarray, bands: Bands) -> list[int]:
-    """Digests of the parts of a set, for the tile of its own band and for that of the band below."""
+def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    """Digests of the parts of a set, for the tile of its own band and for that of the band
+    below; the last bits hold the tile.
+
+    Of more than ``d`` + spare parts, two linked sets have more than spare ones in common.
+    A part of fewer than ``full`` shingles gives no key; if a set has at most spare such
+    parts, some common part gives one.
+    """
     if not len(shingles):
-        return []
+        return np.zeros(0, np.int64)
     band, out = int(bands.of(len(shingles))), []
     for tile in (band, band - 1):
         if tile < 0 or (d := int(bands.differ[tile])) < 1:
             continue  # equal sets only
-        parts = d + 1 + SPARE
+        full, spare = (2, math.ceil(0.16 * d) + 2) if d >= 8 else (1, 2)
+        parts = d + 1 + spare
         for number in range(ROUNDS):
             seed = np.uint64((tile << 8 | number) * 0x2545F4914F6CDD1D & (1 << 64) - 1)
             values = mixed(shingles ^ mixed(np.array([seed]))[0])
@@ -118,12 +128,14 @@ def part_keys(shingles: np.ndarray, bands: Bands) -> list[int]:
             part = part[order]
             edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             sums = np.add.reduceat(mixed(values[order] ^ _SECOND), edge)
-            out.append(mixed(sums + part[edge] * _FIRST + seed))
-            if parts - len(edge) <= SPARE:  # few empty parts: some common part holds shingles
+            strong = np.diff(np.r_[edge, len(part)]) >= full
+            keys = mixed(sums[strong] + part[edge][strong] * _FIRST + seed)
+            out.append(keys & ~TILES | np.uint64(tile))
+            if parts - len(keys) <= spare:
                 break
         else:
-            out.append(mixed(np.array([tile], np.uint64)))
-    return np.concatenate(out).view(np.int64).tolist() if out else []
+            out.append(np.array([tile], np.uint64))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +153,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[start[0] :] = np.repeat(nodes[start], lengths)
         key, first = keys[-1], root[-1]
         other = root != nodes
-        pairs = np.unique(np.stack([nodes[other], root[other]], 1), axis=0)
-        yield table(EDGES, pairs[:, 0], pairs[:, 1])
+        found = np.unique(np.stack([keys[other] & np.int64(TILES), nodes[other], root[other]], 1), axis=0)
+        yield table(STARS, found[:, 0].astype(np.int32), found[:, 1], found[:, 2])
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -234,21 +246,31 @@ def _tiles(members: DataFrame, sets: DataFrame, tiles: DataFrame, least: tuple[i
         lambda batches: _tile_links(batches, least), "a bigint, b bigint")
 
 
-def jaccard_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
-                  least: tuple[int, int] = LEAST) -> DataFrame:
-    """``doc_id, digest, size, keys`` of every document with a set."""
+def set_digests(rows: DataFrame, size: int) -> DataFrame:
+    """``doc_id, digest, size``: what tells equal sets, for every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            sets = [shingle_set(t, size) for t in texts(part)]
+            yield table(NODES, part.column("doc_id"), [digest(s) for s in sets], [len(s) for s in sets])
+
+    return rows.mapInArrow(run, "doc_id bigint, digest binary, size bigint")
+
+
+def set_keys(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+    """``key, node``: the keys of every document with an id.  They go straight into their
+    shuffle; a table of them would be larger than the texts."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(least, 1 << 10)
         for part in pieces(batches, "text"):
             sets = [shingle_set(t, size) for t in texts(part)]
             if max(map(len, sets)) > bands.tops[-1]:
                 bands = Bands(least, max(map(len, sets)))
-            yield table(NODES, part.column("doc_id"), [digest(s) for s in sets], [len(s) for s in sets],
-                        [part_keys(s, bands) for s in sets])
+            keys = [part_keys(s, bands) for s in sets]
+            yield table(KEYS, np.concatenate(keys), np.repeat(part.column("doc_id").to_numpy(), [len(k) for k in keys]))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        sketch, "doc_id bigint, digest binary, size bigint, keys array<bigint>")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(run, "key bigint, node bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
@@ -262,19 +284,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has no component, an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    nodes = stored(jaccard_nodes(rows, size=size, least=least), "set-keys")
+    nodes = stored(set_digests(rows, size), "set-digests")
     held = nodes.where("size > 0 AND doc_id IS NOT NULL")
     named = cut_lineage(held.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size")))
     copies = cut_lineage(held.select("doc_id", "digest").join(named, "digest").where("doc_id <> node").select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
-    stars = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")).repartition("key").sortWithinPartitions(
-        "key", "node").mapInArrow(_stars, "a bigint, b bigint").distinct()
-    blocks = components(stars.unionByName(copies))
-    inside = blocks.select(F.col("a").alias("node"), F.col("b").alias("block")).unionByName(
-        blocks.select(F.col("b").alias("node"), F.col("b").alias("block")).distinct())
-    members = cut_lineage(inside.join(named.select("node", "size").distinct(), "node"))
-    shared = members.groupBy("block").count().where("count > 1").select("block")
-    members = chunked(members.join(shared, "block", "left_semi"), weight)
+    # Equal sets share all keys, so the first node of a key is the first of its copies; edges of the others go.
+    stars = cut_lineage(set_keys(rows, size, least).repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        _stars, "tile int, a bigint, b bigint").distinct().join(copies.select("a"), "a", "left_anti"))
+    # A block is a component inside one tile of sizes; a clash of these hashes would only join two blocks.
+    blocks = components(stars.select(F.xxhash64("tile", "a").alias("a"), F.xxhash64("tile", "b").alias("b")))
+    inside = stars.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("at", F.xxhash64("tile", "node"))
+    blocked = inside.join(blocks, F.col("at") == F.col("a"), "left").select("node", F.coalesce("b", "at").alias("block"))
+    members = cut_lineage(blocked.join(named.select("node", "size").distinct(), "node"))
+    members = chunked(members, weight)
     sets = member_sets(rows, members, size)
     chunks = members.groupBy("block", "chunk").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     tiles = cut_lineage(chunks.select("block", F.col("chunk").alias("low"), "most").join(
@@ -315,8 +338,8 @@ def chunked(members: DataFrame, weight: int) -> DataFrame:
 
 def member_sets(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """``node, shingles`` of the members of blocks.  Texts are not shuffled: a bit table of
-    bounded size (``FILTER`` bits) tells the tasks which ids may be asked for, and sets of
-    others that pass it are left out by the join."""
+    bounded size (``FILTER`` bits) tells the tasks which ids may be asked for; the join with the
+    tiles leaves out the sets of others that pass it."""
     asked = members.select(F.col("node").alias("doc_id")).distinct()
     bits = 1 << 16
     while bits < FILTER and bits < 16 * asked.count():
@@ -334,9 +357,8 @@ def member_sets(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
             for part in pieces([wanted], "text"):
                 yield table(SETS, part.column("doc_id"), [shingle_set(t, size).tobytes() for t in texts(part)])
 
-    found = rows.where("doc_id IS NOT NULL").select("doc_id", "text", cell.alias("cell")).mapInArrow(
-        shingles, "doc_id bigint, shingles binary")
-    return stored(found.join(asked, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "member-sets")
+    return rows.where("doc_id IS NOT NULL").select("doc_id", "text", cell.alias("cell")).mapInArrow(
+        shingles, "node bigint, shingles binary")
 
 
 QUERIES = {"op13_jaccard": lambda s, d: jaccard_components(documents(s, d))}
