@@ -1,12 +1,17 @@
 """Templates, machines, payload checks and reports."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailweave.catalog.logs import CHAT, DOCS, ORDER, with_logs
+from trailweave.catalog.logs import CHAT, DOCS, ORDER, USER, with_logs
+from trailweave.catalog.streams import middle_id
 from trailweave.operators import conformance as c
 from trailweave.operators import machine as m
 from trailweave.operators import payload
-from trailweave.sources.tables import chat_log, order_docs, order_log
+from trailweave.operators.ordering import in_order
+from trailweave.session import cut_lineage
+from trailweave.sources import templates
+from trailweave.sources.tables import chat_log, order_docs, order_log, table, user_log
 
 TEMPLATE = c.Template(
     "order", ("order.placed", "item.A", "item.N", "item.R", "order.closed.F", "order.archived"), "/customers/1/orders"
@@ -90,6 +95,51 @@ def report(spark, sf):
     return c.quality_report(verdicts, c.edge_coverage(checked, DOC_MODEL))
 
 
+def coded_log(spark, sf):
+    """The order log with customer codes, which are no generated keys, as segments."""
+    return order_log(spark, sf).withColumn("subject", F.replace("subject", F.lit("/customers/"), F.lit("/customers/c")))
+
+
+def customer_templates(spark, sf):
+    """One process document per customer, on the orders of that customer; the first one speaks about all customers."""
+    lane = F.when(F.col("c_custkey") == 1, "/customers/{id}/orders").otherwise(
+        F.concat(F.lit("/customers/c"), F.col("c_custkey").cast("string"), F.lit("/orders")))
+    item = F.concat(F.lit("item."), F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("c_nationkey") % 3 + 1).cast("int")))
+    last = F.concat(F.lit("order.closed."), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O"))
+    text = F.concat(
+        F.lit('<definitions><process id="p"><laneSet><lane name="'), lane, F.lit('"/></laneSet><endEvent id="z" name="'), last,
+        F.lit('"/><intermediateCatchEvent id="m" name="'), item, F.lit('"/><startEvent id="a" name="order.placed"/>'
+              '<sequenceFlow sourceRef="a" targetRef="m"/><sequenceFlow sourceRef="m" targetRef="z"/></process></definitions>'))
+    documents = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("template_id"), F.from_xml(text, templates.SCHEMA, {"rowTag": "definitions"}).alias("d"))
+    return c.template_table(templates.template_rows(documents.select("template_id", "d.*")))
+
+
+def _many_templates(spark, sf):
+    return c.check_templates(coded_log(spark, sf), customer_templates(spark, sf))
+
+
+def mined_machines(log):
+    """One model per subject, from its own steps: states are types, every one may begin."""
+    steps = cut_lineage(in_order(log).df.where("prev_type IS NOT NULL").select("subject", "prev_type", "type").distinct())
+    place = F.row_number().over(Window.partitionBy("model_id").orderBy("node_id")) - 1
+    nodes = steps.select(F.col("subject").alias("model_id"), F.explode(F.array("prev_type", "type")).alias("node_id")).distinct().select(
+        "model_id", place.cast("int").alias("pos"), "node_id", F.lit("").alias("label"), F.lit(True).alias("is_start"), F.lit(False).alias("is_end"))
+    number = F.row_number().over(Window.partitionBy("model_id").orderBy("from_node", "type")) - 1
+    edges = steps.select(
+        F.col("subject").alias("model_id"), F.concat("prev_type", F.lit(">"), "type").alias("edge_id"), "type",
+        F.col("prev_type").alias("from_node"), F.col("type").alias("to_node"), F.lit("").alias("cardinality")).withColumn("pos", number.cast("int"))
+    return m.compile_machine(nodes, edges)
+
+
+def mined_fit(spark, sf):
+    """The whole of each user's log against the model of that user's first half."""
+    log = user_log(spark, sf)
+    machines = cut_lineage(mined_machines(log.where(F.col("id") <= middle_id(log))))
+    pairs = machines.select("model_id", F.col("model_id").alias("subject"))
+    return m.check_many(log, machines, pairs).select("model_id", "length", "ok", "fail_ix", "reason", "end_node")
+
+
 def _read_back(log):
     return log.where("type <> 'order.closed.P'")
 
@@ -108,6 +158,11 @@ QUERIES = {
     "compile_machine": lambda s, d: order_log(s, d).groupBy("type").agg(F.count(F.lit(1)).alias("n")).join(
         m.transitions(m.machine_of(s, ORDER_MODEL)), "type"),
     "check_sequence": lambda s, d: _walked(order_log(s, d), ORDER_MODEL).select(*VERDICT),
+    "check_sequence_path": lambda s, d: m.check_log_path(order_log(s, d), m.machine_of(s, ORDER_MODEL)).select("subject", "pos", "node"),
+    "check_sequence_path_once": lambda s, d: m.check_log_path(chat_log(s, d), m.machine_of(s, CHAT_MODEL)).select("subject", "pos", "node"),
+    "check_templates": lambda s, d: _many_templates(s, d),
+    "templates_summary": lambda s, d: c.templates_summary(_many_templates(s, d)),
+    "check_models": mined_fit,
     "check_sequence_once": lambda s, d: _walked(chat_log(s, d), CHAT_MODEL).select(*VERDICT),
     "model_fit": lambda s, d: c.model_fit(_walked(order_log(s, d), ORDER_MODEL)),
     "model_deviations": lambda s, d: c.model_deviations(_walked(order_log(s, d), ORDER_MODEL)),
@@ -191,6 +246,42 @@ _W = walk_sql([ORDER], "order_log", ORDER_MODEL)
 _WC = walk_sql([CHAT], "chat_log", CHAT_MODEL)
 _WD = walk_sql([DOCS], "order_docs", DOC_MODEL)
 _V = "SELECT subject, length, ok, fail_ix, reason, end_node FROM verdict"
+_MANY = with_logs(ORDER) + """, o AS (SELECT replace(subject, '/customers/', '/customers/c') AS subject, type, id FROM order_log),
+tpl AS (SELECT c_custkey::VARCHAR AS template_id, CASE WHEN c_custkey = 1 THEN '' ELSE '/customers/c' || c_custkey || '/orders' END AS scope,
+  ['order.placed', 'item.' || ['A', 'N', 'R'][c_nationkey % 3 + 1], 'order.closed.' || CASE c_custkey % 2 WHEN 0 THEN 'F' ELSE 'O' END] AS exp
+  FROM customer),
+seqs AS (SELECT subject, list(type ORDER BY id) AS ts FROM o GROUP BY subject),
+q AS (SELECT template_id, subject, exp, ts, list_filter(ts, lambda t: list_contains(exp, t)) AS pr
+      FROM seqs JOIN tpl ON scope = subject OR scope = ''),
+e AS (SELECT template_id, subject, exp, unnest(pr) AS t, generate_subscripts(pr, 1) AS i FROM q),
+p1 AS (SELECT template_id, subject, min(i) AS i1 FROM e WHERE t = exp[1] GROUP BY ALL),
+p2 AS (SELECT template_id, subject, min(i) AS i2 FROM e JOIN p1 USING (template_id, subject) WHERE t = exp[2] AND i > i1 GROUP BY ALL),
+p3 AS (SELECT template_id, subject, min(i) AS i3 FROM e JOIN p2 USING (template_id, subject) WHERE t = exp[3] AND i > i2 GROUP BY ALL),
+k AS (SELECT template_id, subject, len(ts) AS length, len(pr) AS projected, len(ts) - len(pr) AS unexpected,
+  (i1 IS NOT NULL)::BIGINT + (i2 IS NOT NULL)::BIGINT + (i3 IS NOT NULL)::BIGINT AS matched, exp
+  FROM q LEFT JOIN p1 USING (template_id, subject) LEFT JOIN p2 USING (template_id, subject) LEFT JOIN p3 USING (template_id, subject)),
+res AS (SELECT template_id, subject, length, projected, unexpected, matched, projected > 0 AS relevant,
+  projected = 3 AND matched = 3 AND unexpected = 0 AS conforming,
+  CASE WHEN projected > 0 AND NOT (projected = 3 AND matched = 3 AND unexpected = 0) THEN
+    CASE WHEN matched < 3 THEN 'stopped at step ' || (matched + 1) || '/3 — missing “' || exp[matched + 1] || '”'
+         WHEN unexpected > 0 THEN 'all steps in order, but ' || unexpected || ' unexpected event(s)'
+         ELSE 'all steps seen but with extra/repeated events' END END AS detail FROM k)
+"""
+_MINED = with_logs(USER) + """, h AS (SELECT subject, type, lag(type) OVER (PARTITION BY subject ORDER BY id) AS prev FROM user_log
+  WHERE id::BIGINT <= (SELECT (min(id::BIGINT) + max(id::BIGINT)) // 2 FROM user_log)),
+ed AS (SELECT DISTINCT subject, prev, type FROM h WHERE prev IS NOT NULL),
+nd AS (SELECT subject, min(least(prev, type)) AS first FROM ed GROUP BY subject),
+s AS (SELECT subject, type, lag(type) OVER w AS prev, row_number() OVER w - 1 AS ix, count(*) OVER (PARTITION BY subject) AS length
+      FROM user_log WINDOW w AS (PARTITION BY subject ORDER BY id)),
+bad AS (SELECT s.*, nd.first, CASE WHEN ix = 0 THEN NOT EXISTS (FROM ed WHERE ed.subject = s.subject AND ed.type = s.type)
+          ELSE NOT EXISTS (FROM ed WHERE ed.subject = s.subject AND ed.prev = s.prev AND ed.type = s.type) END AS fails
+        FROM s JOIN nd USING (subject)),
+f AS (SELECT subject, any_value(length) AS length, min(ix) FILTER (fails) AS fx, arg_min(type, ix) FILTER (fails) AS ft,
+        coalesce(arg_min(prev, ix) FILTER (fails), any_value(first)) AS cur, arg_max(type, ix) AS last FROM bad GROUP BY subject)
+SELECT subject AS model_id, length, fx IS NULL AS ok, coalesce(fx, -1) AS fail_ix,
+  CASE WHEN fx IS NULL THEN '' ELSE 'no transition from state "' || cur || '" via event type "' || ft || '"' END AS reason,
+  CASE WHEN fx IS NULL THEN last ELSE cur END AS end_node FROM f"""
+_PATH = "SELECT subject, w.pos, cur AS node FROM w JOIN verdict USING (subject, ord) WHERE w.fail = -1"
 _COVER = """(SELECT count(DISTINCT took) FROM w JOIN verdict USING (subject, ord) WHERE took >= 0)"""
 
 _FAULTS = """faults AS (
@@ -234,6 +325,14 @@ ORACLE = {
        SELECT type, n, 'orders' AS model_id, src AS from_node, dst AS to_node, once FROM edge JOIN n USING (type)""",
     "check_sequence": _W + _V,
     "check_sequence_once": _WC + _V,
+    "check_sequence_path": _W + _PATH,
+    "check_sequence_path_once": _WC + _PATH,
+    "check_templates": _MANY + "SELECT * FROM res",
+    "templates_summary": _MANY + """SELECT template_id, count(*) AS in_scope, count(*) FILTER (relevant) AS relevant,
+       count(*) FILTER (conforming) AS conforming,
+       CASE WHEN count(*) FILTER (relevant) = 0 THEN 0 ELSE count(*) FILTER (conforming) * 100 // count(*) FILTER (relevant) END AS fit_pct
+       FROM res GROUP BY template_id""",
+    "check_models": _MINED,
     "model_fit": _W
     + "SELECT count(*) AS subjects, count(*) FILTER (ok) AS conforming, count(*) FILTER (ok) * 100 // count(*) AS fit_pct FROM verdict",
     "model_deviations": _W

@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from trailweave.catalog.logs import DOCS, ORDER, USER, with_logs
 from trailweave.functions.predicates import SpaceFilter, subject_prefix
+from trailweave.operators import space
 from trailweave.sources import events
 from trailweave.sources.tables import order_docs, order_log, user_log
 from trailweave.session import checkpoint_folder
 from trailweave.streaming import tail
 
+CELLS = "row bigint, col bigint, phase string, count bigint, min_id string, max_id string"
 SHOWN = "id string, subject string, type string, time string, phase string"
 LENS = SpaceFilter(subject="/users", types=("click", "error", "purchase"))
-LATE = "00000000000000000500"
+#: Digits of an id of the user log.
+WIDTH = 20
 
 
 def _folder(spark, name: str) -> str:
@@ -43,49 +46,39 @@ def nameless(spark, sf):
 
 def streamed(spark, log, tailed):
     """What a tail over the written log appends, until all of it is read."""
-    source, out = _folder(spark, "stream"), _folder(spark, "tail")
+    source, out = _folder(spark, "stream"), tail.BatchTable(spark, _folder(spark, "tail"), SHOWN)
     events.write_log(log, source)
+    tail.start_tail(tailed(tail.read_stream(spark, source, "parquet")), out.write, _folder(spark, "progress"), once=True).awaitTermination()
+    return out.read()
 
-    def sink(batch, number):
-        batch.write.mode("append").parquet(out)
 
-    tail.start_tail(tailed(tail.read_stream(spark, source, "parquet")), sink, _folder(spark, "progress"), once=True).awaitTermination()
-    return spark.read.schema(SHOWN).parquet(out)
+def middle_id(log):
+    """The id in the middle between the first and the last one."""
+    number = F.col("id").cast("bigint")
+    return log.agg(F.lpad(((F.min(number) + F.max(number)) / 2).cast("bigint").cast("string"), WIDTH, "0")).first()[0]
 
 
 def started_at_tail(spark, sf):
     """A tail that starts at the end of the first half shows the second half only."""
     log = user_log(spark, sf)
-    half = log.where(F.substring("id", -1, 1) < "5")
-    anchor = tail.current_tail(half.where(F.col("id") <= LATE))
+    anchor = tail.current_tail(log.where(F.col("id") <= middle_id(log)))
     return streamed(spark, log, lambda s: tail.tail_events(s, after=anchor))
 
 
 def strict(spark, sf, deliveries):
     """Two deliveries, the second with ids below the mark of the first: those are dropped."""
-    log, source, out, progress = user_log(spark, sf), _folder(spark, "stream"), _folder(spark, "tail"), _folder(spark, "progress")
-    marks = tail.HighWater(spark, _folder(spark, "marks"))
-
-    def sink(batch, number):
-        batch.write.mode("append").parquet(out)
-
-    run = tail.strict_batch(marks, sink, LENS.predicate())
+    log, source, progress = user_log(spark, sf), _folder(spark, "stream"), _folder(spark, "progress")
+    marks, out = tail.HighWater(spark, _folder(spark, "marks")), tail.BatchTable(spark, _folder(spark, "tail"), SHOWN)
+    run = tail.strict_batch(marks, out.write, LENS.predicate())
     for delivery in deliveries(log):
         delivery.write.mode("append").parquet(source)
         tail.start_tail(tail.read_stream(spark, source, "parquet"), run, progress, once=True).awaitTermination()
-    return spark.read.schema(SHOWN).parquet(out)
-
-
-def late_part(log):
-    """Of the first ids all but a late share, then the late share of the whole log."""
-    late = F.substring("id", -1, 1) == "3"
-    return log.where(F.col("id") <= LATE).where(~late), log.where(late)
+    return out.read()
 
 
 def whole_log(log):
     """All ids up to the middle of the log but a late share, then all the rest."""
-    number = F.col("id").cast("bigint")
-    middle = log.agg(F.lpad(((F.min(number) + F.max(number)) / 2).cast("bigint").cast("string"), len(LATE), "0")).first()[0]
+    middle = middle_id(log)
     first = (F.col("id") <= middle) & (F.substring("id", -1, 1) != "3")
     return log.where(first), log.where(~first)
 
@@ -104,6 +97,21 @@ def live(spark, sf):
     return spark.read.schema("type string, count bigint").parquet(out)
 
 
+def live_grid(spark, sf):
+    """The grid of a stream, updated batch by batch, against a fixed axis and bands."""
+    log = user_log(spark, sf)
+    placed, bands = space.axis(log), space.subject_bands(log)
+    source, out = _folder(spark, "stream"), tail.BatchTable(spark, _folder(spark, "cells"), CELLS)
+    middle = middle_id(log)
+    progress = _folder(spark, "progress")
+    for part in (log.where(F.col("id") <= middle), log.where(F.col("id") > middle)):
+        part.write.mode("append").parquet(source)
+        cells = tail.live_cells(tail.read_stream(spark, source, "parquet"), placed.low, placed.high, space.band_lows(bands), space.COLUMNS)
+        cells.writeStream.outputMode("update").foreachBatch(out.write).option("checkpointLocation", progress).trigger(
+            availableNow=True).start().awaitTermination()
+    return tail.merged_cells(out.read())
+
+
 QUERIES = {
     "read_events": lambda s, d: read_back(s, user_log(s, d), fmt="json"),
     "read_events_missing_type": lambda s, d: read_back(s, nameless(s, d), fmt="json"),
@@ -112,11 +120,11 @@ QUERIES = {
         subject_prefix("/customers/7") & (F.col("type") == "item.R") & (F.col("id") >= "1995")),
     "tail_events": lambda s, d: streamed(s, user_log(s, d), lambda t: tail.tail_events(t, LENS.predicate())),
     "start_at_tail": started_at_tail,
-    "strict_tail": lambda s, d: strict(s, d, late_part),
     "strict_tail_whole": lambda s, d: strict(s, d, whole_log),
     "tail_once": lambda s, d: streamed(
         s, user_log(s, d).unionByName(user_log(s, d).where("type = 'error'")), lambda t: tail.tail_once(t, "1 hour")),
     "live_counts": live,
+    "live_density": live_grid,
 }
 
 _PHASE = "CASE type WHEN 'error' THEN 'error' ELSE 'complete' END AS phase"
@@ -133,14 +141,20 @@ ORACLE = {
        WHERE starts_with(subject, '/customers/7/') AND type = 'item.R' AND id >= '1995'""",
     "tail_events": with_logs(USER) + f"{_SHOWN} WHERE {_LENS}",
     "start_at_tail": with_logs(USER)
-    + f"{_SHOWN} WHERE id > (SELECT max(id) FROM user_log WHERE id <= '{LATE}' AND right(id, 1) < '5')",
-    "strict_tail": with_logs(USER)
-    + f"""{_SHOWN} WHERE {_LENS} AND ((id <= '{LATE}' AND right(id, 1) <> '3') OR (right(id, 1) = '3' AND id >
-       (SELECT max(id) FROM user_log WHERE id <= '{LATE}' AND right(id, 1) <> '3')))""",
+    + f"{_SHOWN} WHERE id > (SELECT max(id) FROM user_log WHERE id::BIGINT <= (SELECT (min(id::BIGINT) + max(id::BIGINT)) // 2 FROM user_log))",
     "strict_tail_whole": with_logs(USER)
-    + f""", m AS (SELECT lpad(((min(id::BIGINT) + max(id::BIGINT)) // 2)::VARCHAR, {len(LATE)}, '0') AS middle FROM user_log)
+    + f""", m AS (SELECT lpad(((min(id::BIGINT) + max(id::BIGINT)) // 2)::VARCHAR, {WIDTH}, '0') AS middle FROM user_log)
        {_SHOWN}, m WHERE {_LENS} AND ((id <= middle AND right(id, 1) <> '3') OR id >
        (SELECT max(id) FROM user_log, m WHERE id <= middle AND right(id, 1) <> '3'))""",
     "tail_once": with_logs(USER) + _SHOWN,
     "live_counts": with_logs(USER) + "SELECT type, count(*) AS count FROM user_log GROUP BY type",
+    "live_density": with_logs(USER)
+    + """, names AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS ix, count(*) OVER () AS n FROM (SELECT DISTINCT subject FROM user_log)),
+       banded AS (SELECT subject, CASE WHEN n <= 70 THEN ix WHEN ix < (n % 70) * (n // 70 + 1) THEN ix // (n // 70 + 1)
+         ELSE n % 70 + (ix - (n % 70) * (n // 70 + 1)) // greatest(n // 70, 1) END AS row FROM names),
+       t AS (SELECT row, id, type, epoch_us(ts) AS val, min(epoch_us(ts)) OVER () AS low, max(epoch_us(ts)) OVER () AS high
+             FROM user_log JOIN banded USING (subject))
+       SELECT row, least(floor((val - low) / (high - low)::DOUBLE * 120), 119)::BIGINT AS col, count(*) AS count,
+         CASE WHEN count(*) FILTER (type = 'error') * 2 >= count(*) THEN 'error' ELSE 'complete' END AS phase,
+         min(id) AS min_id, max(id) AS max_id FROM t GROUP BY 1, 2""",
 }

@@ -41,9 +41,14 @@ def _trimmed(path: Column) -> Column:
     return F.regexp_replace(path, r"^/+|/+\z", "")
 
 
+def whole_segments(path: Column) -> Column:
+    """Segments between the outer slashes, empty ones inside included."""
+    return F.split(_trimmed(path), "/", -1)
+
+
 def matches_pattern(subject: Column, pattern: Column) -> Column:
     """Same number of segments; ``{id}`` in the pattern stands for any segment."""
-    have, want = F.split(_trimmed(subject), "/", -1), F.split(_trimmed(pattern), "/", -1)
+    have, want = whole_segments(subject), whole_segments(pattern)
     same = F.forall(
         F.zip_with(have, want, lambda h, w: (w == ID_SEGMENT) | (h == w)), lambda ok: F.coalesce(ok, F.lit(False))
     )

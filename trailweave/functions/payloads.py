@@ -15,6 +15,7 @@ def whole_json(text: Column) -> Column:
     """
     mark = F.md5(text)
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    two = F.try_variant_get(listed, "$", "array<variant>")
-    whole = (F.size(two) == 2) & (F.try_variant_get(listed, "$[1]", "string") == mark)
-    return F.when(F.coalesce(whole, F.lit(False)), F.try_variant_get(listed, "$[0]", "variant"))
+    # Read by place: a third element, or a second one that is not the mark, means that more than one value was there.
+    whole = F.try_variant_get(listed, "$[1]", "string") == mark
+    more = F.try_variant_get(listed, "$[2]", "variant").isNotNull()
+    return F.when(F.coalesce(whole, F.lit(False)) & ~more, F.try_variant_get(listed, "$[0]", "variant"))

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.functions.paths import matches_literal, subject_pattern
+from trailweave.functions.paths import ID_SEGMENT, matches_literal, subject_pattern, whole_segments
 from trailweave.functions.text import deviation_detail, pct
-from trailweave.operators.machine import Model, check_log, check_sequences, fold_log
-from trailweave.operators.ordering import Slices, in_order, sequences
-from trailweave.session import cut_lineage, small_table
+from trailweave.operators.machine import BLOCK, Model, check_log, check_sequences, fold_log
+from trailweave.operators.ordering import Slices, blocks_of, in_order, sequences
+from trailweave.session import checked_broadcast, cut_lineage, small_table
 
 # Lengths of the example lists.
 TEMPLATE_DEVIATIONS = 12
@@ -38,10 +38,11 @@ def template_machine(spark: SparkSession, template: Template) -> DataFrame:
     ]
     schema = (
         "model_id string, node_ids array<string>, types array<string>, labels array<string>, starts array<int>, "
-        "ends array<boolean>, jump array<struct<to:int,once:boolean,edge:int>>"
+        "ends array<boolean>, jump array<struct<to:int,once:boolean,edge:int>>, "
+        "moves array<array<struct<t:int,to:int,once:boolean,edge:int>>>"
     )
     states = [str(i) for i in range(len(steps) + 1)]
-    return small_table(spark, [(template.process, states, types, states, [0], [], jump)], schema)
+    return small_table(spark, [(template.process, states, types, states, [0], [], jump, None)], schema)
 
 
 def in_scope(log: DataFrame, template: Template) -> DataFrame:
@@ -124,6 +125,84 @@ def expected_presence(log: DataFrame, template: Template) -> DataFrame:
     return wanted.join(seen, "type", "left").select("step", "type", F.coalesce("present", F.lit(False)).alias("present"))
 
 
+# --- many templates ------------------------------------------------------------
+
+
+def template_table(rows: DataFrame) -> DataFrame:
+    """(template_id, process, subject_pattern, expected) from the rows of the template reader."""
+    steps = F.array_sort(F.collect_list(F.struct("pos", "type")))
+    return rows.groupBy("template_id", "process", "subject_pattern").agg(steps.alias("_steps")).select(
+        "template_id", "process", "subject_pattern", F.col("_steps.type").alias("expected"))
+
+
+def match_patterns(subjects: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(subject, subject_pattern) of all pairs that match, by an index of the patterns.
+
+    A pattern's shape is its number of segments and the places of its ``{id}``.  A subject
+    looks up one key per shape of its length: its own segments with those places masked.  So
+    matching is an equality join; an empty pattern matches every subject.
+    """
+    wanted = patterns.select("subject_pattern").distinct().withColumn("_parts", whole_segments(F.col("subject_pattern")))
+    places = F.filter(F.transform("_parts", lambda s, i: F.when(s == ID_SEGMENT, i.cast("int"))), lambda i: i.isNotNull())
+    empty = F.col("subject_pattern") == ""
+    keyed = cut_lineage(wanted.select(
+        "subject_pattern", empty.alias("_all"), F.size("_parts").alias("_size"), places.alias("_places"), "_parts"))
+    shapes = checked_broadcast(keyed.where("NOT _all").select("_size", "_places").distinct())
+    asked = subjects.select("subject").distinct().withColumn("_have", whole_segments(F.col("subject")))
+    masked = F.transform("_have", lambda s, i: F.when(F.array_contains("_places", i.cast("int")), F.lit(ID_SEGMENT)).otherwise(s))
+    probes = asked.join(shapes, F.size("_have") == F.col("_size")).select("subject", masked.alias("_parts"), "_size", "_places")
+    index = keyed.where("NOT _all").select("subject_pattern", "_parts", "_size", "_places")
+    found = probes.join(index, ["_parts", "_size", "_places"]).select("subject", "subject_pattern")
+    everything = asked.select("subject").crossJoin(F.broadcast(keyed.where("_all").select("subject_pattern")))  # one row at most
+    return found.unionByName(everything)
+
+
+def check_templates(log: DataFrame, templates: DataFrame, slices: Slices | None = None) -> DataFrame:
+    """``template_check`` of all templates in one job, with the template in front of the subject.
+
+    ``templates`` is ``template_table``.  Sequences are gathered once, in blocks; a block is
+    walked for each of its templates from every step it may be entered at, and the blocks of
+    a subject are put together in two levels, so a subject may be of any length.
+    """
+    known = templates.select("template_id", "subject_pattern", "expected")
+    blocks = cut_lineage(blocks_of(in_order(log, slices).df, ["subject"], BLOCK).select("subject", "block", "types"))
+    pairs = match_patterns(blocks, known).join(known.drop("expected"), "subject_pattern").select("template_id", "subject")
+    met = blocks.join(pairs, "subject").join(known.select("template_id", "expected"), "template_id")
+    mine = F.filter("types", lambda t: F.array_contains("expected", t))
+    follow = lambda at, t: F.when(F.get("expected", at) == t, at + 1).otherwise(at)
+    entries = F.when(F.col("block") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("expected")))
+    keys = ["template_id", "subject"]
+    folded = met.withColumn("_mine", mine).select(
+        *keys, "block", F.size("types").cast("bigint").alias("length"), F.size("_mine").cast("bigint").alias("projected"),
+        F.transform(entries, lambda at: F.aggregate("_mine", at, follow)).alias("outs"))
+    for width in (BLOCK, None):
+        group = F.lit(0).cast("bigint") if width is None else F.floor(F.col("block") / width).cast("bigint")
+        parts = F.array_sort(F.collect_list(F.struct("block", "outs")))
+        rest = F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))
+        outs = F.transform(F.get("_parts", F.lit(0))["outs"], lambda at: F.aggregate(
+            rest, at, lambda now, part: F.get(part["outs"], now)))
+        folded = folded.withColumn("_group", group).groupBy(*keys, "_group").agg(
+            parts.alias("_parts"), F.sum("length").alias("length"), F.sum("projected").alias("projected")).select(
+            *keys, F.col("_group").alias("block"), "length", "projected", outs.alias("outs"))
+    total = F.size("expected").cast("bigint")
+    walked = folded.join(known.select("template_id", "expected"), "template_id").select(
+        *keys, "length", "projected", (F.col("length") - F.col("projected")).alias("unexpected"),
+        F.get("outs", F.lit(0)).cast("bigint").alias("matched"), "expected")
+    conforming = (F.col("projected") == total) & (F.col("matched") == total) & (F.col("unexpected") == 0) & (F.col("projected") > 0)
+    return walked.select(
+        *keys, "length", "projected", "unexpected", "matched", (F.col("projected") > 0).alias("relevant"),
+        conforming.alias("conforming"),
+        F.when((F.col("projected") > 0) & ~conforming,
+               deviation_detail(F.col("expected"), F.col("matched"), F.col("unexpected"), F.col("projected"))).alias("detail"))
+
+
+def templates_summary(checked: DataFrame) -> DataFrame:
+    """Subjects in scope, taking part and conforming, and the fit of every template with subjects."""
+    sums = checked.groupBy("template_id").agg(
+        F.count(F.lit(1)).alias("in_scope"), F.count_if("relevant").alias("relevant"), F.count_if("conforming").alias("conforming"))
+    return sums.withColumn("fit_pct", pct(F.col("conforming"), F.col("relevant")))
+
+
 # --- designed machines -------------------------------------------------------
 
 

@@ -164,7 +164,7 @@ def _cells(counted: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _lows(bands: DataFrame) -> list[str]:
+def band_lows(bands: DataFrame) -> list[str]:
     """Lower ends of name-ordered bands: at most ``max_rows`` names."""
     return [row["from"] for row in bands.select("band", "from").orderBy("band").collect()]
 
@@ -178,7 +178,7 @@ def density(placed: Axis, bands: DataFrame, member: DataFrame | None = None, col
     """
     marked = placed.df.select("subject", "id", _column(placed, cols).alias("col"), "type")
     if member is None:
-        ranged = marked.select(which_range(F.col("subject"), _lows(bands)).alias("row"), "col", "type", "id")
+        ranged = marked.select(which_range(F.col("subject"), band_lows(bands)).alias("row"), "col", "type", "id")
         return _cells(ranged.where("row >= 0").groupBy("row", "col", "type").agg(*_summary()), ["row", "col"])
     reduced = marked.groupBy("subject", "col", "type").agg(*_summary())
     placed_cells = reduced.join(member.withColumnRenamed("band", "row"), "subject")
@@ -215,7 +215,7 @@ def drill(cells: DataFrame, bands: DataFrame, events: DataFrame, member: DataFra
     if member is None:
         bands = cut_lineage(bands)
         ends = bands.select(F.col("band").alias("row"), F.col("to").alias("_to"))
-        located = events.withColumn("row", which_range(F.col("subject"), _lows(bands)))
+        located = events.withColumn("row", which_range(F.col("subject"), band_lows(bands)))
     else:
         ends = bands.select(F.col("band").alias("row"), F.lit(None).cast("string").alias("_to"))
         located = events.join(member.withColumnRenamed("band", "row"), "subject")

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trailweave.functions.lifecycle import phase
-from trailweave.functions.text import rfc3339
-from trailweave.session import small_table
+from trailweave.functions.lifecycle import phase, phase_priority
+from trailweave.functions.text import normalise_x, rfc3339
+from trailweave.operators.ordering import which_range
+from trailweave.session import cut_lineage, small_table
 from trailweave.sources.events import EVENT_SCHEMA, filled
 
 POLL = "2 seconds"
@@ -99,6 +100,65 @@ class HighWater:
         return [int(f.getPath().getParent().getName().removeprefix("batch-")) for f in found]
 
 
+class BatchTable:
+    """A table of delivered batches: one folder per batch id, and a list of those that count.
+
+    A batch that is written again replaces its own folder, so a failure between sink and
+    mark, and the retry after it, delivers no row twice.  Readers see finished folders only.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.folder}/batch-{number}")
+
+    def batches(self) -> list[int]:
+        return sorted(HighWater(self.spark, self.folder)._batches())
+
+    def read(self) -> DataFrame:
+        folders = [f"{self.folder}/batch-{n}" for n in self.batches()]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def compact(self, below: int) -> None:
+        """Fold the batches before ``below`` into the one just before it (call it from one place,
+        between batches).  Their folders go once the folded one is finished."""
+        old = [n for n in self.batches() if n < below]
+        if len(old) < 2:
+            return
+        kept = cut_lineage(self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/batch-{n}" for n in old]))
+        files = HighWater(self.spark, self.folder)
+        for n in old[:-1]:
+            files._files().delete(files._path(f"{self.folder}/batch-{n}"), True)
+        self.write(kept, old[-1])
+
+
+def live_cells(stream: DataFrame, low: int, high: int, lows: list[str], cols: int) -> DataFrame:
+    """Grid cells of a stream on a fixed axis (update mode): row, col, phase, count, min_id, max_id.
+
+    The axis (microseconds ``low`` to ``high``) and the name bands (their lower ends) are those
+    of the chart the stream continues.  Later events fall into the last column, as newer ones
+    do in the chart; events without a time and subjects before the first band are left out.
+    State is one row per cell and phase.
+    """
+    micros = F.unix_micros(rfc3339(F.col("time")))
+    share = normalise_x(micros, F.lit(low), F.lit(high))
+    col = F.greatest(F.least(F.floor(share * cols), F.lit(cols - 1)), F.lit(0)).cast("bigint")
+    marked = stream.select(which_range(F.col("subject"), lows).alias("row"), col.alias("col"), phase(F.col("type")).alias("phase"), "id")
+    return marked.where("row >= 0 AND col IS NOT NULL").groupBy("row", "col", "phase").agg(
+        F.count(F.lit(1)).alias("count"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+
+
+def merged_cells(updates: DataFrame) -> DataFrame:
+    """The grid after all delivered updates: of each cell and phase the latest state (counts
+    only grow), then cells with their leading phase."""
+    latest = updates.groupBy("row", "col", "phase").agg(
+        F.max_by(F.struct("count", "min_id", "max_id"), "count").alias("s")).select("row", "col", "phase", "s.*")
+    lead = F.max_by("phase", F.struct("count", -phase_priority(F.col("phase"))))
+    return latest.groupBy("row", "col").agg(
+        F.sum("count").alias("count"), lead.alias("phase"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"))
+
+
 def strict_batch(
     marks: HighWater, sink: Callable[[DataFrame, int], None], predicate: Column | None = None
 ) -> Callable[[DataFrame, int], None]:
