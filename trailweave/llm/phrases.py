@@ -130,35 +130,51 @@ def stripes(texts: pa.Array, langs: pa.Array, level: int, frequent: Frequent) ->
 def merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Stripes of one language, prefix and segment arrive one after another and are added up.
 
-    Gives the entries of at least ``least``, and a row without a next word that holds the sum.
+    Gives the entries of at least ``least``, and for stripes without a prefix a row without a
+    next word that holds the sum.  A batch is merged as arrays; its last stripe waits, added
+    up, for its rest in the next one.
     """
-    key, counter, out = None, {}, []
-
-    def close():
-        if key is not None:
-            lang, prefix, _ = key
-            name = prefix.decode()
-            out.extend((lang, name, w.decode(), n, None) for w, n in counter.items() if n >= least)
-            if not prefix:
-                out.append((lang, name, None, None, sum(counter.values())))
-
-    def flush():
-        rows = table(ENTRIES, *zip(*out)) if out else None
-        out.clear()
-        return rows
+    key, held, sums = None, pa.array([], pa.binary()), np.zeros(0, np.int64)
+
+    def rows(langs: list, prefixes: list, group: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        keep = np.flatnonzero(n >= least)
+        where = group[keep].tolist()
+        whole = [g for g, p in enumerate(prefixes) if not p]
+        totals = np.bincount(group, n, len(prefixes)).astype(np.int64) if whole else n
+        names = words.take(pa.array(keep)).cast(pa.string()).to_pylist()
+        return table(ENTRIES, [langs[g] for g in where] + [langs[g] for g in whole],
+                     [prefixes[g].decode() for g in where] + [""] * len(whole), names + [None] * len(whole),
+                     n[keep].tolist() + [None] * len(whole), [None] * len(keep) + [int(totals[g]) for g in whole])
 
     for batch in batches:
-        for lang, prefix, seg, following, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            if (lang, prefix, seg) != key:
-                close()
-                key, counter = (lang, prefix, seg), {}
-            for word, n in zip(following.split(b" "), np.frombuffer(counts, "<i4").tolist()):
-                counter[word] = counter.get(word, 0) + n
-        if len(out) > 20_000:
-            yield flush()
-    close()
-    if out:
-        yield flush()
+        if not batch.num_rows:
+            continue
+        langs, prefixes, segs = (batch.column(c) for c in ("lang", "prefix", "seg"))
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (langs, prefixes, segs)], axis=0)
+        first = np.flatnonzero(new)
+        keys = list(zip(*(c.take(pa.array(first)).to_pylist() for c in (langs, prefixes, segs))))
+        lists = pc.split_pattern(batch.column("next"), b" ")
+        group = np.repeat(np.cumsum(new) - 1, pc.list_value_length(lists).to_numpy())
+        words, n = lists.flatten(), np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4").astype(np.int64)
+        if key is not None:
+            if keys[0] != key:
+                keys.insert(0, key)
+                group = group + 1
+            words = pa.concat_arrays([held, words])
+            group, n = np.r_[np.zeros(len(held), np.int64), group], np.r_[sums, n]
+        coded = words.dictionary_encode()
+        size = len(coded.dictionary)
+        pair, at = np.unique(group * size + coded.indices.to_numpy(), return_inverse=True)
+        total = np.zeros(len(pair), np.int64)
+        np.add.at(total, at, n)
+        group, words = pair // size, coded.dictionary.take(pa.array(pair % size))
+        last = int(np.searchsorted(group, len(keys) - 1))
+        key, held, sums = keys[-1], words[last:], total[last:]
+        if last:
+            yield rows([k[0] for k in keys[:-1]], [k[1] for k in keys[:-1]], group[:last], words[:last], total[:last])
+    if key is not None:
+        yield rows([key[0]], [key[1]], np.zeros(len(held), np.int64), held, sums)
 
 
 def level_counts(docs: DataFrame, level: int, frequent: Frequent, least: int) -> DataFrame:
