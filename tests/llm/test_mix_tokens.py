@@ -103,6 +103,24 @@ def test_tokenize_against_the_library(make_docs, corpus):
         start += len(ids)
 
 
+def test_any_string_gets_the_ids_of_the_plain_call():
+    """Letters that lower-casing or composition changes, alone and among marks, digits and added tokens."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(tokens.default_tokenizer()), tokens.WordIds(tokens.default_tokenizer(), True)
+    rng = random.Random(7)
+    alphabet = list("abYKo.,'!-09 ") + ["İ", "\u030a", "\u0301", "é", "É", "ß", "ẞ", "Σ", "ς", "\u212b", "ﬁ", "\u0345", "日", "\u00b2", "ǅ", "\u00ad", "'s", "<|endoftext|>", "\u2019"]
+    made = ["İ.", "Kİ,", "Y\u030a", "Y\u030a.", "é.", "É!", "日。"] + ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(20_000)]
+    ids, counts = words.encode(pa.array(made))
+    ends = np.cumsum(counts)
+    wrong = [(t, ids[e - n : e - 1].tolist()) for t, e, n in zip(made, ends, counts)
+             if ids[e - n : e - 1].tolist() != library.encode(t, add_special_tokens=False).ids]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_query_and_stage_give_added_tokens_like_the_library(make_docs, spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -132,14 +132,15 @@ BYTES = {b: b for b in SHOWN} | {b: 256 + n for n, b in enumerate(b for b in ran
 class WordIds(dict):
     """Ids of white-space separated words as little-endian u32 bytes, remembered.
 
-    The tokenizer lower-cases, never joins across white space and splits letters from
-    punctuation.  So a word is encoded once, in lower case, apart from the marks behind
-    its letters; words of small letters go straight to the BPE model, which takes every
-    byte as one character.
+    The tokenizer never joins across white space and splits letters from punctuation, so a
+    text is encoded word by word.  A word is looked up in lower case, apart from the marks
+    behind its letters, only where that cannot change its ids: words of ASCII, and words whose
+    every character neither lower-casing nor composition (NFC) would change once A-Z are
+    lower.  Any other word goes to the library as it was written, marks included; such a word,
+    and one that may hold an added token, comes here after a space.
 
     With ``added``, the strings of the tokenizer's added tokens, as written, get their own
-    ids as in the library's plain call; otherwise they are ordinary text.  A word that may
-    hold one comes as it was written, after a space.
+    ids as in the library's plain call; otherwise they are ordinary text.
     """
 
     def __init__(self, path: str, added: bool = False):
@@ -152,22 +153,37 @@ class WordIds(dict):
         self.added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
+    def plain(self, word: str) -> bytes:
+        """Ids of a word without added tokens."""
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(MARKS)
         if word[:1] == " ":
-            parts = [p for p in self.split.split(word[1:]) if p]
-            ids = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self[p.encode().lower().decode()] for p in parts)
-        elif stem != word and stem and stem[-1].isalpha():
-            ids = self[stem] + self[word[len(stem):]]
-        elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            parts = [p for p in self.split.split(word[1:]) if p] if self.added else [word[1:]]
+            ids = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self.plain(p) for p in parts)
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            stem = word.rstrip(MARKS)
+            if stem != word and stem and stem[-1].isalpha():
+                ids = self[stem] + self[word[len(stem):]]
+            elif word.isalpha():
+                mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            else:
+                ids = self.plain(word)
         if len(self) < MEMORY:
             self[word] = ids
         return ids
 
+    def as_written(self, words: pa.Array, lower: pa.Array) -> pa.Array:
+        """Which words the library must see as they were written: not plain after A-Z are lower."""
+        ascii_only = pc.string_is_ascii(words)
+        if pc.all(ascii_only).as_py():
+            return pc.invert(ascii_only)
+        rest = pc.filter(lower, pc.invert(ascii_only)).dictionary_encode()
+        odd = pa.array([not (w == w.lower() and is_normalized("NFC", w) and all(c.isalpha() or c in MARKS or c.isascii() for c in w))
+                        for w in rest.dictionary.to_pylist()], pa.bool_())
+        return pc.replace_with_mask(pc.invert(ascii_only), pc.invert(ascii_only), odd.take(rest.indices))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, the end id after each, and the number per text.
 
@@ -177,12 +193,9 @@ class WordIds(dict):
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten()
         lower = pc.ascii_lower(words)
-        if self.added:
-            holds = [pc.match_substring(words, t) for t in self.added]
-            if any(pc.any(h).as_py() for h in holds):
-                raw = pc.binary_join_element_wise("", words, " ")
-                for h in holds:
-                    lower = pc.if_else(h, raw, lower)
+        for apart in [self.as_written(words, lower), *(pc.match_substring(words, t) for t in self.added)]:
+            if pc.any(apart).as_py():
+                lower = pc.if_else(apart, pc.binary_join_element_wise("", words, " "), lower)
         numbered = lower.dictionary_encode()
         parts = list(map(self.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
