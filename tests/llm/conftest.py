@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, rank string, token string, print string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, rank string, token string, print string, toxic string, word string, n string, phrase string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def make_docs(spark):
     """Documents with extra columns whose names clash with those the operators use inside."""
 
     def make(rows):
-        full = [(i, text, lang, source, len(text or ""), "x", "x", "x", "x") for i, text, lang, source in rows]
+        full = [(i, text, lang, source, len(text or ""), *["x"] * 8) for i, text, lang, source in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

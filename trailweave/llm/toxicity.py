@@ -203,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = dict(marks.groupBy("toxic").count().collect())
     taken = sample_rows(marks, "toxic", "doc_id", sample).select(F.col("doc_id").alias("_doc_id"), "toxic")
-    found = docs.join(F.broadcast(taken), F.col("doc_id") == F.col("_doc_id")).select(  # bounded by ``sample``
-        "toxic", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = own.join(F.broadcast(taken), F.col("doc_id") == F.col("_doc_id")).select("toxic", "text")  # bounded by ``sample``
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("toxic", pa.int32()), ("print", pa.int64()), ("text", pa.string())])
