@@ -140,3 +140,11 @@ def test_personal(make_docs, empty_docs, labelled):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(k + ":") for k in personal.KINDS]
     assert personal.personal(empty_docs).count() == 0
     assert secrets.scan(empty_docs).count() == 0
+
+
+def test_long_runs_of_digits_take_no_time():
+    import time
+
+    began = time.perf_counter()
+    assert not list(personal.IP.finditer("7" * 1_000_000))
+    assert time.perf_counter() - began < 5
