@@ -47,10 +47,10 @@ def drifted(spark, sf):
 
 
 def suite_documents(spark, sf):
-    """Fifty suites of conversations: every conversation is a case."""
+    """Suites of a hundred neighbouring conversations: every conversation is a case."""
     step = F.struct("id", F.col("type"), F.col("subject"), F.lit("{}").alias("data"))
     cases = chat_log(spark, sf).groupBy("subject").agg(F.array_sort(F.collect_list(step)).alias("turns")).select(
-        F.concat(F.lit("suite-"), (F.regexp_extract("subject", r"(\d+)\z", 1).cast("bigint") % 50).cast("string")).alias("id"),
+        F.concat(F.lit("suite-"), (F.regexp_extract("subject", r"(\d+)\z", 1).cast("bigint") / 100).cast("bigint").cast("string")).alias("id"),
         F.struct(
             F.col("subject").alias("id"), F.concat(F.lit("talk "), "subject").alias("name"),
             F.transform("turns", lambda t: F.struct(t["type"].alias("type"), t["subject"].alias("subject"), t["data"].alias("data"))).alias("steps"),
@@ -117,7 +117,7 @@ def _revision(name: str, rows: str) -> str:
 ORACLE = {
     "read_suites": with_logs(CHAT)
     + """, c AS (SELECT subject, string_agg(type, ' ' ORDER BY id) AS steps, count(*) AS n FROM chat_log GROUP BY subject),
-       d AS (SELECT *, 'suite-' || (regexp_extract(subject, '[0-9]+$')::BIGINT % 50) AS suite_id FROM c)
+       d AS (SELECT *, 'suite-' || (regexp_extract(subject, '[0-9]+$')::BIGINT // 100) AS suite_id FROM c)
        SELECT suite_id, 'chat' AS model_id, (row_number() OVER (PARTITION BY suite_id ORDER BY subject) - 1)::INT AS pos, subject AS case_id,
          'talk ' || subject AS name, steps, CASE WHEN n > 3 THEN 'reject' ELSE 'accept' END AS outcome, '' AS end_state FROM d""",
     "read_templates": """SELECT c_custkey::VARCHAR AS template_id, 'desk' AS process, '' AS subject_pattern, unnest([0, 2, 3])::INT AS pos,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailweave.catalog import conformance as cf
 from trailweave.catalog import discovery, relations, space
 from trailweave.catalog.logs import CHAT, DOCS, with_logs
-from trailweave.functions.predicates import Stage, subject_prefix
+from trailweave.functions.predicates import Stage
 from trailweave.operators import conformance as c
 from trailweave.operators.relations import referenced_events
 from trailweave.operators.space import drill
@@ -23,10 +23,10 @@ def mixed(spark, sf):
     return order_log(spark, sf).select(*COLUMNS).unionByName(user_log(spark, sf).select(*COLUMNS))
 
 
-def behind_order(spark, sf):
-    """Events of what the items of one order refer to."""
+def behind_orders(spark, sf):
+    """Events of everything that any event of the log refers to."""
     docs = relations.catalogue_docs(spark, sf)
-    return referenced_events(docs, docs.where(subject_prefix("/orders/1"))).select("id", "subject", "type")
+    return referenced_events(docs, docs).select("id", "subject", "type")
 
 
 def drilled_variants(spark, sf):
@@ -50,7 +50,7 @@ QUERIES = {
     "model_view_unknown": lambda s, d: views.model_view(mixed(s, d), cf.ORDER_MODEL).unknown,
     "template_view": lambda s, d: views.template_view(mixed(s, d), cf.TEMPLATE).summary,
     "template_view_coverage": lambda s, d: views.template_view(mixed(s, d), cf.TEMPLATE).coverage,
-    "referenced_events": behind_order,
+    "referenced_events": behind_orders,
     "failing_sequences": failing,
     "drill_by_variant": drilled_variants,
 }
@@ -71,7 +71,7 @@ ORACLE = {
        count(*) FILTER (conforming) AS conforming, count(*) FILTER (conforming) * 100 // count(*) FILTER (relevant) AS fit_pct FROM res""",
     "template_view_coverage": cf.ORACLE["step_coverage"],
     "referenced_events": """SELECT 'p' || lpad(p_partkey::VARCHAR, 12, '0') AS id, '/parts/' || p_partkey AS subject, 'part.created' AS type
-       FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 1)""",
+       FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""",
     "failing_sequences": cf.JUDGED
     + """SELECT subject, any_value(reason) AS reason, 0::BIGINT AS block, string_agg(type, ' ' ORDER BY id) AS types
        FROM judged JOIN order_docs USING (subject) WHERE rejected GROUP BY subject""",

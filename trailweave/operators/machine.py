@@ -22,7 +22,7 @@ BLOCK = 4096
 GRID = 4096
 STATE = (
     "struct<cur:int,fail:bigint,kind:int,bad:string,"
-    "once:array<struct<t:int,at:bigint>>,used:array<int>,path:array<int>>"
+    "once:array<struct<t:int,at:bigint,cur:int>>,used:array<int>,path:array<int>>"
 )
 # Kinds of failure.
 NO_TRANSITION, ONLY_ONCE = 1, 2
@@ -163,7 +163,7 @@ def _fresh(entry: Column, with_path: bool) -> Column:
     return F.struct(
         entry.cast("int").alias("cur"), F.lit(None).cast("bigint").alias("fail"), F.lit(0).alias("kind"),
         F.lit(None).cast("string").alias("bad"),
-        F.array().cast("array<struct<t:int,at:bigint>>").alias("once"),
+        F.array().cast("array<struct<t:int,at:bigint,cur:int>>").alias("once"),
         F.array().cast("array<int>").alias("used"),
         (F.array(entry.cast("int")) if with_path else F.array().cast("array<int>")).alias("path"),
     ).cast(STATE)
@@ -181,7 +181,7 @@ def _step(with_edges: bool, with_path: bool):
             F.when(move.isNull(), NO_TRANSITION).otherwise(ONLY_ONCE).alias("kind"), ev["type"].alias("bad"),
             acc["once"].alias("once"), acc["used"].alias("used"), acc["path"].alias("path"),
         ).cast(STATE)
-        mark = F.array(F.struct(ev["t"].alias("t"), ev["at"].alias("at")))
+        mark = F.array(F.struct(ev["t"].alias("t"), ev["at"].alias("at"), acc["cur"].alias("cur")))
         moved = F.struct(
             move["to"].alias("cur"), acc["fail"].alias("fail"), acc["kind"].alias("kind"), acc["bad"].alias("bad"),
             F.when(move["once"], F.concat(acc["once"], mark)).otherwise(acc["once"]).alias("once"),
@@ -203,10 +203,11 @@ def _compose(acc: Column, block: Column) -> Column:
     """Continue a walk through a block that was folded for every entry state."""
     then = F.get(block["outs"], acc["cur"])
     seen_before = F.filter(then["once"], lambda o: F.exists(acc["once"], lambda a: a["t"] == o["t"]))
-    clash = F.array_min(F.transform(seen_before, lambda o: F.struct(o["at"].alias("at"), o["t"].alias("t"))))
+    clash = F.array_min(F.transform(seen_before, lambda o: F.struct(
+        o["at"].alias("at"), o["t"].alias("t"), o["cur"].alias("cur"))))
     clashes = clash.isNotNull() & (then["fail"].isNull() | (clash["at"] < then["fail"]))
     joined = F.struct(
-        then["cur"].alias("cur"),
+        F.when(clashes, clash["cur"]).otherwise(then["cur"]).alias("cur"),
         F.when(clashes, clash["at"]).otherwise(then["fail"]).alias("fail"),
         F.when(clashes, ONLY_ONCE).otherwise(then["kind"]).alias("kind"),
         F.when(clashes, F.get("types", clash["t"])).otherwise(then["bad"]).alias("bad"),

@@ -143,7 +143,7 @@ def live_cells(stream: DataFrame, low: int, high: int, lows: list[str], cols: in
     """
     micros = F.unix_micros(rfc3339(F.col("time")))
     share = normalise_x(micros, F.lit(low), F.lit(high))
-    col = F.greatest(F.least(F.floor(share * cols), F.lit(cols - 1)), F.lit(0)).cast("bigint")
+    col = F.when(micros.isNotNull(), F.greatest(F.least(F.floor(share * cols), F.lit(cols - 1)), F.lit(0))).cast("bigint")
     marked = stream.select(which_range(F.col("subject"), lows).alias("row"), col.alias("col"), phase(F.col("type")).alias("phase"), "id")
     return marked.where("row >= 0 AND col IS NOT NULL").groupBy("row", "col", "phase").agg(
         F.count(F.lit(1)).alias("count"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
