@@ -24,7 +24,7 @@ connects only after the intersection of whole sets has confirmed it.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import repeat
 
@@ -257,9 +257,9 @@ def set_digests(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, digest binary, size bigint")
 
 
-def set_keys(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
-    """``key, node``: the keys of every document with an id.  They go straight into their
-    shuffle; a table of them would be larger than the texts."""
+def set_keys(rows: DataFrame, size: int, least: tuple[int, int], keys_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``key, node``: the keys of every document with an id (``part_keys`` unless others are
+    given).  They go straight into their shuffle; a table of them would be larger than the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(least, 1 << 10)
@@ -267,14 +267,15 @@ def set_keys(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
             sets = [shingle_set(t, size) for t in texts(part)]
             if max(map(len, sets)) > bands.tops[-1]:
                 bands = Bands(least, max(map(len, sets)))
-            keys = [part_keys(s, bands) for s in sets]
+            keys = [keys_of(s) if keys_of else part_keys(s, bands) for s in sets]
             yield table(KEYS, np.concatenate(keys), np.repeat(part.column("doc_id").to_numpy(), [len(k) for k in keys]))
 
     return rows.where("doc_id IS NOT NULL").mapInArrow(run, "key bigint, node bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
-                       least: tuple[int, int] = LEAST, weight: int = WEIGHT) -> DataFrame:
+                       least: tuple[int, int] = LEAST, weight: int = WEIGHT,
+                       keys_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id``.
 
     Two documents link when ``den * intersection >= num * union`` of their sets of ``size``
@@ -282,6 +283,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A text of fewer words is one shingle; null, empty and blank texts have an empty set,
     which links with nothing.  Rows that repeat an id and a text get equal rows, a missing id
     has no component, an empty table gives an empty result; other columns are ignored.
+
+    ``keys_of`` gives other keys of a set (last ten bits zero): then those pairs are found whose
+    sets share a key, directly or in chains, and links are confirmed all the same.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = stored(set_digests(rows, size), "set-digests")
@@ -290,7 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = cut_lineage(held.select("doc_id", "digest").join(named, "digest").where("doc_id <> node").select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
     # Equal sets share all keys, so the first node of a key is the first of its copies; edges of the others go.
-    stars = cut_lineage(set_keys(rows, size, least).repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+    stars = cut_lineage(set_keys(rows, size, least, keys_of).repartition("key").sortWithinPartitions("key", "node").mapInArrow(
         _stars, "tile int, a bigint, b bigint").distinct().join(copies.select("a"), "a", "left_anti"))
     # A block is a component inside one tile of sizes; a clash of these hashes would only join two blocks.
     blocks = components(stars.select(F.xxhash64("tile", "a").alias("a"), F.xxhash64("tile", "b").alias("b")))
