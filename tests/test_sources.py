@@ -140,20 +140,27 @@ def refs(spark, rows):
 
 
 def test_reference_graph(spark):
-    log = refs(spark, [("/orders/1", "placed", '{"customerId":"c1"}'), ("/orders/2", "placed", '{"customerId":"c1","id":"9"}'),
-                       ("/customers/c1", "joined", "{}"), ("/orders/1", "tagged", '{"tagIds":["a"]}'), ("/orders/1", "bad", "{oops"),
-                       ("/orders/1", "none", None), ("/orders/3", "list", "[1]"), ("/orders/1", "self", '{"orderId":"1"}'),
-                       ("/orders/1", "text", '{"noteRef":"[x"}')])
+    """A harbour: single fields point n:1, lists 1:n; own ids, broken texts and other JSON point nowhere."""
+    voyage, other = "/voyages/31", "/voyages/33"
+    log = refs(spark, [
+        (voyage, "torn", '{"vesselRef":'), (other, "blank", None), (other, "bare", '["vesselRef"]'), ("/vessels/v9", "launched", "{}"),
+        ("/voyages/32", "sailed", '{"id":"32","vesselRef":"v9"}'), (voyage, "moored", '{"voyageId":"31"}'),
+        (voyage, "loaded", '{"crateIds":["k","m"]}'), (voyage, "sailed", '{"vesselRef":"v9"}'), (other, "noted", '{"memoRef":"{late"}')])
     graph = r.References(log)
-    got = {(e["from"], e["to"], e["kind"], e["via"], e["count"]) for e in graph.edges().collect()}
-    assert got == {("orders", "customers", "n:1", "customerId", 2), ("orders", "tag", "1:n", "tagIds", 1), ("orders", "note", "n:1", "noteRef", 1)}
-    known = {n["name"]: (n["known"], n["events"]) for n in graph.nodes().collect()}
-    assert known == {"orders": (True, 8), "customers": (True, 1), "tag": (False, 0), "note": (False, 0)}
+    edges = {e["via"]: (e["from"], e["to"], e["kind"], e["count"]) for e in graph.edges().collect()}
+    assert edges == {"vesselRef": ("voyages", "vessels", "n:1", 2), "crateIds": ("voyages", "crate", "1:n", 1),
+                     "memoRef": ("voyages", "memo", "n:1", 1)}
+    nodes = graph.nodes().collect()
+    assert {n["name"]: n["events"] for n in nodes if n["known"]} == {"voyages": 8, "vessels": 1}
+    assert {n["name"] for n in nodes if not n["known"]} == {"crate", "memo"}
 
 
 def test_association(spark):
-    log = refs(spark, [("/links/1", "order-product-linked", '{"productId":"p","orderId":"o","userRefs":[]}'), ("/orders/1", "x", "{}"), ("/products/1", "x", "{}")])
-    assert [tuple(e) for e in r.References(log).edges().collect()] == [("orders", "products", "n:m", "order-product-linked", 1)]
+    """An event about two known collections joins them n:m: its first two reference fields by name."""
+    log = refs(spark, [("/vessels/v9", "launched", None), ("/berths/b4", "built", None),
+                       ("/bookings/5", "berth-vessel-linked", '{"zoneRefs":[],"vesselId":"v9","berthId":"b4"}')])
+    (edge,) = r.References(log).edges().collect()
+    assert {edge["from"], edge["to"]} == {"berths", "vessels"} and (edge["kind"], edge["via"]) == ("n:m", "berth-vessel-linked")
 
 
 def test_payload_references_at_any_depth(spark):
