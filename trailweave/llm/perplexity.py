@@ -1,19 +1,25 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-Outputs of the neural model are the most frequent words of the corpus and classes of
-all other words (a hash of the last two bytes, which often tell the language).  A word of
-a class has the class probability times its smoothed share of the class, so every token
-has a normalised probability, the vocabulary may be of any size, and the network stays
-small.  The context is the three outputs before a token: ``s(w) = q . Q[w] + b[w]`` with
-``q = sum_j C[j] * R[w_j]``, normalised over all outputs with batched matrix products.
-
-Counting covers all training rows.  So does training: every task trains on its rows from
-the same start, and the parameters are averaged by tokens.  Word counts are joined to
-the documents by word; only the ``head`` most frequent words are sent to the tasks.
+The neural vocabulary grows with the corpus: the most frequent words, 32 for every unit
+of the square root of the number of distinct training words (so what is sent to tasks
+stays small).  Each has an input and an output vector.  All other words are classes (a
+hash of the last two bytes, which often tell the language); a word of a class has the
+class probability times its smoothed share of the class.  The softmax has two levels:
+words are cut by frequency into ranges of about equal sums of square-rooted counts; the
+first level chooses a range or a class, the second a word of the range.  Every token has
+a normalised probability from batched matrix products:
+``s(w) = q . Q[w] + b[w]`` with ``q = sum_j C[j] * R[w_j]`` over the three words before it.
+
+Counting covers all training rows.  So does training: documents are dealt by hash to
+blocks of about ``BLOCK`` tokens, each block is one pass from the same start in the order
+of the hashes, and every vector is averaged over the blocks by the times it was moved.
+Neither depends on how the table is partitioned.  Word counts are joined to the
+documents by word; only the vocabulary is sent to the tasks.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,12 +35,18 @@ from trailweave.llm.common import documents, fold, lower_words, pieces, stored,
 
 #: The end of a text; no word holds white space.
 END = b"\n"
-HEAD, WORDS, CLASSES, SIZE, CONTEXT = 65_536, 224, 32, 16, 3
-NOISE, RATE, WARM = 32, 0.05, 200
+#: Vocabulary and ranges for each unit of a square root (of distinct words, of the vocabulary), and the classes of all other words.
+GROWTH, RANGES, CLASSES = 32, 0.6, 32
+SIZE, CONTEXT = 16, 3
+#: Noise of the first level (shared by a step) and of the second (for each token), tokens of a step while it warms up and after.
+NOISE, OWN_NOISE, WARM, STEPS = 32, 2, 200, (512, 8192)
+RATE, WORD_RATE = 0.05, 0.1
+#: Training tokens of a block, and of the piece of it that is shuffled in memory.
+BLOCK, PIECE = 8_000_000, 1 << 18
 COUNTS = pa.schema([("token", pa.binary()), ("class", pa.int32()), ("n_train", pa.int64()), ("n_all", pa.int64())])
-ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                  ("head_known", pa.int64()), ("head_base", pa.float64()), ("part", pa.float64()),
-                  ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                   ("head_known", pa.int64()), ("head_base", pa.float64()), ("class_base", pa.float64()),
+                   ("codes", pa.binary()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
 
 def class_of(token: bytes) -> int:
@@ -84,147 +96,282 @@ def head_words(counts: DataFrame, head: int) -> pa.Table:
 
 @dataclass
 class Model:
-    """What tasks need: the head words, the outputs, and the parameters of the network."""
+    """What tasks need: the vocabulary by falling count, cut into ranges, and the parameters.
+
+    A code is the place of a word of the vocabulary, or the size of the vocabulary and a class.
+    """
 
     place: dict[bytes, int]  # of each head word
-    output: np.ndarray  # output of each head word
-    in_class: np.ndarray  # whether that output is a class
+    code: np.ndarray  # of each head word
     log_p: np.ndarray  # log10 base probability of each head word
     known: np.ndarray
-    class_log: np.ndarray  # log10 base probability of each class
-    start: np.ndarray  # unigram log-probability of each output
-    words: int = 0
+    counts: np.ndarray  # smoothed, of the vocabulary
+    mass: np.ndarray  # smoothed, of the classes
+    cuts: np.ndarray  # first word of each range, and the end
+    total: float
     params: list[np.ndarray] | None = None
 
     @property
-    def outputs(self) -> int:
-        return self.words + CLASSES
+    def words(self) -> int:
+        return len(self.counts)
+
+    @property
+    def ranges(self) -> int:
+        return len(self.cuts) - 1
+
+    @property
+    def output(self) -> np.ndarray:
+        """Output of the first level for each code."""
+        return np.r_[np.repeat(np.arange(self.ranges), np.diff(self.cuts)), self.ranges + np.arange(CLASSES)]
+
+    @property
+    def first(self) -> np.ndarray:
+        """Smoothed counts of the outputs of the first level."""
+        own = np.add.reduceat(self.counts, self.cuts[:-1]) if self.words else np.zeros(0)
+        return np.r_[own, self.mass]
+
+    @property
+    def class_log(self) -> np.ndarray:
+        return np.log10(self.mass / self.total)
+
+    def shapes(self) -> list[int]:
+        """Rows of inputs (one more for "before the text"), first outputs, word outputs, context weights."""
+        return [self.words + CLASSES + 1, self.ranges + CLASSES, self.words, CONTEXT]
 
     def initial(self) -> list[np.ndarray]:
-        """Input vectors (one more for "before the text"), output vectors, context weights, biases."""
-        rng = np.random.default_rng(7)
-        return [rng.normal(0, 0.5, (self.outputs + 1, SIZE)).astype(np.float32), np.zeros((self.outputs, SIZE), np.float32),
-                np.full((CONTEXT, SIZE), 1.0 / CONTEXT, np.float32), self.start.astype(np.float32)]
-
-    def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Outputs and head places (-1: tail) of all tokens, tokens per document, and the tail tokens."""
-        get, places, sizes, tail = self.place.get, [], [], []
-        for text in docs:
-            tokens = tokens_of(text)
-            own = [get(t, -1) for t in tokens]
-            places += own
-            sizes.append(len(tokens))
-            tail += [t for t, p in zip(tokens, own) if p < 0]
-        place = np.array(places, np.int64)
-        output = self.output[place] if len(self.output) else np.zeros(len(place), np.int64)
-        output[place < 0] = [self.words + class_of(t) for t in tail]
-        return output, place, np.array(sizes, np.int64), tail
-
-    def contexts(self, output: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The outputs before each token of the same document, nearest first."""
+        """The four parts, each row with a bias behind its vector (0 where there is none)."""
+        parts = [np.zeros((n, SIZE + 1), np.float32) for n in self.shapes()]
+        parts[0][:, :SIZE] = np.random.default_rng(7).normal(0, 0.5, (len(parts[0]), SIZE))
+        first = self.first
+        parts[1][:, SIZE] = np.log(first / self.total)
+        parts[2][:, SIZE] = np.log(self.counts / np.repeat(first[: self.ranges], np.diff(self.cuts)))
+        parts[3][:, :SIZE] = 1 / CONTEXT
+        return parts
+
+    def contexts(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The codes before each token of the same document, nearest first."""
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.arange(len(output))
-        return np.stack([np.where(at - k >= first, output[np.maximum(at - k, 0)], self.outputs) for k in range(1, CONTEXT + 1)], 1)
-
-
-def learn(model: Model, batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], int]:
-    """One pass of noise-contrastive training over the rows of a task."""
-    params, tokens, step = model.initial(), 0, 0
-    inputs, outs, mix, bias = params
-    squares = [np.full(p.shape, 1e-6, np.float32) for p in params]
-    rng = np.random.default_rng(11)
-    noise_p = np.exp(model.start)
-    noise_p /= noise_p.sum()
-    log_noise = np.log(NOISE * noise_p).astype(np.float32)
-    n_in, n_out = model.outputs + 1, model.outputs
-
-    def columns(rows: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(rows.T, np.float64)
-
-    def scatter(at: np.ndarray, by_column: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, column, n) for column in by_column], 1).astype(np.float32)
-
-    def chance(scores: np.ndarray) -> np.ndarray:
-        """1 / (1 + exp(scores)), in place."""
-        np.clip(scores, -30, 30, out=scores)
-        np.exp(scores, out=scores)
-        scores += 1
-        return np.reciprocal(scores, out=scores)
-
-    def update(k: int, gradient: np.ndarray) -> None:
-        squares[k] += gradient * gradient
-        params[k] += RATE * gradient / np.sqrt(squares[k])
-
-    for piece in pieces(batches, "text"):
-        output, _, sizes, _ = model.encode(texts(piece))
-        context = model.contexts(output, sizes)
-        order = rng.permutation(len(output))
-        tokens += len(output)
-        at = 0
+        at = np.arange(len(codes))
+        return np.stack([np.where(at - k >= first, codes[np.maximum(at - k, 0)], self.words + CLASSES) for k in range(1, CONTEXT + 1)], 1)
+
+
+def build(counts: DataFrame, top: pa.Table, total: float) -> Model:
+    names, trained = top.column("token").to_pylist(), top.column("n_train").to_numpy().astype(np.int64)
+    order = np.lexsort((np.arange(len(names)), -trained))
+    words = int((trained > 0).sum())
+    classes = np.array(top.column("class").to_pylist(), np.int64)
+    code = words + classes
+    code[order[:words]] = np.arange(words)
+    mass = np.full(CLASSES, 0.5)
+    for c, n in counts.where("n_train > 0").groupBy("class").agg(F.sum(F.col("n_train") + 0.5)).collect():
+        mass[c] += n
+    np.subtract.at(mass, classes[order[:words]], trained[order[:words]] + 0.5)
+    own = trained[order[:words]] + 0.5
+    steps = np.cumsum(np.sqrt(own))
+    ranges = math.ceil(RANGES * math.sqrt(words))
+    at = np.minimum((steps - np.sqrt(own) / 2) / (steps[-1] if words else 1) * ranges, ranges - 1).astype(np.int64)
+    cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if words else np.zeros(0, np.int64), words].astype(np.int64)
+    return Model(dict(zip(names, range(len(names)))), code, np.log10((trained + 0.5) / total), trained > 0,
+                 own, np.maximum(mass, 0.5), cuts, total)
+
+
+def encode(model: Model, rows: DataFrame) -> DataFrame:
+    """Every document as codes, with the words outside the head for the join with all counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, get = TaskContext.get().partitionId() << 36, model.place.get
+        for piece in pieces(batches, "text"):
+            out = [[] for _ in range(7)]
+            for text in texts(piece):
+                tokens = tokens_of(text)
+                place = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+                tail = [tokens[i] for i in np.flatnonzero(place < 0)]
+                inside = place[place >= 0]
+                codes = np.empty(len(place), "<i4")
+                codes[place >= 0] = model.code[inside]
+                codes[place < 0] = [model.words + class_of(t) for t in tail]
+                found, base = Counter(tail), model.log_p[inside]
+                for column, value in zip(out, (
+                        len(tokens), int(model.known[inside].sum()), base.sum(),
+                        base[model.code[inside] >= model.words].sum(), codes.tobytes(), list(found), list(found.values()))):
+                    column.append(value)
+            yield table(CODED, number + np.arange(piece.num_rows), piece.column("doc_id"), piece.column("held_out"), *out)
+            number += piece.num_rows
+
+    return stored(rows.mapInArrow(
+        run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, "
+             "class_base double, codes binary, tail array<binary>, times array<int>"), "lm-codes")
+
+
+def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(docs), "<i4").astype(np.int64), np.array([len(d) // 4 for d in docs], np.int64)
+
+
+def chance(scores: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(scores)), in place."""
+    np.clip(scores, -30, 30, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
+
+
+class Trainer:
+    """One block: noise-contrastive steps on both levels with AdaGrad."""
+
+    def __init__(self, model: Model):
+        self.model, self.params = model, model.initial()
+        # Words are moved by sums over the rows of a step that hold them, the small parts by means.
+        self.squares = [np.full(p.shape, start, np.float32) for p, start in zip(self.params, (1, 1e-6, 1, 1e-6))]
+        self.moved = [np.zeros(len(p)) for p in self.params]
+        self.rng, self.steps = np.random.default_rng(11), 0
+        self.output = model.output
+        self.noise_p = model.first / model.first.sum()
+        self.log_noise = np.log(NOISE * self.noise_p).astype(np.float32)
+        self.below = np.r_[0, np.cumsum(model.counts)]
+        self.log_own = np.log(OWN_NOISE) + self.params[2][:, SIZE].copy()
+        self.alone = np.r_[np.diff(model.cuts) == 1, np.ones(CLASSES, bool)]
+
+    def move(self, k: int, at: np.ndarray, gradient: np.ndarray) -> None:
+        """AdaGrad on the rows ``at`` of part k; repeated rows are added up first."""
+        order = np.argsort(at)
+        rows = at[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        rows, total = rows[first], np.add.reduceat(gradient[order], first, axis=0)
+        self.squares[k][rows] += total * total
+        self.params[k][rows] += WORD_RATE * total / np.sqrt(self.squares[k][rows])
+        self.moved[k][rows] += np.diff(np.r_[first, len(order)])
+
+    def move_all(self, k: int, gradient: np.ndarray, tokens: int) -> None:
+        self.squares[k] += gradient * gradient
+        self.params[k] += RATE * gradient / np.sqrt(self.squares[k])
+        self.moved[k] += tokens
+
+    def learn(self, docs: list[bytes]) -> None:
+        codes, sizes = joined(docs)
+        context, order, at = self.model.contexts(codes, sizes), self.rng.permutation(len(codes)), 0
         while at < len(order):
-            take = order[at : at + (512 if step < WARM else 4096)]
-            at, step = at + len(take), step + 1
-            seen, target = context[take], output[take]
-            vectors = [inputs[seen[:, j]] for j in range(CONTEXT)]
-            q = sum(v * w for v, w in zip(vectors, mix))
-            noise = rng.choice(n_out, NOISE, p=noise_p)
-            # Data above, shared noise below; errors are label less probability.
-            wanted, other = outs[target], outs[noise]
-            up = chance((q * wanted).sum(1) + bias[target] - log_noise[target]) / len(take)
-            down = chance(-(q @ other.T + bias[noise] - log_noise[noise])) / -len(take)
-            dq = up[:, None] * wanted + down @ other
-            g_out = scatter(target, columns(up[:, None] * q), n_out) + scatter(noise, columns(down.T @ q), n_out)
-            g_bias = (np.bincount(target, up, n_out) + np.bincount(noise, down.sum(0), n_out)).astype(np.float32)
-            g_mix = np.stack([(v * dq).sum(0) for v in vectors])
-            dq = columns(dq)
-            g_in = sum(scatter(seen[:, j], dq, n_in) * mix[j] for j in range(CONTEXT))
-            for k, g in enumerate((g_in, g_out, g_mix, g_bias)):
-                update(k, g)
-    return params, tokens
-
-
-def averaged(model: Model, docs: DataFrame) -> list[np.ndarray]:
-    """Parameters trained on all rows of ``text``, averaged over the tasks by tokens."""
-    schema = pa.schema([("at", pa.int32()), ("value", pa.float64()), ("weight", pa.float64())])
+            take = order[at : at + STEPS[self.steps >= WARM]]
+            at, self.steps = at + len(take), self.steps + 1
+            self.step(context[take], codes[take])
+
+    def step(self, seen: np.ndarray, code: np.ndarray) -> None:
+        inputs, outs, words, mix = self.params
+        n, target = len(code), self.output[code]
+        vectors = [inputs[seen[:, j], :SIZE] for j in range(CONTEXT)]
+        q = sum(v * w[:SIZE] for v, w in zip(vectors, mix))
+        # First level: data above, shared noise below; errors are label less probability.
+        noise = self.rng.choice(len(outs), NOISE, p=self.noise_p)
+        wanted, other = outs[target], outs[noise]
+        up = chance(np.einsum("ij,ij->i", q, wanted[:, :SIZE]) + wanted[:, SIZE] - self.log_noise[target])
+        down = -chance(-(q @ other[:, :SIZE].T + other[:, SIZE] - self.log_noise[noise]))
+        dq = up[:, None] * wanted[:, :SIZE] + down @ other[:, :SIZE]
+        one = np.c_[q, np.ones(n, np.float32)]
+        g_outs = np.stack([np.bincount(target, c, len(outs)) for c in (up[:, None] * one).T.astype(np.float64)], 1).astype(np.float32)
+        np.add.at(g_outs, noise, down.T @ one)
+        # Second level: noise words of the same range, by their counts.
+        inner = np.flatnonzero(~self.alone[target])
+        if len(inner):
+            own, place = code[inner], target[inner]
+            low, high = self.below[self.model.cuts[place]], self.below[self.model.cuts[place + 1]]
+            drawn = np.searchsorted(self.below, low + self.rng.random((OWN_NOISE, len(inner))) * (high - low), "right") - 1
+            drawn = np.clip(drawn, self.model.cuts[place], self.model.cuts[place + 1] - 1)
+            q_own, one_own, at, g_words = q[inner], one[inner], [], []
+            for k, w in enumerate((own, *drawn)):
+                vector = words[w]
+                score = np.einsum("ij,ij->i", q_own, vector[:, :SIZE]) + vector[:, SIZE] - self.log_own[w]
+                error = chance(score) if k == 0 else -chance(-score)
+                dq[inner] += error[:, None] * vector[:, :SIZE]
+                at.append(w)
+                g_words.append(error[:, None] * one_own)
+            self.move(2, np.concatenate(at), np.concatenate(g_words))
+        g_mix = np.zeros_like(mix)
+        g_mix[:, :SIZE] = [np.einsum("ij,ij->j", v, dq) / n for v in vectors]
+        g_in = np.zeros((CONTEXT * n, SIZE + 1), np.float32)
+        for j in range(CONTEXT):
+            g_in[j * n : (j + 1) * n, :SIZE] = dq * mix[j, :SIZE]
+        self.move(0, seen.T.ravel(), g_in)
+        self.move_all(1, g_outs / n, n)
+        self.move_all(3, g_mix, n)
+
+
+def averaged(model: Model, coded: DataFrame, tokens: int, block: int) -> list[np.ndarray]:
+    """Parameters trained on all rows of ``coded``: each block alone, every row averaged by its moves."""
+    blocks = max(1, -(-tokens // block))
+    names = [f"v{i}" for i in range(SIZE + 1)]
+    schema = pa.schema([("at", pa.int32()), ("weight", pa.float64()), *((n, pa.float32()) for n in names)])
+    offsets = np.cumsum([0] + model.shapes())
+
+    def rows(trainer: Trainer) -> pa.RecordBatch:
+        weight = np.concatenate(trainer.moved)
+        at = np.flatnonzero(weight)
+        values = np.concatenate(trainer.params)[at]
+        return table(schema, at, weight[at], *np.ascontiguousarray(values.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, tokens = learn(model, batches)
-        flat = np.concatenate([p.ravel() for p in params])
-        if tokens:
-            yield table(schema, np.arange(len(flat)), flat * float(tokens), np.full(len(flat), float(tokens)))
-
-    sums = docs.mapInArrow(run, "at int, value double, weight double").groupBy("at").agg(
-        (F.sum("value") / F.sum("weight")).alias("value")).toArrow()
-    start = model.initial()
-    flat = np.concatenate([p.ravel() for p in start])
-    flat[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
-    cuts = np.cumsum([p.size for p in start])[:-1]
-    return [part.reshape(p.shape).astype(np.float32) for part, p in zip(np.split(flat, cuts), start)]
-
-
-def log_probability(model: Model, output: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log10 of the normalised probability of each output after its context."""
-    inputs, outs, mix, bias = model.params
-    found = np.zeros(len(output))
-    weighed = [inputs * w for w in mix]
-    for i in range(0, len(output), 1024):  # what fits into a core's cache
-        target = output[i : i + 1024]
-        scores = sum(w[c] for w, c in zip(weighed, context[i : i + 1024].T)) @ outs.T
+        now, trainer, docs, size = None, None, [], 0
+        for batch in batches:
+            for number, codes in zip(batch.column("block").to_pylist(), batch.column("codes").to_pylist()):
+                if docs and (number != now or size >= PIECE):
+                    trainer.learn(docs)
+                    docs, size = [], 0
+                if number != now:
+                    if trainer:
+                        yield rows(trainer)
+                    now, trainer = number, Trainer(model)
+                docs.append(codes)
+                size += len(codes) // 4
+        if trainer:
+            trainer.learn(docs)
+            yield rows(trainer)
+
+    # Repeated rows are equal, so their order does not matter; copies under other ids are dealt apart.
+    dealt = coded.select("codes", F.xxhash64("doc_id", "codes").alias("key")).withColumn("block", F.pmod("key", F.lit(blocks)))
+    sums = dealt.repartition("block").sortWithinPartitions("block", "key", "codes").select("block", "codes").mapInArrow(
+        run, "at int, weight double, " + ", ".join(f"{n} float" for n in names)).groupBy("at").agg(
+        *((F.sum(F.col(n).cast("double") * F.col("weight")) / F.sum("weight")).cast("float").alias(n) for n in names)).toArrow()
+    flat = np.concatenate(model.initial())
+    if sums.num_rows:
+        flat[sums.column("at").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names], 1)
+    return np.split(flat, offsets[1:-1])
+
+
+def own_logs(q: np.ndarray, outs: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the softmax over ``outs`` at each target, in pieces that fit into a core's cache."""
+    found, step = np.empty(len(q)), max(1, (1 << 18) // max(len(outs), 1))
+    weights, bias = np.ascontiguousarray(outs[:, :SIZE].T), outs[:, SIZE]
+    for i in range(0, len(q), step):
+        scores = q[i : i + step] @ weights
         scores += bias
         scores -= scores.max(1, keepdims=True)
-        own = scores[np.arange(len(target)), target]
+        own = scores[np.arange(len(scores)), target[i : i + step]]
         np.exp(scores, out=scores)
-        found[i : i + 1024] = (own - np.log(scores.sum(1))) / np.log(10)
+        found[i : i + step] = own - np.log(scores.sum(1))
     return found
 
 
+def log_probability(model: Model, codes: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """log10 of the normalised probability of each code after its context."""
+    inputs, outs, words, mix = model.params
+    q = sum((inputs[:, :SIZE] * w[:SIZE])[c] for w, c in zip(mix, context.T))
+    target = model.output[codes]
+    found = own_logs(q, outs, target)
+    order = np.argsort(target, kind="stable")
+    ends = np.searchsorted(target[order], np.arange(model.ranges + 1))
+    for k in np.flatnonzero((np.diff(model.cuts) > 1) & (np.diff(ends) > 0)):
+        at, low = order[ends[k] : ends[k + 1]], model.cuts[k]
+        found[at] += own_logs(q[at], words[low : model.cuts[k + 1]], codes[at] - low)
+    return found / np.log(10)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1,
-              head: int = HEAD) -> DataFrame:
+              head: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Null texts are empty: one end token.  Repeated rows get equal rows and are counted
-    as often as they occur.  If nothing is left to train on, all base probabilities are
-    equal.  An empty table gives an empty result; other columns are ignored.
+    ``head`` is the most words sent to tasks; without it, it grows with the square root of
+    the distinct training words.  Null texts are empty: one end token.  Repeated rows get
+    equal rows and are counted as often as they occur.  If nothing is left to train on, all
+    base probabilities are equal.  An empty table gives an empty result; other columns are
+    ignored.
     """
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -233,63 +380,40 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     total, distinct = counts.agg(
         F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.when(F.col("n_train") > 0, 1))).first()
     below = total + 0.5 * (distinct + 1)
-    top = head_words(counts, head)
-    names, trained = top.column("token").to_pylist(), top.column("n_train").to_numpy().astype(np.int64)
-    ranks = np.argsort(-trained, kind="stable")[: min(WORDS, int((trained > 0).sum()))]
-    output = np.array([len(ranks) + c for c in top.column("class").to_pylist()], np.int64)
-    in_class = np.ones(len(names), bool)
-    output[ranks], in_class[ranks] = np.arange(len(ranks)), False
-    mass = np.full(CLASSES, 0.5)
-    for c, n in counts.where("n_train > 0").groupBy("class").agg(F.sum(F.col("n_train") + 0.5)).collect():
-        mass[c] += n
-    for i in ranks:
-        mass[top.column("class")[int(i)].as_py()] -= trained[i] + 0.5
-    mass = np.maximum(mass, 0.5)
-    model = Model(
-        dict(zip(names, range(len(names)))), output, in_class, np.log10((trained + 0.5) / below), trained > 0,
-        np.log10(mass / below), np.log(np.r_[trained[ranks] + 0.5, mass] / below), len(ranks))
-    model.params = averaged(model, rows.where(~F.col("held_out")).select("text"))
+    most = math.ceil(GROWTH * math.sqrt(distinct)) if head is None else head
+    model = build(counts, head_words(counts, most), below)
+    coded = encode(model, rows)
+    model.place = {}  # words are codes from here on
+    model.params = averaged(model, coded.where(~F.col("held_out")), int(total), block)
+    class_log = model.class_log
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 36
-        for piece in pieces(batches, "text"):
-            out, place, sizes, tail = model.encode(texts(piece))
-            firsts, is_tail = np.cumsum(sizes) - sizes, place < 0
-            in_head = np.where(is_tail, 0, place)
-            base = np.where(is_tail, 0, model.log_p[in_head]) if len(model.log_p) else np.zeros(len(place))
-            part = log_probability(model, out, model.contexts(out, sizes))
+        for piece in pieces(batches, "codes"):
+            codes, sizes = joined(piece.column("codes").to_pylist())
+            part = log_probability(model, codes, model.contexts(codes, sizes))
             # A token of a class: its share of the class.  The base part of tail words is joined later.
-            of_class = is_tail | (model.in_class[in_head] if len(model.in_class) else True)
-            part += np.where(of_class, base - model.class_log[np.maximum(out - model.words, 0)], 0)
-            known = ~is_tail & (model.known[in_head] if len(model.known) else False)
-            tails = np.add.reduceat(is_tail, firsts, dtype=np.int64)
-            words, times, at = [], [], 0
-            for n in tails:
-                found = Counter(tail[at : at + n])
-                words.append(list(found))
-                times.append(list(found.values()))
-                at += n
-            yield table(ROWS, number + np.arange(len(sizes)), piece.column("doc_id"), piece.column("held_out"), sizes,
-                        np.add.reduceat(known, firsts, dtype=np.int64), np.add.reduceat(base, firsts),
-                        np.add.reduceat(part, firsts), words, times)
-            number += len(sizes)
-
-    scored = stored(rows.mapInArrow(
+            of_class = codes >= model.words
+            part[of_class] -= class_log[codes[of_class] - model.words]
+            part = np.add.reduceat(part, np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(part)], [*names, "part"])
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "class_base"]
+    scored = coded.select(*names, "codes").mapInArrow(
         run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, "
-             "part double, tail array<binary>, times array<int>"), "lm-rows")
-    words = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("_t")).select(
+             "class_base double, part double")
+    words = coded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("_t")).select(
         "row", F.col("_t.tail").alias("token"), F.col("_t.times").alias("times"))
     log_p = F.log10((F.col("n_train") + 0.5) / F.lit(below))
     tails = words.join(counts.select("token", "n_train"), "token").groupBy("row").agg(
         F.sum(log_p * F.col("times")).alias("tail_base"),
         F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
     none = F.lit(0)
-    return scored.drop("tail", "times").join(tails, "row", "left").select(
+    return scored.join(tails, "row", "left").select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", none)).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("tail_base", none)).alias("base_score"),
-        (F.col("part") + F.coalesce("tail_base", none)).alias("score"))
+        (F.col("part") + F.col("class_base") + F.coalesce("tail_base", none)).alias("score"))
 
 
 QUERIES = {"op3_lm_score": lambda s, d: lm_scores(documents(s, d))}
