@@ -39,10 +39,10 @@ END = b"\n"
 GROWTH, RANGES, CLASSES = 32, 0.6, 32
 SIZE, CONTEXT = 16, 3
 #: Noise of the first level (shared by a step) and of the second (for each token), tokens of a step while it warms up and after.
-NOISE, OWN_NOISE, WARM, STEPS = 32, 2, 200, (512, 8192)
+NOISE, OWN_NOISE, WARM, STEPS = 32, 2, 200, (512, 4096)
 RATE, WORD_RATE = 0.05, 0.1
 #: Training tokens of a block, and of the piece of it that is shuffled in memory.
-BLOCK, PIECE = 8_000_000, 1 << 18
+BLOCK, PIECE = 4_000_000, 1 << 18
 COUNTS = pa.schema([("token", pa.binary()), ("class", pa.int32()), ("n_train", pa.int64()), ("n_all", pa.int64())])
 CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                    ("head_known", pa.int64()), ("head_base", pa.float64()), ("class_base", pa.float64()),
@@ -234,11 +234,12 @@ class Trainer:
     def move(self, k: int, at: np.ndarray, gradient: np.ndarray) -> None:
         """AdaGrad on the rows ``at`` of part k; repeated rows are added up first."""
         order = np.argsort(at)
-        rows = at[order]
+        rows = at.take(order)
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        rows, total = rows[first], np.add.reduceat(gradient[order], first, axis=0)
-        self.squares[k][rows] += total * total
-        self.params[k][rows] += WORD_RATE * total / np.sqrt(self.squares[k][rows])
+        rows, total = rows.take(first), np.add.reduceat(gradient.take(order, 0), first, axis=0)
+        squares = self.squares[k].take(rows, 0) + total * total
+        self.squares[k][rows] = squares
+        self.params[k][rows] += WORD_RATE * total / np.sqrt(squares)
         self.moved[k][rows] += np.diff(np.r_[first, len(order)])
 
     def move_all(self, k: int, gradient: np.ndarray, tokens: int) -> None:
@@ -247,51 +248,68 @@ class Trainer:
         self.moved[k] += tokens
 
     def learn(self, docs: list[bytes]) -> None:
+        """Steps of consecutive tokens: a word is looked up and moved once for all contexts it is in."""
         codes, sizes = joined(docs)
-        context, order, at = self.model.contexts(codes, sizes), self.rng.permutation(len(codes)), 0
-        while at < len(order):
-            take = order[at : at + STEPS[self.steps >= WARM]]
-            at, self.steps = at + len(take), self.steps + 1
-            self.step(context[take], codes[take])
-
-    def step(self, seen: np.ndarray, code: np.ndarray) -> None:
+        edge = len(self.params[0]) - 1
+        before = np.r_[np.full(CONTEXT, edge), codes]
+        place, at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0
+        while at < len(codes):
+            end = min(at + STEPS[self.steps >= WARM], len(codes))
+            self.step(before[at : end + CONTEXT], place[at:end])
+            at, self.steps = end, self.steps + 1
+
+    def step(self, codes: np.ndarray, place: np.ndarray) -> None:
+        """``codes`` of the tokens and of those before the first, ``place`` of each in its document."""
         inputs, outs, words, mix = self.params
-        n, target = len(code), self.output[code]
-        vectors = [inputs[seen[:, j], :SIZE] for j in range(CONTEXT)]
-        q = sum(v * w[:SIZE] for v, w in zip(vectors, mix))
+        n, code = len(place), codes[CONTEXT:]
+        target, looked = self.output.take(code), inputs.take(codes, 0)
+        vectors, starts = [], []
+        for k in range(1, CONTEXT + 1):
+            early = np.flatnonzero(place < k)
+            vector = looked[CONTEXT - k : CONTEXT - k + n]
+            if len(early):
+                vector = vector.copy()
+                vector[early] = inputs[-1]
+            vectors.append(vector)
+            starts.append(early)
+        q = sum(v * w for v, w in zip(vectors, mix))
+        q[:, SIZE] = 1  # what the bias is multiplied by
         # First level: data above, shared noise below; errors are label less probability.
         noise = self.rng.choice(len(outs), NOISE, p=self.noise_p)
-        wanted, other = outs[target], outs[noise]
-        up = chance(np.einsum("ij,ij->i", q, wanted[:, :SIZE]) + wanted[:, SIZE] - self.log_noise[target])
-        down = -chance(-(q @ other[:, :SIZE].T + other[:, SIZE] - self.log_noise[noise]))
-        dq = up[:, None] * wanted[:, :SIZE] + down @ other[:, :SIZE]
-        one = np.c_[q, np.ones(n, np.float32)]
-        g_outs = np.stack([np.bincount(target, c, len(outs)) for c in (up[:, None] * one).T.astype(np.float64)], 1).astype(np.float32)
-        np.add.at(g_outs, noise, down.T @ one)
+        wanted, other = outs.take(target, 0), outs[noise]
+        up = chance(np.einsum("ij,ij->i", q, wanted) - self.log_noise[target])
+        down = -chance(self.log_noise[noise] - q @ other.T)
+        dq = up[:, None] * wanted + down @ other
+        g_outs = np.stack([np.bincount(target, c, len(outs)) for c in (up * q.T)], 1).astype(np.float32)
+        np.add.at(g_outs, noise, down.T @ q)
         # Second level: noise words of the same range, by their counts.
         inner = np.flatnonzero(~self.alone[target])
         if len(inner):
-            own, place = code[inner], target[inner]
-            low, high = self.below[self.model.cuts[place]], self.below[self.model.cuts[place + 1]]
-            drawn = np.searchsorted(self.below, low + self.rng.random((OWN_NOISE, len(inner))) * (high - low), "right") - 1
-            drawn = np.clip(drawn, self.model.cuts[place], self.model.cuts[place + 1] - 1)
-            q_own, one_own, at, g_words = q[inner], one[inner], [], []
-            for k, w in enumerate((own, *drawn)):
-                vector = words[w]
-                score = np.einsum("ij,ij->i", q_own, vector[:, :SIZE]) + vector[:, SIZE] - self.log_own[w]
-                error = chance(score) if k == 0 else -chance(-score)
-                dq[inner] += error[:, None] * vector[:, :SIZE]
-                at.append(w)
-                g_words.append(error[:, None] * one_own)
-            self.move(2, np.concatenate(at), np.concatenate(g_words))
-        g_mix = np.zeros_like(mix)
-        g_mix[:, :SIZE] = [np.einsum("ij,ij->j", v, dq) / n for v in vectors]
-        g_in = np.zeros((CONTEXT * n, SIZE + 1), np.float32)
-        for j in range(CONTEXT):
-            g_in[j * n : (j + 1) * n, :SIZE] = dq * mix[j, :SIZE]
-        self.move(0, seen.T.ravel(), g_in)
+            own, at = code[inner], target[inner]
+            first, last = self.model.cuts[at], self.model.cuts[at + 1]
+            low = self.below[first]
+            drawn = np.searchsorted(self.below, low + self.rng.random((OWN_NOISE, len(inner))) * (self.below[last] - low), "right") - 1
+            chosen = np.concatenate([own, *np.clip(drawn, first, last - 1)])
+            q_own = np.tile(q[inner], (1 + OWN_NOISE, 1))
+            vector = words.take(chosen, 0)
+            error = np.einsum("ij,ij->i", q_own, vector) - self.log_own.take(chosen)
+            error[len(own) :] *= -1
+            error = chance(error)
+            error[len(own) :] *= -1
+            vector *= error[:, None]
+            dq[inner] += vector.reshape(1 + OWN_NOISE, len(inner), -1).sum(0)
+            q_own *= error[:, None]
+            self.move(2, chosen, q_own)
+        dq[:, SIZE] = 0
+        self.move_all(3, np.stack([np.einsum("ij,ij->j", v, dq) / n for v in vectors]), n)
+        g_in = np.zeros((len(codes) + 1, SIZE + 1), np.float32)  # the last for "before the text"
+        for k, early in enumerate(starts, 1):
+            part = dq * mix[k - 1]
+            g_in[-1] += part[early].sum(0)
+            part[early] = 0
+            g_in[CONTEXT - k : CONTEXT - k + n] += part
+        self.move(0, np.r_[codes, len(inputs) - 1], g_in)
         self.move_all(1, g_outs / n, n)
-        self.move_all(3, g_mix, n)
 
 
 def averaged(model: Model, coded: DataFrame, tokens: int, block: int) -> list[np.ndarray]:
@@ -338,12 +356,11 @@ def averaged(model: Model, coded: DataFrame, tokens: int, block: int) -> list[np
 def own_logs(q: np.ndarray, outs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax over ``outs`` at each target, in pieces that fit into a core's cache."""
     found, step = np.empty(len(q)), max(1, (1 << 18) // max(len(outs), 1))
-    weights, bias = np.ascontiguousarray(outs[:, :SIZE].T), outs[:, SIZE]
+    weights = np.ascontiguousarray(outs.T)
     for i in range(0, len(q), step):
         scores = q[i : i + step] @ weights
-        scores += bias
         scores -= scores.max(1, keepdims=True)
-        own = scores[np.arange(len(scores)), target[i : i + step]]
+        own = scores.ravel().take(np.arange(0, scores.size, len(outs)) + target[i : i + step])
         np.exp(scores, out=scores)
         found[i : i + step] = own - np.log(scores.sum(1))
     return found
@@ -352,14 +369,15 @@ def own_logs(q: np.ndarray, outs: np.ndarray, target: np.ndarray) -> np.ndarray:
 def log_probability(model: Model, codes: np.ndarray, context: np.ndarray) -> np.ndarray:
     """log10 of the normalised probability of each code after its context."""
     inputs, outs, words, mix = model.params
-    q = sum((inputs[:, :SIZE] * w[:SIZE])[c] for w, c in zip(mix, context.T))
+    q = sum((inputs * w).take(c, 0) for w, c in zip(mix, context.T))
+    q[:, SIZE] = 1  # what the bias is multiplied by
     target = model.output[codes]
     found = own_logs(q, outs, target)
     order = np.argsort(target, kind="stable")
     ends = np.searchsorted(target[order], np.arange(model.ranges + 1))
     for k in np.flatnonzero((np.diff(model.cuts) > 1) & (np.diff(ends) > 0)):
         at, low = order[ends[k] : ends[k + 1]], model.cuts[k]
-        found[at] += own_logs(q[at], words[low : model.cuts[k + 1]], codes[at] - low)
+        found[at] += own_logs(q.take(at, 0), words[low : model.cuts[k + 1]], codes[at] - low)
     return found / np.log(10)
 
 
