@@ -227,8 +227,10 @@ class Trainer:
         self.output = model.output
         self.noise_p = model.first / model.first.sum()
         self.log_noise = np.log(NOISE * self.noise_p).astype(np.float32)
-        self.below = np.r_[0, np.cumsum(model.counts)]
-        self.log_own = np.log(OWN_NOISE) + self.params[2][:, SIZE].copy()
+        # Counts inside a range are alike, so its noise is uniform.
+        self.width = np.diff(model.cuts).astype(np.int32)
+        self.start = model.cuts[:-1].astype(np.int32)
+        self.log_own = np.log(OWN_NOISE / self.width).astype(np.float32)
         self.alone = np.r_[np.diff(model.cuts) == 1, np.ones(CLASSES, bool)]
 
     def move(self, k: int, at: np.ndarray, gradient: np.ndarray) -> None:
@@ -251,7 +253,7 @@ class Trainer:
         """Steps of consecutive tokens: a word is looked up and moved once for all contexts it is in."""
         codes, sizes = joined(docs)
         edge = len(self.params[0]) - 1
-        before = np.r_[np.full(CONTEXT, edge), codes]
+        before = np.r_[np.full(CONTEXT, edge), codes].astype(np.int32)
         place, at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0
         while at < len(codes):
             end = min(at + STEPS[self.steps >= WARM], len(codes))
@@ -282,17 +284,15 @@ class Trainer:
         dq = up[:, None] * wanted + down @ other
         g_outs = np.stack([np.bincount(target, c, len(outs)) for c in (up * q.T)], 1).astype(np.float32)
         np.add.at(g_outs, noise, down.T @ q)
-        # Second level: noise words of the same range, by their counts.
+        # Second level: noise words of the same range.
         inner = np.flatnonzero(~self.alone[target])
         if len(inner):
             own, at = code[inner], target[inner]
-            first, last = self.model.cuts[at], self.model.cuts[at + 1]
-            low = self.below[first]
-            drawn = np.searchsorted(self.below, low + self.rng.random((OWN_NOISE, len(inner))) * (self.below[last] - low), "right") - 1
-            chosen = np.concatenate([own, *np.clip(drawn, first, last - 1)])
+            drawn = self.start.take(at) + self.rng.integers(0, self.width.take(at), (OWN_NOISE, len(inner)), np.int32)
+            chosen = np.concatenate([own, *drawn])
             q_own = np.tile(q[inner], (1 + OWN_NOISE, 1))
             vector = words.take(chosen, 0)
-            error = np.einsum("ij,ij->i", q_own, vector) - self.log_own.take(chosen)
+            error = np.einsum("ij,ij->i", q_own, vector) - np.tile(self.log_own.take(at), 1 + OWN_NOISE)
             error[len(own) :] *= -1
             error = chance(error)
             error[len(own) :] *= -1
@@ -308,7 +308,7 @@ class Trainer:
             g_in[-1] += part[early].sum(0)
             part[early] = 0
             g_in[CONTEXT - k : CONTEXT - k + n] += part
-        self.move(0, np.r_[codes, len(inputs) - 1], g_in)
+        self.move(0, np.r_[codes, np.int32(len(inputs) - 1)], g_in)
         self.move_all(1, g_outs / n, n)
 
 
