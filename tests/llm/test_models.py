@@ -91,7 +91,7 @@ def test_vocabulary_grows_with_the_corpus(make_docs, spark):
         docs = make_docs([(i, " ".join(f"w{rng.randrange(n * 20)}" for _ in range(60)), "aa", "s") for i in range(n)])
         counts = perplexity.count_tokens(docs.selectExpr("text", "false as held_out"))
         most = math.ceil(perplexity.GROWTH * math.sqrt(counts.count()))
-        sizes.append(perplexity.build(counts, perplexity.head_words(counts, most), 1.0).words)
+        sizes.append(perplexity.build(counts, perplexity.head_words(counts, 3 * most), 1.0, most).words)
     assert 0 < 2 * sizes[0] < sizes[1]
 
 

@@ -14,7 +14,7 @@ Counting covers all training rows.  So does training: documents are dealt by has
 blocks of about ``BLOCK`` tokens, each block is one pass from the same start in the order
 of the hashes, and every vector is averaged over the blocks by the times it was moved.
 Neither depends on how the table is partitioned.  Word counts are joined to the
-documents by word; only the vocabulary is sent to the tasks.
+documents by word; only three times the size of the vocabulary is sent to the tasks.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ END = b"\n"
 #: Vocabulary and ranges for each unit of a square root (of distinct words, of the vocabulary), and the classes of all other words.
 GROWTH, RANGES, CLASSES = 32, 0.6, 32
 SIZE, CONTEXT = 16, 3
+#: Words whose counts are sent to tasks, for each word of the vocabulary; counts of all others are joined.
+KNOWN = 3
 #: Noise of the first level (shared by a step) and of the second (for each token), tokens of a step while it warms up and after.
 NOISE, OWN_NOISE, WARM, STEPS = 32, 2, 200, (512, 4096)
 RATE, WORD_RATE = 0.05, 0.1
@@ -155,10 +157,11 @@ class Model:
         return np.stack([np.where(at - k >= first, codes[np.maximum(at - k, 0)], self.words + CLASSES) for k in range(1, CONTEXT + 1)], 1)
 
 
-def build(counts: DataFrame, top: pa.Table, total: float) -> Model:
+def build(counts: DataFrame, top: pa.Table, total: float, most: int) -> Model:
+    """A model whose vocabulary is the ``most`` words of ``top`` with the largest training counts."""
     names, trained = top.column("token").to_pylist(), top.column("n_train").to_numpy().astype(np.int64)
     order = np.lexsort((np.arange(len(names)), -trained))
-    words = int((trained > 0).sum())
+    words = min(most, int((trained > 0).sum()))
     classes = np.array(top.column("class").to_pylist(), np.int64)
     code = words + classes
     code[order[:words]] = np.arange(words)
@@ -385,7 +388,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
               head: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    ``head`` is the most words sent to tasks; without it, it grows with the square root of
+    ``head`` is the most words of the vocabulary; without it, it grows with the square root of
     the distinct training words.  Null texts are empty: one end token.  Repeated rows get
     equal rows and are counted as often as they occur.  If nothing is left to train on, all
     base probabilities are equal.  An empty table gives an empty result; other columns are
@@ -399,7 +402,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.when(F.col("n_train") > 0, 1))).first()
     below = total + 0.5 * (distinct + 1)
     most = math.ceil(GROWTH * math.sqrt(distinct)) if head is None else head
-    model = build(counts, head_words(counts, most), below)
+    model = build(counts, head_words(counts, KNOWN * most), below, most)
     coded = encode(model, rows)
     model.place = {}  # words are codes from here on
     model.params = averaged(model, coded.where(~F.col("held_out")), int(total), block)
