@@ -115,15 +115,34 @@ def distance(a, b):
 
 def test_automaton_against_brute_force():
     rng = random.Random(2)
-    terms = sorted({"".join(rng.choices("abc", k=rng.randint(3, 7))) for _ in range(40)})
-    machine = toxicity.Automaton(terms)
+    terms = sorted({"".join(rng.choices("abc", k=rng.randint(3, 10))) for _ in range(40)})
+    machine = toxicity.Lexicon(terms)
     for _ in range(4000):
-        word = "".join(rng.choices("abcd", k=rng.randint(0, 8)))
+        word = "".join(rng.choices("abc1", k=rng.randint(0, 11)))
         near = [(distance(t, word), n) for n, t in enumerate(terms)]
-        near = [(d, n) for d, n in near if d == 0 or d == 1 and len(terms[n]) >= toxicity.EDIT_FROM]
+        near = [(d, n) for d, n in near if d == 0 or d == 1 and (len(terms[n]) >= toxicity.FREE or len(terms[n]) == len(word))
+                or d == 2 and len(terms[n]) >= toxicity.LONG]
         assert machine.find(word) == (min(near) if near else None), word
 
 
+def test_states_are_made_anew(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    machine = toxicity.Lexicon(["stupid", "blockhead"])
+    words = ["stupid", "stvpid", "blokchaed", "stone", "bl0ckhed", "zzz"] * 2
+    assert [machine.find(w) for w in words] == [(0, 0), (1, 0), (2, 1), None, (2, 1), None] * 2
+
+
+def test_hits_of_masked_words():
+    model = toxicity.Toxicity(["blockhead", "idiot", "mug"], np.ones(3))
+    forms = lambda text: [(t, f) for t, f, _, _ in model.hits([text])[0]]
+    assert forms("you id1ot!") == forms("(idi*t)") == forms("IDI_OT") == [(1, toxicity.MASKED)]
+    assert forms("bl0ckh3ad, m*g") == [(0, toxicity.MASKED), (2, toxicity.MASKED)]
+    assert forms("idiot1 idiot-like idiot") == [(1, toxicity.EXACT)] * 3  # the run inside is the hit
+    assert forms("idoit m4gs 12 3.5 -- ") == [(1, toxicity.LETTERS)]
+    assert model.hits(["", "  ", "\"an id1ot\""])[2] == [(1, toxicity.MASKED, True, 0)]
+    assert model.hits([]) == []
+
+
 def test_toxicity(make_docs, spark):
     rng = random.Random(6)
     plain = ["".join(rng.choices("klmnoprst", k=rng.randint(3, 8))) for _ in range(300)]
@@ -139,13 +158,14 @@ def test_toxicity(make_docs, spark):
         rows.append((i, " ".join(words), "aa", "s"))
         labels.append((i, 1, int(kind == 0)))
     rows += [(2000, " ".join(plain[:9] + ["grumbelfix"]), "aa", "s"), (2001, None, "aa", "s"), (2002, "", "aa", "s"), rows[0]]
+    rows += [(2003, " ".join(plain[:9] + ["sn0rkwad!"]), "aa", "s"), (2004, " ".join(plain[:9] + ["bl*tterm_g"]), "aa", "s")]
     labels += [(3, 1, None), (None, 1, 1), (99_999, 1, 1)]
     model_labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(make_docs(rows), model_labels).collect()
     assert len(got) == len(rows)
-    truth = {i: t for i, _, t in labels if t is not None} | {2000: 1, 2001: 0, 2002: 0}
+    truth = {i: t for i, _, t in labels if t is not None} | {2000: 1, 2001: 0, 2002: 0, 2003: 1, 2004: 1}
     held = [r for r in got if r.held_out or r.doc_id >= 2000]
     right = [r.predicted == truth[r.doc_id] == int(r.score >= 0.3) for r in held]
     assert all(0 <= r.score <= 1 for r in got) and np.mean(right) > 0.97
-    assert next(r.predicted for r in got if r.doc_id == 2000) == 1
+    assert {r.doc_id: r.predicted for r in got if r.doc_id in (2000, 2003, 2004)} == {2000: 1, 2003: 1, 2004: 1}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)

@@ -1,16 +1,20 @@
 """Toxicity scores: a learned lexicon, misspellings by automaton, and context windows.
 
 Terms that mark toxic documents are learned from a bounded sample of labelled rows and
-put into a trie.  The trie is intersected with a Levenshtein automaton of one edit
-(substitution, insertion, deletion, swap of neighbours); the product is made
-deterministic state by state, as words ask for it.  A hit is weighed by its term, exact
-or misspelled, and by the words around it: between quotation marks or not, near other
-hits or alone.  A logistic regression turns the sums into a probability.
+put into a trie.  The trie is intersected with a Levenshtein automaton (substitution,
+insertion, deletion, swap of neighbours); the product is made deterministic state by
+state, as words ask for it.  Terms of ``LONG`` letters or more may have two edits, others
+one, and terms of fewer than ``FREE`` letters keep their length.  Besides runs of letters,
+words between white space are looked up whole, so digits and signs inside a word stand
+for letters (``id1ot``).  A hit is weighed by its term, its form (exact, other letters,
+masked) and the words around it: between quotation marks or not, near other hits or
+alone.  A logistic regression turns the sums into a probability.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,28 +28,37 @@ from trailweave.llm.common import documents, fold, lower_words, pieces, stored,
 from trailweave.llm.language import sample_rows
 from trailweave.llm.simhash import fingerprint
 
-#: Labelled rows of each class to learn from, and most terms of the lexicon.
-SAMPLE, TERMS = 20_000, 2_000
-#: Least evidence for a term (G squared), letters from which one edit is allowed, words on each side of a window.
-EVIDENCE, EDIT_FROM, SIDE = 20.0, 5, 5
+#: Labelled rows of each class to learn from.
+SAMPLE = 20_000
+#: Least evidence for a term (G squared), and words on each side of a window.
+EVIDENCE, SIDE = 20.0, 5
+#: Letters from which an edit may change the length, and from which a term may have two edits.
+FREE, LONG = 5, 8
+#: Automaton states a worker keeps; they are made anew as needed.
+STATES = 1 << 16
 FEATURES = 7
 #: Share of a term's weight that a misspelling has which the sample does not hold.
 MISSPELT = 0.8
+#: Forms of a hit: the term, other letters, digits or signs inside.
+EXACT, LETTERS, MASKED = 0, 1, 2
 TOKEN = re.compile(r"[^\W\d_]+")
 MARKED = re.compile(r"[^\W\d_]+|[\"“”„«»‹›‘’]")
+#: From the first to the last letter or digit between white space.
+INNER = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
 class Automaton:
-    """The lexicon trie and the one-edit automaton, intersected on demand.
+    """The trie of some terms and the automaton of ``most`` edits, intersected on demand.
 
     A state is a set of (trie node, edits, pending letter of a swap).
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], most: int = 1, numbers: list[int] | None = None):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
-        self.length = [len(t) for t in terms]
-        for number, word in enumerate(terms):
+        self.length = {}
+        self.most = most
+        for number, word in zip(numbers or range(len(terms)), terms):
             node = 0
             for letter in word:
                 if letter not in self.children[node]:
@@ -54,18 +67,23 @@ class Automaton:
                     self.term.append(-1)
                 node = self.children[node][letter]
             self.term[node] = number
+            self.length[number] = len(word)
+        self.clear()
+
+    def clear(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.parts: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.ends: list[tuple[int, int] | None] = []
+        self.ends: list[list[tuple[int, int]]] = []
         self.state(self.closed({(0, 0, "")}))
 
     def closed(self, parts: set) -> frozenset:
-        """With the states reached by leaving out a letter of the term."""
-        found = set(parts)
-        for node, edits, swap in parts:
-            if not edits and not swap:
-                found |= {(child, 1, "") for child in self.children[node].values()}
+        """With the states reached by leaving out letters of the term."""
+        found, new = set(parts), parts
+        while new:
+            new = {(child, edits + 1, "") for node, edits, swap in new if edits < self.most and not swap
+                   for child in self.children[node].values()} - found
+            found |= new
         return frozenset(found)
 
     def state(self, parts: frozenset) -> int:
@@ -75,9 +93,7 @@ class Automaton:
             self.states[parts] = len(self.parts)
             self.parts.append(parts)
             self.moves.append({})
-            ends = [(edits, self.term[node]) for node, edits, swap in parts if not swap and self.term[node] >= 0]
-            ends = [(e, t) for e, t in ends if not e or self.length[t] >= EDIT_FROM]
-            self.ends.append(min(ends) if ends else None)
+            self.ends.append(sorted((edits, self.term[node]) for node, edits, swap in parts if not swap and self.term[node] >= 0))
         return self.states[parts]
 
     def step(self, at: int, letter: str) -> int:
@@ -90,25 +106,41 @@ class Automaton:
             children = self.children[node]
             if letter in children:
                 after.add((children[letter], edits, ""))
-            if not edits:
-                after.add((node, 1, ""))
+            if edits < self.most:
+                after.add((node, edits + 1, ""))
                 for first, child in children.items():
-                    after.add((child, 1, ""))
+                    after.add((child, edits + 1, ""))
                     if letter in self.children[child]:
-                        after.add((self.children[child][letter], 1, first))
+                        after.add((self.children[child][letter], edits + 1, first))
         to = self.state(self.closed(after))
         self.moves[at][letter] = to
         return to
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """(edits, term) of the closest term within one edit, the first term on a tie."""
+        """(edits, term) of the closest term, the first term on a tie."""
+        if len(self.parts) > STATES:
+            self.clear()
         at = 0
         for letter in word:
             move = self.moves[at].get(letter)
             at = self.step(at, letter) if move is None else move
             if at < 0:
                 return None
-        return self.ends[at]
+        return next(((e, t) for e, t in self.ends[at] if not e or self.length[t] >= FREE or self.length[t] == len(word)), None)
+
+
+class Lexicon:
+    """All terms with one edit, and the long ones with two."""
+
+    def __init__(self, terms: list[str]):
+        long = [n for n, t in enumerate(terms) if len(t) >= LONG]
+        self.one = Automaton(terms)
+        self.two = Automaton([terms[n] for n in long], 2, long) if long else None
+
+    def find(self, word: str) -> tuple[int, int] | None:
+        """(edits, term) of the closest term within the edits that its length allows."""
+        hit = self.one.find(word)
+        return self.two.find(word) if hit is None and self.two and len(word) >= LONG - 2 else hit
 
 
 @dataclass
@@ -119,49 +151,64 @@ class Toxicity:
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
     weight: np.ndarray | None = None
-    _automaton: list = field(default_factory=list)
+    _lexicon: list = field(default_factory=list)
 
     def __getstate__(self):
-        return self.__dict__ | {"_automaton": []}
+        return self.__dict__ | {"_lexicon": []}
 
-    def automaton(self) -> Automaton:
-        if not self._automaton:
-            self._automaton.append(Automaton(self.terms))
-        return self._automaton[0]
+    def lexicon(self) -> Lexicon:
+        if not self._lexicon:
+            self._lexicon.append(Lexicon(self.terms))
+        return self._lexicon[0]
 
     def hits(self, docs: list[str]) -> list[list[tuple[int, int, bool, int]]]:
-        """Per text, (term, edits, quoted, other hits in the window) of every hit."""
-        find = self.automaton().find
+        """Per text, (term, form, quoted, other hits in the window) of every hit.
+
+        A word with digits or signs inside is a hit where none of its letter runs is one.
+        """
+        find = self.lexicon().find
         low = [t.lower() for t in docs]
-        words = [TOKEN.findall(t) for t in low]
-        known = {w: hit for w in set().union(*words) if (hit := find(w)) is not None} if words else {}
+        runs = [set(TOKEN.findall(t)) for t in low]
+        inner = [{m[0] for w in set(t.split()) if not w.isalpha() and (m := INNER.search(w)) and not m[0].isalpha()} for t in low]
+        inner = [{w for w in own if not w.isdigit()} for own in inner]
+        known = {w: (hit[1], LETTERS if hit[0] else EXACT) for w in set().union(*runs) if (hit := find(w))} if docs else {}
+        masked = {w: (hit[1], MASKED) for w in set().union(*inner) if (hit := find(w))} if docs else {}
         out = []
-        for text, own in zip(low, words):
-            found = []
-            if not known.keys().isdisjoint(own):
-                tokens, at, marks = [], [], []
-                for token in MARKED.findall(text):
-                    if token[0].isalpha():
-                        if token in known:
-                            at.append(len(tokens))
-                        tokens.append(token)
-                    else:
-                        marks.append(len(tokens))  # the mark stands before this word
-                places, quotes = np.array(at), np.array(marks)
-                near = np.searchsorted(places, places + SIDE, "right") - np.searchsorted(places, places - SIDE) - 1
-                before = np.searchsorted(quotes, places, "right") - np.searchsorted(quotes, places - SIDE)
-                after = np.searchsorted(quotes, places + 1 + SIDE, "right") - np.searchsorted(quotes, places + 1)
-                for place, n, b, a in zip(at, near, before, after):
-                    edits, term = known[tokens[place]]
-                    found.append((term, edits, bool(b and a), int(n)))
-            out.append(found)
+        for text, own, signed in zip(low, runs, inner):
+            hit_runs, hit_inner = not known.keys().isdisjoint(own), not masked.keys().isdisjoint(signed)
+            found: list[tuple[int, tuple[int, int]]] = []  # (word it stands at, (term, form))
+            if not hit_runs and not hit_inner:
+                out.append([])
+                continue
+            starts, marks = [], []
+            for m in MARKED.finditer(text):
+                if m[0][0].isalpha():
+                    if m[0] in known:
+                        found.append((len(starts), known[m[0]]))
+                    starts.append(m.start())
+                else:
+                    marks.append(len(starts))  # the mark stands before this word
+            if hit_inner:
+                taken = [place for place, _ in found]
+                for m in re.finditer(r"\S+", text):
+                    core = INNER.search(m[0])
+                    if core and core[0] in masked:
+                        first, last = (bisect_left(starts, m.start() + x) for x in core.span())
+                        if bisect_left(taken, first) == bisect_left(taken, last):
+                            found.append((first, masked[core[0]]))
+                found.sort()
+            places, quotes = np.array([place for place, _ in found], np.int64), np.array(marks, np.int64)
+            near = np.searchsorted(places, places + SIDE, "right") - np.searchsorted(places, places - SIDE) - 1
+            before = np.searchsorted(quotes, places, "right") - np.searchsorted(quotes, places - SIDE)
+            after = np.searchsorted(quotes, places + 1 + SIDE, "right") - np.searchsorted(quotes, places + 1)
+            out.append([(term, form, bool(b and a), int(n)) for (_, (term, form)), n, b, a in zip(found, near, before, after)])
         return out
 
     def features(self, hits: list[list[tuple[int, int, bool, int]]]) -> np.ndarray:
         out = np.zeros((len(hits), FEATURES))
         for row, found in zip(out, hits):
-            for term, edits, quoted, near in found:
-                weight = self.edited[term] if edits else self.exact[term]
+            for term, form, quoted, near in found:
+                weight = self.edited[form - 1, term] if form else self.exact[term]
                 if weight <= 0:
                     continue
                 kind = int(quoted)
@@ -195,7 +242,7 @@ def logistic(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, terms: int = TERMS) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Toxicity:
     """Learn from at most about ``sample`` labelled rows of each class for which ``learn``
     holds.  Copies (equal fingerprints) count once.  Rows with a null label are ignored; a
     document with several labels counts as toxic if one is."""
@@ -230,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     words = rows.mapInArrow(count, "word string, toxic bigint, clean bigint").groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     best = words.withColumn("g", 2 * (part(a, F.lit(max(n_bad, 1))) + part(b, F.lit(max(n_good, 1))))).where(
-        (F.col("g") >= EVIDENCE) & (a / max(n_bad, 1) > 2 * b / max(n_good, 1))).orderBy(F.desc("g"), "word").limit(terms).toArrow()
+        (F.col("g") >= EVIDENCE) & (a / max(n_bad, 1) > 2 * b / max(n_good, 1))).orderBy(F.desc("g"), "word").toArrow()  # words of the sample
     model = Toxicity(best.column("word").to_pylist(), log_odds(
         best.column("toxic").to_numpy().astype(float), best.column("clean").to_numpy().astype(float), n_bad, n_good))
 
@@ -241,14 +288,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 
     rows = rows.mapInArrow(seen, "toxic int, hits array<array<int>>").toArrow()  # bounded by ``sample``
     toxic = rows.column("toxic").to_numpy().astype(float)
-    hits = [[(t, e, bool(q), c) for t, e, q, c in d] for d in rows.column("hits").to_pylist()]
-    counts = np.zeros((2, len(model.terms)))
+    hits = [[(t, f, bool(q), c) for t, f, q, c in d] for d in rows.column("hits").to_pylist()]
+    counts = np.zeros((2, 2, len(model.terms)))
     for label, found in zip(toxic, hits):
-        for term in {t for t, e, _, _ in found if e}:
-            counts[int(label), term] += 1
+        for term, form in {(t, f) for t, f, _, _ in found if f}:
+            counts[int(label), form - 1, term] += 1
     odds = log_odds(counts[1], counts[0], n_bad, n_good)
     # A misspelling counts as its term unless clean documents are full of it.
-    model.edited = np.where(counts.sum(0) == 0, MISSPELT * model.exact, np.minimum(odds, model.exact)) if len(model.terms) else odds
+    model.edited = np.where(counts.sum(0) == 0, MISSPELT * model.exact, np.minimum(odds, model.exact))
     x = model.features(hits)
     model.center, model.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     importance = np.where(toxic == 1, sizes.get(1, 0) / max(n_bad, 1), sizes.get(0, 0) / max(n_good, 1))
