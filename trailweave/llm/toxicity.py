@@ -136,12 +136,22 @@ class Lexicon:
         long = [n for n, t in enumerate(terms) if len(t) >= LONG]
         self.one = Automaton(terms)
         self.two = Automaton([terms[n] for n in long], 2, long) if long else None
+        self.longest = max(map(len, terms), default=0) + 2
+        self.looked: dict[str, tuple[int, int] | None] = {}
 
     def find(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the closest term within the edits that its length allows."""
         hit = self.one.find(word)
         return self.two.find(word) if hit is None and self.two and len(word) >= LONG - 2 else hit
 
+    def find_all(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """The words with a term; what was looked up lately is remembered."""
+        if len(self.looked) > STATES:
+            self.looked.clear()
+        new = words - self.looked.keys()
+        self.looked.update((w, self.find(w) if len(w) <= self.longest else None) for w in new)
+        return {w: hit for w in words if (hit := self.looked[w])}
+
 
 @dataclass
 class Toxicity:
@@ -166,36 +176,37 @@ class Toxicity:
 
         A word with digits or signs inside is a hit where none of its letter runs is one.
         """
-        find = self.lexicon().find
+        lexicon = self.lexicon()
         low = [t.lower() for t in docs]
-        runs = [set(TOKEN.findall(t)) for t in low]
-        inner = [{m[0] for w in set(t.split()) if not w.isalpha() and (m := INNER.search(w)) and not m[0].isalpha()} for t in low]
-        inner = [{w for w in own if not w.isdigit()} for own in inner]
-        known = {w: (hit[1], LETTERS if hit[0] else EXACT) for w in set().union(*runs) if (hit := find(w))} if docs else {}
-        masked = {w: (hit[1], MASKED) for w in set().union(*inner) if (hit := find(w))} if docs else {}
+        runs = [TOKEN.findall(t) for t in low]
+        words = [set(t.split()) for t in low]
+        known = {w: (term, LETTERS if edits else EXACT) for w, (edits, term) in lexicon.find_all(set().union(*runs)).items()}
+        cores = {w: m[0] for w in set().union(*words) if not w.isalpha() and (m := INNER.search(w))}
+        cores = {w: core for w, core in cores.items() if not core.isalpha() and not core.isdigit()}
+        hit_cores = lexicon.find_all(set(cores.values()))
+        masked = {w: (hit_cores[core][1], MASKED) for w, core in cores.items() if core in hit_cores}
         out = []
-        for text, own, signed in zip(low, runs, inner):
-            hit_runs, hit_inner = not known.keys().isdisjoint(own), not masked.keys().isdisjoint(signed)
-            found: list[tuple[int, tuple[int, int]]] = []  # (word it stands at, (term, form))
-            if not hit_runs and not hit_inner:
+        for text, own, whole in zip(low, runs, words):
+            signed = not masked.keys().isdisjoint(whole)
+            if not signed and known.keys().isdisjoint(own):
                 out.append([])
                 continue
-            starts, marks = [], []
-            for m in MARKED.finditer(text):
-                if m[0][0].isalpha():
-                    if m[0] in known:
-                        found.append((len(starts), known[m[0]]))
-                    starts.append(m.start())
+            found: list[tuple[int, tuple[int, int]]] = []  # (letter run it stands at, (term, form))
+            count, marks = 0, []
+            for token in MARKED.findall(text):
+                if token[0].isalpha():
+                    if token in known:
+                        found.append((count, known[token]))
+                    count += 1
                 else:
-                    marks.append(len(starts))  # the mark stands before this word
-            if hit_inner:
-                taken = [place for place, _ in found]
+                    marks.append(count)  # the mark stands before this word
+            if signed:
+                starts, taken = [m.start() for m in TOKEN.finditer(text)], [place for place, _ in found]
                 for m in re.finditer(r"\S+", text):
-                    core = INNER.search(m[0])
-                    if core and core[0] in masked:
-                        first, last = (bisect_left(starts, m.start() + x) for x in core.span())
+                    if m[0] in masked:
+                        first, last = (bisect_left(starts, m.start() + x) for x in INNER.search(m[0]).span())
                         if bisect_left(taken, first) == bisect_left(taken, last):
-                            found.append((first, masked[core[0]]))
+                            found.append((first, masked[m[0]]))
                 found.sort()
             places, quotes = np.array([place for place, _ in found], np.int64), np.array(marks, np.int64)
             near = np.searchsorted(places, places + SIDE, "right") - np.searchsorted(places, places - SIDE) - 1
