@@ -51,6 +51,11 @@ def test_ledger_scans_unseen_blobs_only(make_docs, spark, tmp_path):
     assert spark.read.parquet(path).count() == len(set(SECRETS)) + 1
     assert secrets.scan(second, path, rules="base-2").count() == second.count()
     assert spark.read.parquet(path).count() == 2 * (len(set(SECRETS)) + 1)
+    # A ledger with repeated rows gives every document one row, with the same findings.
+    spark.read.parquet(path).where("size(findings) > 0").coalesce(1).write.parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(path)
+    again = secrets.secret_digest(secrets.scan(first, path)).collect()
+    assert sorted(again) == sorted(got)
 
 
 PERSONAL = ["a.b@c.de", "x@y", "@a.b", "a@b@c.com", "a@b.c@d.e", "me@x-1.co.uk.", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.0255",

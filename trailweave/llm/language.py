@@ -1,9 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 A model per language gives the probability of a letter after the three before it.  The
-models are fitted on a bounded sample of labelled rows (``sample`` documents and at most
-``grams`` different four-letter runs per language, both parameters), kept as sorted hash
-arrays with one column per language, and sent to the tasks.  A text gets the language
+models are fitted on all four-letter runs of a bounded sample of labelled rows (``sample``
+documents per language, a parameter), kept as sorted hash arrays with one column per
+language, and sent to the tasks.  A text gets the language
 with the lowest cross-entropy per letter.  Rejection limits are calibrated on the sample.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import TEXT, documents, fold, pieces, stored, table, texts
@@ -24,7 +24,7 @@ ORDER, DISCOUNT = 4, 0.75
 #: Multiplier of the polynomial hash, and one start value per length.
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.array([0, 0x1B873593, 0x2545F491, 0x3C6EF372, 0x510E527F], np.uint64)
-SAMPLE, GRAMS = 2000, 500_000
+SAMPLE = 2000
 #: Nats per letter above what the sample needed before a text is rejected.
 SLACK = 1.5
 NONE = "und"
@@ -188,7 +188,7 @@ def sample_rows(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample: int = SAMPLE, grams: int = GRAMS) -> Languages:
+          sample: int = SAMPLE) -> Languages:
     """Fit and calibrate models on a sample of the rows for which ``learn`` holds."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -206,10 +206,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             yield table(schema, [lang] * len(counter), list(counter), list(counter.values()))
 
     counted = taken.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= grams).select("lang", "gram", "n")
     by: dict[str, dict[str, int]] = {}
-    for batch in kept.toArrow().to_batches():  # bounded: grams rows per language
+    for batch in counted.toArrow().to_batches():  # bounded: the runs of the sample
         for lang, gram, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
             by.setdefault(lang, {})[gram] = n
     names = sorted(by)

@@ -78,7 +78,9 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: str = RULES, id_col:
         known = spark.read.schema(table_schema).parquet(path).where(F.col("rules") == rules).select("blob")
         blobs = blobs.join(known, "blob", "left_anti")
     blobs.mapInArrow(run, table_schema).write.mode("append").parquet(path)
-    found = spark.read.schema(table_schema).parquet(path).where((F.col("rules") == rules) & (F.size("findings") > 0))
+    # Scans at one time, or an append that was repeated, may leave a blob several equal rows.
+    found = spark.read.schema(table_schema).parquet(path).where(
+        (F.col("rules") == rules) & (F.size("findings") > 0)).dropDuplicates(["blob"])
     return rows.select("doc_id", "blob").join(found.select("blob", "findings"), "blob", "left").select(
         F.col("doc_id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
