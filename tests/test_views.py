@@ -77,6 +77,34 @@ def test_filters_reach_the_scan_of_a_written_log(spark, make_log, tmp_path):
     assert log.where(subject_prefix("/a/1")).count() == 2
 
 
+def test_lookups_skip_row_groups_of_a_written_log(spark, tmp_path):
+    """Ids lie across all files, so their bounds cut nothing; the Bloom filters do."""
+    path, n = str(tmp_path / "log"), 40_000
+    log = spark.range(n).selectExpr(
+        "lpad(cast(id as string), 12, '0') as id", "'app' as source", "concat('/users/', id % 800) as subject",
+        "'clicked' as type", "'2024-01-01T00:00:00Z' as time")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of a small log
+    try:
+        events.write_log(log, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = len(list((tmp_path / "log").glob("*.parquet")))
+    assert files > 2
+
+    def rows_read(df):
+        """Rows that the scan gave to the filter behind it, and rows found."""
+        found = df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return scan.metrics().apply("numOutputRows").value(), len(found)
+
+    written = events.read_events(spark, path, fmt="parquet")
+    for number in (0, 777, n - 1):
+        read, found = rows_read(counts.event_lookup(written, "/", f"{number:012d}"))
+        assert found == 1 and read < n / 2
+    assert rows_read(counts.event_lookup(written, "/", "no such event")) == (0, 0)
+    assert rows_read(written.where("subject = '/users/5'"))[1] == n // 800
+
+
 def test_replay_looks_at_the_first_events_only(make_log):
     log = make_log({"/a": "x y x", "/b": "z"})
     got = explore.replay_at(log, 2)

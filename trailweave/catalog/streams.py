@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trailweave.catalog.logs import DOCS, ORDER, USER, with_logs
 from trailweave.functions.predicates import SpaceFilter, subject_prefix
-from trailweave.operators import space
+from trailweave.operators import counts, space
 from trailweave.sources import events
 from trailweave.sources.tables import order_docs, order_log, user_log
 from trailweave.session import checkpoint_folder
@@ -116,6 +116,8 @@ QUERIES = {
     "read_events": lambda s, d: read_back(s, user_log(s, d), fmt="json"),
     "read_events_missing_type": lambda s, d: read_back(s, nameless(s, d), fmt="json"),
     "read_events_with_payload": lambda s, d: read_back(s, order_docs(s, d), payload=True),
+    "event_lookup_written": lambda s, d: counts.event_lookup(
+        read_back(s, user_log(s, d), payload=True), "/users", "00000000000000000007"),
     "scan_written_log": lambda s, d: read_back(s, order_log(s, d)).where(
         subject_prefix("/customers/7") & (F.col("type") == "item.R") & (F.col("id") >= "1995")),
     "tail_events": lambda s, d: streamed(s, user_log(s, d), lambda t: tail.tail_events(t, LENS.predicate())),
@@ -132,6 +134,9 @@ _SHOWN = f"SELECT id, subject, type, time, {_PHASE} FROM user_log"
 _LENS = "type IN ('click', 'error', 'purchase')"
 
 ORACLE = {
+    "event_lookup_written": with_logs(USER)
+    + """SELECT id, source, subject, type, time, data, CASE type WHEN 'error' THEN 'error' ELSE 'complete' END AS phase
+       FROM user_log WHERE id = '00000000000000000007'""",
     "read_events": with_logs(USER) + "SELECT id, source, subject, type, time FROM user_log",
     "read_events_missing_type": with_logs(USER)
     + "SELECT id, source, subject, CASE WHEN right(id, 1)::INT % 5 > 0 THEN type ELSE '' END AS type, time FROM user_log",

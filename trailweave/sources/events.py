@@ -31,11 +31,18 @@ def filled(columns: list[str]) -> list[Column]:
     return [F.col(c) if c == "data" else F.coalesce(c, F.lit("")).alias(c) for c in columns]
 
 
+#: Writer options of the Bloom filters.
+BLOOM = {"parquet.bloom.filter.adaptive.enabled": "true"} | {
+    f"parquet.bloom.filter.enabled#{column}": "true" for column in ("id", "subject")}
+
+
 def write_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Materialise a log as Parquet laid out for subject and id filters.
 
     Range partitioning by (subject, id) keeps subtree scans to a few files and lets
-    a very large subject spread over many of them.
+    a very large subject spread over many of them.  Row groups hold Bloom filters of
+    both columns, no larger than their values need, so the lookup of one event reads
+    the row groups that may hold it although ids lie across all files.
     """
     columns = [c for c in [*EVENT_COLUMNS, "data"] if c in log.columns]
     (
@@ -43,6 +50,7 @@ def write_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
         .repartitionByRange("subject", "id")
         .sortWithinPartitions("subject", "id")
         .write.mode(mode)
+        .options(**BLOOM)
         .parquet(path)
     )
 
