@@ -118,6 +118,63 @@ def test_field(labelled):
     assert (labels == truth)[truth > 0].mean() > 0.9 and (labels == truth)[truth == 0].mean() > 0.99
 
 
+@pytest.fixture(scope="module")
+def table_field():
+    rows = personal.labelled_table()
+    assert rows == personal.labelled_table()  # the same at every call
+    return personal.fit([t for t, _ in rows], [s for _, s in rows])
+
+
+def spans_added(field, text):
+    tokens = personal.shapes([text])
+    labels = field.decode(tokens)
+    marked = [(int(tokens.start[i]), int(tokens.end[i]), int(labels[i])) for i in np.flatnonzero(labels)]
+    base = personal.find_personal(text)
+    return [(k, text[a:b]) for k, a, b in personal.added(text, base, marked)]
+
+
+def test_held_out_accuracy_of_the_field(table_field):
+    rows = personal.labelled_table(600, seed=99)
+    docs = [t for t, _ in rows]
+    tokens = personal.shapes(docs)
+    truth, got = personal.gold(docs, tokens, [s for _, s in rows]), table_field.decode(tokens)
+    for kind in range(5):
+        assert (got == kind)[truth == kind].mean() > 0.9 and (truth == kind)[got == kind].mean() > 0.9
+
+
+def test_field_adds_what_the_patterns_do_not_know(table_field):
+    found = {
+        "please write to zora.quill at fernmoss dot org today": ("email", "zora.quill at fernmoss dot org"),
+        "contact: hobbin [at] larkwell [dot] net, thanks": ("email", "hobbin [at] larkwell [dot] net"),
+        "mail hobbin(at)larkwell(dot)net soon": ("email", "hobbin(at)larkwell(dot)net"),
+        "the server 10[.]20[.]30[.]40 is down": ("ip", "10[.]20[.]30[.]40"),
+        "host 10 . 20 . 30 . 40 is down": ("ip", "10 . 20 . 30 . 40"),
+        "call (415) 555-0132 after noon": ("phone", "(415) 555-0132"),
+        "phone 415-555-0132 after noon": ("phone", "415-555-0132"),
+        "card 4111.1111.1111.1111 was charged": ("card", "4111.1111.1111.1111"),
+    }
+    got = {text: spans_added(table_field, text) for text in found}
+    assert sum(got[t] == [want] for t, want in found.items()) >= len(found) - 1, got
+    for text in ("we met at noon. dot your notes", "on 2021-03-04 at 12:30:45 order 1234567890 arrived", "see section 3.2.1 on page 415",
+                 "1990 1991 1992 1993 were good years", "look at the polka dot dress", "at at at. at at", "", "isbn 978-3-16-148410-5"):
+        assert spans_added(table_field, text) == [], text
+
+
+def test_cues_stand_at_their_tokens():
+    for text in ["a (at) b [dot] c.d", "x\u00a0y call: me(at)z", "", "\x1c at \x85 dot", "tel.\ttel, TEL"]:
+        assert len(personal.cues(text)) == len(personal.shapes([text]).start)
+    assert personal.cues("a (AT) b [dot] c(at)d tel. x") == [0, 1, 0, 2, personal.INSIDE, 4, 0]
+
+
+def test_stretches_are_chosen_by_hash(make_docs, labelled):
+    """Quotas per kind; the choice does not depend on partitions, and one long text does not fill it."""
+    docs = make_docs([(0, "1.2.3.4 x a@b.c " * 3000, "aa", "s")] + [(i + 1, t, "aa", "s") for i, t in enumerate(labelled)])
+    runs = [personal.corpus_stretches(docs.repartition(n), "doc_id", "text", 4000, 20) for n in (1, 7)]
+    assert [[(x.tolist(), y.tolist()) for x, y in r] for r in runs][0] == [(x.tolist(), y.tolist()) for x, y in runs[1]]
+    kinds = [int(y.max()) for _, y in runs[0]]
+    assert set(kinds) == {0, 1, 2, 3, 4} and max(map(kinds.count, kinds)) <= 20 and all(len(y) <= 24 for _, y in runs[0])
+
+
 def test_random_field_decodes_exactly():
     rng = np.random.default_rng(3)
     docs = [" ".join(rng.choice(["a", "B1", "x@y.z", "12", "+1", "(5)", "é"], 12)) for _ in range(40)]

@@ -1,25 +1,29 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field.
 
 The field labels white-space separated tokens as nothing, e-mail, address, card or phone
-from word-shape features.  It is trained on a small table of texts that the patterns have
-labelled (``sample`` rows, a parameter) and decoded with Viterbi in numpy batches.  A
-token whose features favour "nothing" by more than transitions can ever win back is
-"nothing" on every best path, so texts are cut there and the short rests are decoded
-side by side; the result is that of the whole text.
+from word-shape features and a few cue words.  It is trained on a small labelled table of
+invented sentences (``labelled_table``), with spaced, worded and masked forms that the
+patterns do not know and with numbers that are no personal data, and on a bounded number
+of stretches of the corpus chosen by hash (``quota`` of each kind).  It is decoded with
+Viterbi in numpy batches.  A token whose features favour "nothing" by more than
+transitions can ever win back is "nothing" on every best path, so texts are cut there and
+the short rests are decoded side by side; the result is that of the whole text.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import documents, pieces, table, texts
+from trailweave.llm.common import documents, lower_words, pieces, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -28,7 +32,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-SAMPLE = 4000
+#: Documents of the sample, stretches of each kind taken from it, and sentences of the labelled table.
+SAMPLE, QUOTA, SENTENCES = 4000, 150, 1000
 
 
 def luhn(digits: str) -> bool:
@@ -83,12 +88,32 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 #: Character classes: space, lower, upper, digit, @, dot, dash, plus, bracket, percent or underscore, other.
 CLASS_COUNT = 11
 #: Values of each feature.
-SIZES = (4, 4, 9, 4, 6, 4, 3, 3, 3, 3, 6, 2, 2)
+SIZES = (4, 4, 9, 4, 6, 4, 3, 3, 3, 3, 6, 9)
 STARTS = np.cumsum((0, *SIZES[:-1]))
 WIDTH = sum(SIZES)
 #: Place values that turn the features of a token into one number.
 RADIX = np.cumprod((1, *SIZES[:-1]))
 _CLASSES: list[np.ndarray] = []
+#: Cue words by value, with the marks that may stand around them; the last value is a masked sign inside a token.
+CUES = {
+    1: "at @", 2: "dot . point", 3: "mail email e-mail contact write", 4: "phone call tel telephone mobile cell fax ring",
+    5: "card visa mastercard amex credit debit", 6: "ip address host server addr",
+    7: "order invoice isbn version page id no number serial item ref tracking total date year",
+}
+INSIDE = 8
+SIGNS = re.compile(rb"[(\[{<](?:at|dot|\.|@)[)\]}>]")
+CUE = {mark[0] + word + mark[1]: value for value, words in CUES.items() for word in words.encode().split()
+       for mark in ((b"", b""), (b"", b":"), (b"", b","), (b"", b"."), (b"(", b")"), (b"[", b"]"), (b"{", b"}"), (b"<", b">"))}
+CUE |= {b".": 2, b"@": 1}
+
+
+def cues(text: str) -> list[int]:
+    """The cue value of every token."""
+    words = lower_words(text)
+    found = [CUE.get(w, 0) for w in words]
+    if any(sign in text for sign in "([{<") and SIGNS.search(text.encode("utf-8", "surrogatepass").lower()):
+        found = [c or (INSIDE if SIGNS.search(w) else 0) for c, w in zip(found, words)]
+    return found
 
 
 def classes() -> np.ndarray:
@@ -133,17 +158,10 @@ def shapes(docs: list[str]) -> Tokens:
     digits = np.searchsorted([1, 2, 4, 7, 9, 12, 13, 20], count[3], "right")
     order = {1: 0, 2: 1, 3: 2}
     outer = lambda k: np.select([k == c for c in order], list(order.values()), 3)
-    fits = np.zeros(len(start), np.int64)
-    for i in np.flatnonzero((count[3] >= 13) & (count[3] <= 19)):
-        text = docs[doc[i]][start[i] - offsets[doc[i]] : end[i] - offsets[doc[i]]]
-        fits[i] = luhn("".join(c for c in text if "0" <= c <= "9"))
-    four = np.zeros(len(start), np.int64)
-    for i in np.flatnonzero((count[5] >= 3) & (count[3] >= 4)):
-        text = docs[doc[i]][start[i] - offsets[doc[i]] : end[i] - offsets[doc[i]]]
-        four[i] = any(all(int(p) <= 255 for p in m[0].split(".") if len(p) < 9) for m in IP.finditer(text))
+    cue = np.fromiter((c for t in docs for c in cues(t)), np.int64, len(start))
     values = [some(count[1], 4), some(count[2], 4), digits, some(count[4], 4), some(count[5], 6), some(count[6], 4),
               some(count[7], 3), some(count[8], 3), some(count[9], 3), some(count[10], 3),
-              outer(head) + 2 * (head == 7), fits, four]
+              outer(head) + 2 * (head == 7), cue]
     feature = np.stack(values, 1) + STARTS if len(start) else np.zeros((0, len(SIZES)), np.int64)
     first = np.r_[True, doc[1:] != doc[:-1]] if len(start) else np.zeros(0, bool)
     return Tokens(doc, start - offsets[doc] if len(start) else start, end - offsets[doc] if len(start) else end, feature, first)
@@ -208,23 +226,33 @@ class Field:
         return labels
 
 
-def gold(docs: list[str], tokens: Tokens) -> np.ndarray:
-    """Labels of tokens from the fixed patterns: a token is of the kind that covers most of it."""
+def gold(docs: list[str], tokens: Tokens, spans: list[list[tuple[str, int, int]]] | None = None) -> np.ndarray:
+    """Labels of tokens from spans (of the patterns if none are given): a token is of the kind that covers most of it."""
     labels = np.zeros(len(tokens.doc), np.int64)
     bounds = np.searchsorted(tokens.doc, np.arange(len(docs) + 1))
     for number, text in enumerate(docs):
         low, high = bounds[number], bounds[number + 1]
-        for kind, start, end in find_personal(text):
+        for kind, start, end in find_personal(text) if spans is None else spans[number]:
             inside = np.minimum(tokens.end[low:high], end) - np.maximum(tokens.start[low:high], start)
             labels[low:high][2 * inside > tokens.end[low:high] - tokens.start[low:high]] = KINDS.index(kind) + 1
     return labels
 
 
-def windows(docs: list[str], most: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(weight indices per token, labels, whether it holds digits, signs or labels) of the
-    stretches of ``most`` tokens of some texts; features of neighbours look over the edge."""
+@dataclass
+class Stretch:
+    """Some neighbouring tokens of a text: weight indices, labels, and where they are."""
+
+    index: np.ndarray
+    labels: np.ndarray
+    doc: int
+    place: int
+    clear: bool  # nothing outside the labels looks like a form that the labels may have missed
+
+
+def windows(docs: list[str], spans: list[list[tuple[str, int, int]]] | None = None, most: int = 24) -> Iterator[Stretch]:
+    """The stretches of ``most`` tokens of some texts; features of neighbours look over the edge."""
     tokens = shapes(docs)
-    labels = gold(docs, tokens)
+    labels = gold(docs, tokens, spans)
     # One more weight, fixed at 0, stands for the missing neighbour.
     before = np.full_like(tokens.feature, 3 * WIDTH)
     after = np.full_like(tokens.feature, 3 * WIDTH)
@@ -233,24 +261,84 @@ def windows(docs: list[str], most: int = 24) -> Iterator[tuple[np.ndarray, np.nd
         before[1:] = np.where(same, tokens.feature[:-1], 3 * WIDTH)
         after[:-1] = np.where(same, tokens.feature[1:] + 2 * WIDTH, 3 * WIDTH)
     index = np.concatenate([before, tokens.feature + WIDTH, after], axis=1)
-    marked = (labels > 0) | (tokens.feature[:, 2] > STARTS[2]) | (tokens.feature[:, 3] > STARTS[3])
+    value = tokens.feature - STARTS
+    other = labels == 0
+    number, sign = other & (value[:, 2] > 0), other & ((value[:, 3] > 0) | np.isin(value[:, -1], (1, 2, INSIDE)))
+    many = other & (value[:, 2] >= 4)  # seven digits or more
     starts = np.flatnonzero(tokens.first)
     for low, high in zip(starts, np.r_[starts[1:], len(labels)]):
         for at in range(low, high, most):
             to = min(at + most, high)
-            yield index[at:to].astype(np.int32), labels[at:to].copy(), bool(marked[at:to].any())  # views would keep all
+            clear = not (many[at:to].any() or sign[at:to].any()) and number[at:to].sum() < 3
+            yield Stretch(index[at:to].astype(np.int32), labels[at:to].copy(), int(tokens.doc[at]), int(at - low), bool(clear))
+
+
+def labelled_table(rows: int = SENTENCES, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Invented sentences with the spans of personal data in them, the same at every call."""
+    rng = random.Random(seed)
+    syllables = "ba do ke li mu na po ri sa te vo zu chi gra shel ton".split()
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    end = lambda: rng.choice("com org net de uk io edu".split())
+
+    def email() -> str:
+        at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"),
+                              (" AT ", " DOT "), (" @ ", " . "), (" @ ", "."), (" at ", "."), ("[at]", "."), ("@", ".")])
+        name = word() + (rng.choice([".", "_", digits(2), dot]) + word() if rng.random() < 0.4 else "")
+        return name + at + word() + (dot + word() if rng.random() < 0.2 else "") + dot + end()
+
+    def ip() -> str:
+        return rng.choice([".", ".", " . ", "[.]", "(.)", " dot ", " [.] ", " point "]).join(str(rng.randint(0, 255)) for _ in range(4))
+
+    def card() -> str:
+        body = rng.choice("3456") + digits(14)
+        number = next(body + c for c in "0123456789" if luhn(body + c))
+        return rng.choice(["", " ", "-", ".", "_", " - ", "/", " . "]).join(number[i : i + 4] for i in range(0, 16, 4))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b} {c}", f"00{digits(2)} {a} {b}{c}", f"{a} {b} {c}",
+                           f"+{digits(2)} {a} {b}{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)}/{a}/{b}{c}", f"0{a}/{b}{c}", f"1-{a}-{b}-{c}"])
+
+    def nothing() -> str:
+        year, month, day = rng.randint(1900, 2030), rng.randint(1, 12), rng.randint(1, 28)
+        return rng.choice([
+            lambda: f"{year}-{month:02}-{day:02}", lambda: f"{day}.{month}.{year}", lambda: f"{day:02}/{month:02}/{year}",
+            lambda: f"{month:02}:{day:02}:{rng.randint(0, 59):02}", lambda: f"v{month}.{day}.{rng.randint(0, 9)}", lambda: f"{month}.{digits(6)}",
+            lambda: f"${month},{digits(3)}.{digits(2)}", lambda: f"{year}-{year + 5}", lambda: f"{month},{digits(3)},{digits(3)}",
+            lambda: f"order {digits(rng.randint(6, 14))}", lambda: f"id {digits(12)}", lambda: f"isbn 978-{day}-{digits(2)}-{digits(6)}-{day % 10}",
+            lambda: f"section {month}.{day}.{month}", lambda: f"{day} - {month}", lambda: f"at {word()} {word()}", lambda: f"{word()} at {day}",
+            lambda: f"at {word()}.", lambda: f"{word()} dot {word()}", lambda: f"call {word()} at {month} pm", lambda: f"({year})",
+            lambda: f"{month} {day} {year} {day}", lambda: f"{day} {day + 1} {day + 2} {day + 3} {day + 4}", lambda: f"number {digits(8)}",
+            lambda: f"{day}.{digits(4)}, -{month}.{digits(4)}", lambda: f"page {digits(3)} . {word()}", lambda: f"@{word()}",
+            lambda: f"{word()}.{word()}", lambda: f"{year} {digits(4)} {digits(4)}", lambda: f"{digits(3)}-{digits(2)}"])()
+
+    made = {"email": email, "ip": ip, "card": card, "phone": phone}
+    lead = {"email": ["mail", "contact", "write to", "e-mail:"], "ip": ["ip", "host", "server", "address"], "card": ["card", "visa", "credit card"],
+            "phone": ["call", "tel:", "phone", "mobile", "fax"]}
+    out = []
+    for i in range(rows):
+        text, spans = " ".join(word() for _ in range(rng.randint(0, 7))), []
+        for _ in range(rng.randint(1, 2)):
+            kind = rng.choice([*KINDS, *KINDS, None, None, None, None, None])
+            if kind and rng.random() < 0.6:
+                text += " " + rng.choice(lead[kind])
+            text += " " if text else ""
+            start, text = len(text), text + (made[kind]() if kind else nothing())
+            if kind:
+                spans.append((kind, start, len(text)))
+            text += rng.choice(["", "", ".", ",", ")"]) + " " + " ".join(word() for _ in range(rng.randint(1, 6)))
+        out.append((text, spans))
+    return out
 
 
-def fit(docs: list[str], rounds: int = 120, rate: float = 0.4, ridge: float = 1e-5, rich: int = 1200, plain: int = 300) -> Field:
-    """Maximum likelihood by full-batch AdaGrad over at most ``rich`` stretches with digits or
-    labels and ``plain`` others; forward-backward runs over all stretches at once."""
+def fit(docs: list[str], spans: list[list[tuple[str, int, int]]] | None = None, more: list[tuple[np.ndarray, np.ndarray]] | None = None,
+        rounds: int = 120, rate: float = 0.4, ridge: float = 1e-5) -> Field:
+    """Maximum likelihood by full-batch AdaGrad over the stretches of labelled texts (labels of
+    the patterns where no spans are given) and ``more`` ones; forward-backward runs over all at once."""
     n = len(KINDS) + 1
-    chosen: dict[bool, list] = {True: [], False: []}
-    for i in range(0, len(docs), 200):
-        for index, labels, marked in windows(docs[i : i + 200]):
-            if len(chosen[marked]) < (rich if marked else plain):
-                chosen[marked].append((index, labels))
-    rows = chosen[True] + chosen[False]
+    rows = [(x.index, x.labels) for i in range(0, len(docs), 200)
+            for x in windows(docs[i : i + 200], spans and spans[i : i + 200])] + (more or [])
     field = Field(np.zeros((3, WIDTH, n)), np.zeros((n, n)))
     if not rows:
         return field
@@ -293,14 +381,48 @@ def fit(docs: list[str], rounds: int = 120, rate: float = 0.4, ridge: float = 1e
     return field
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Fit the field on about ``sample`` rows at most, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    total = max(rows.select("_id").count(), 1)
-    place = F.pmod(F.xxhash64(F.lit("personal"), "_id"), F.lit(1 << 30))
-    taken = rows.where(place < F.lit(float(sample << 30) / total)).select(
-        "_id", F.xxhash64("text").alias("_h"), "text").orderBy("_id", "_h").limit(sample)  # a bounded, ordered table
-    return fit([r[0] for r in taken.select("text").toLocalIterator()])
+def corpus_stretches(docs: DataFrame, id_col: str, text_col: str, sample: int, quota: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every kind, and for nothing, the ``quota`` stretches with the smallest hash of (id, place)
+    in about ``sample`` documents, with the labels of the patterns.  Stretches with other
+    numbers or signs are left out: the patterns cannot tell what they are."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    total = max(rows.count(), 1)
+    hashed = F.pmod(F.xxhash64(F.lit("personal"), "id"), F.lit(1 << 30))
+    schema = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("labels", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {}
+        for piece in pieces(batches, "text"):
+            ids, own = piece.column("id").to_pylist(), texts(piece)
+            for x in windows(own):
+                if x.clear:
+                    rank = zlib.crc32(f"{ids[x.doc]}:{x.place}".encode())
+                    kept.setdefault(int(x.labels.max()), []).append((rank, x.labels.tolist(), x.index))
+            for kind, found in kept.items():
+                found.sort(key=lambda f: f[:2])
+                del found[quota:]
+        for kind, found in kept.items():
+            yield table(schema, [kind] * len(found), *zip(*((rank, labels, index.ravel().tolist()) for rank, labels, index in found)))
+
+    found = rows.where(hashed < F.lit(float(sample << 30) / total)).mapInArrow(
+        run, "kind int, place bigint, labels array<int>, features array<int>")
+    first = Window.partitionBy("kind").orderBy("place", "labels", "features")
+    found = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= quota).orderBy("kind", "_r").toArrow()  # five quotas
+    return [(np.array(f, np.int32).reshape(len(y), -1), np.array(y, np.int64))
+            for y, f in zip(found.column("labels").to_pylist(), found.column("features").to_pylist())]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, quota: int = QUOTA,
+          rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None) -> Field:
+    """Fit the field on a labelled table (``labelled_table`` if none is given) and on stretches of ``docs``."""
+    rows = labelled_table() if rows is None else rows
+    return fit([t for t, _ in rows], [s for _, s in rows], corpus_stretches(docs, id_col, text_col, sample, quota))
+
+
+#: What a worded form has to hold at least: one sign, and a dot between two names behind it.
+AT = re.compile(r"@|\bat\b", re.IGNORECASE)
+DOT = re.compile(r"\w(?:\.|\s\.\s|[\[({<]\.[\])}>]|[\s\[({<]+(?:dot|point)[\s\])}>]+)\w", re.IGNORECASE)
+NUMBER = re.compile("[0-9]+")
 
 
 def added(text: str, base: list[tuple[str, int, int]], tokens: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
@@ -315,9 +437,15 @@ def added(text: str, base: list[tuple[str, int, int]], tokens: list[tuple[int, i
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
-        digits = sum(map(str.isdigit, text[start:end]))
-        card = 13 <= digits <= 19 and luhn("".join(c for c in text[start:end] if "0" <= c <= "9"))
-        whole = {1: "@" in text[start:end], 2: digits >= 4, 3: card, 4: 9 <= digits <= 15}[label]
+        found = text[start:end]
+        digits = "".join(c for c in found if "0" <= c <= "9")
+        groups = NUMBER.findall(found)
+        whole = {
+            1: len(sides := AT.split(found)) == 2 and bool(DOT.search(sides[1])),
+            2: len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups),
+            3: 13 <= len(digits) <= 19 and luhn(digits),
+            4: 9 <= len(digits) <= 15,
+        }[label]
         if whole and all(end <= s or start >= e for _, s, e in base):
             out.append((KINDS[label - 1], start, end))
     return out
