@@ -419,9 +419,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return fit([t for t, _ in rows], [s for _, s in rows], corpus_stretches(docs, id_col, text_col, sample, quota))
 
 
-#: What a worded form has to hold at least: one sign, and a dot between two names behind it.
+#: What a worded form has to hold at least: one sign, and a dot between the first two names behind it.
 AT = re.compile(r"@|\bat\b", re.IGNORECASE)
-DOT = re.compile(r"\w(?:\.|\s\.\s|[\[({<]\.[\])}>]|[\s\[({<]+(?:dot|point)[\s\])}>]+)\w", re.IGNORECASE)
+DOT = re.compile(r"[\s\])}>]*[\w-]+(?:\.|\s\.\s|[\[({<]\.[\])}>]|[\s\[({<]+(?:dot|point)[\s\])}>]+)\w", re.IGNORECASE)
 NUMBER = re.compile("[0-9]+")
 
 
@@ -441,7 +441,7 @@ def added(text: str, base: list[tuple[str, int, int]], tokens: list[tuple[int, i
         digits = "".join(c for c in found if "0" <= c <= "9")
         groups = NUMBER.findall(found)
         whole = {
-            1: len(sides := AT.split(found)) == 2 and bool(DOT.search(sides[1])),
+            1: len(sides := AT.split(found)) == 2 and bool(DOT.match(sides[1])),
             2: len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups),
             3: 13 <= len(digits) <= 19 and luhn(digits),
             4: 9 <= len(digits) <= 15,
