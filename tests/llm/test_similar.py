@@ -59,3 +59,22 @@ def test_clusters_of_edited_copies(make_docs, spark, tmp_path):
         want |= {ids[i] for i in range(40) if root[i] == i}
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, make_docs(rows), str(tmp_path)).select("doc_id").collect()}
     assert kept == want and 8 < len(kept) < 300
+
+
+def test_simhash_finds_candidates(make_docs, spark, tmp_path, monkeypatch):
+    """Without a band, what SimHash links is still compared on whole sets, copies of other ids included."""
+    from trailweave.llm import similar
+    from trailweave.llm.common import lower_words
+    from trailweave.llm.simhash import fingerprint
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    words = [word() for _ in range(1500)]
+    edited = [*words[:700], "other", *words[701:]]
+    first, second = " ".join(words), " ".join(edited)
+    prints = [fingerprint(lower_words(t), 3) & (1 << 64) - 1 for t in (first, second)]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    rows = [(5, first, "aa", "s"), (2, second, "aa", "s"), (9, first, "aa", "s"), (7, " ".join(word() for _ in range(300)), "aa", "s")]
+    monkeypatch.setattr(similar, "band_keys", lambda s: s[:0].view("i8"))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, make_docs(rows), str(tmp_path)).select("doc_id").collect()}
+    assert kept == {2, 7}

@@ -275,7 +275,8 @@ def set_keys(rows: DataFrame, size: int, least: tuple[int, int], keys_of: Callab
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                        least: tuple[int, int] = LEAST, weight: int = WEIGHT,
-                       keys_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+                       keys_of: Callable[[np.ndarray], np.ndarray] | None = None,
+                       groups: DataFrame | None = None) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id``.
 
     Two documents link when ``den * intersection >= num * union`` of their sets of ``size``
@@ -285,7 +286,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has no component, an empty table gives an empty result; other columns are ignored.
 
     ``keys_of`` gives other keys of a set (last ten bits zero): then those pairs are found whose
-    sets share a key, directly or in chains, and links are confirmed all the same.
+    sets share a key, directly or in chains, and links are confirmed all the same.  ``groups``
+    (key, doc_id) adds keys that come from elsewhere.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = stored(set_digests(rows, size), "set-digests")
@@ -294,7 +296,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = cut_lineage(held.select("doc_id", "digest").join(named, "digest").where("doc_id <> node").select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
     # Equal sets share all keys, so the first node of a key is the first of its copies; edges of the others go.
-    stars = cut_lineage(set_keys(rows, size, least, keys_of).repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+    keyed = set_keys(rows, size, least, keys_of)
+    if groups is not None:  # copies need not share these, so the first of the copies takes them
+        first = groups.join(copies, F.col("doc_id") == F.col("a"), "left")
+        keyed = keyed.unionByName(first.select("key", F.coalesce("b", "doc_id").alias("node")).distinct())
+    stars = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
         _stars, "tile int, a bigint, b bigint").distinct().join(copies.select("a"), "a", "left_anti"))
     # A block is a component inside one tile of sizes; a clash of these hashes would only join two blocks.
     blocks = components(stars.select(F.xxhash64("tile", "a").alias("a"), F.xxhash64("tile", "b").alias("b")))

@@ -1,10 +1,12 @@
 """Near-duplicate documents: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-SimHash with a few differing bits cannot find these pairs: at similarity 0.8 about ten of
-64 bits differ.  So candidates share one of 16 bands of four min-hashes (a pair at similarity
+The first candidates are what ``simhash`` links: fingerprints with at most 3 differing bits,
+directly or in chains.  They are not all, since at similarity 0.8 about ten of 64 bits differ.
+So further candidates share one of 16 bands of four min-hashes (a pair at similarity
 0.8 does with probability 0.9998), and the rest is the set join of ``jaccard``: what shares
-bands, directly or in chains, is a block, blocks are cut into tiles of bounded weight, and only
-a link confirmed on whole sets connects.  No estimate decides, and no band is one task's work.
+a fingerprint component or bands, directly or in chains, is a block, blocks are cut into tiles of
+bounded weight, and only a link confirmed on whole sets connects.  No estimate decides, and no
+component or band is one task's work.
 (The exact keys of ``jaccard`` need four times as many keys at 0.8 as at 0.85.)
 """
 
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.jaccard import TILES, jaccard_components
+from trailweave.llm.simhash import simhash_components
 
 SIZE, LEAST = 5, (80, 100)
 BANDS, ROWS = 16, 4
@@ -36,13 +39,23 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (keys & ~TILES).view(np.int64)
 
 
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, doc_id): one key for each SimHash component of two or more documents (last ten bits zero)."""
+    found = simhash_components(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("doc_id"), "component_id")
+    linked = found.where("doc_id <> component_id")
+    named = linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id")).distinct()
+    key = F.xxhash64(F.lit("simhash"), "component_id").bitwiseAND(F.lit(~int(TILES)))
+    return named.select(key.alias("key"), "doc_id")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, component_id) for every document that is not the smallest id of its component.
 
     Null, empty and blank texts are copies of each other.
     """
-    found = jaccard_components(docs, id_col, text_col, SIZE, least, keys_of=band_keys).select(F.col(id_col).alias("doc_id"), "n_shingles", "component_id").where(
+    found = jaccard_components(
+        docs, id_col, text_col, SIZE, least, keys_of=band_keys, groups=simhash_groups(docs, id_col, text_col)).select(F.col(id_col).alias("doc_id"), "n_shingles", "component_id").where(
         "doc_id IS NOT NULL")
     blank = found.where("n_shingles = 0").agg(F.min("doc_id").alias("first"))  # one row
     return found.join(F.broadcast(blank)).select(
