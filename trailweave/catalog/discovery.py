@@ -13,6 +13,15 @@ def _order(spark, sf):
     return discover(order_log(spark, sf))
 
 
+def _runs(spark, sf):
+    return discover(order_log(spark, sf), keep=True)
+
+
+def variant_share(spark, sf):
+    found = _runs(spark, sf)
+    return share_of(v.variants(found).select("sequence", "count"), found.totals)
+
+
 def marked_log(spark, sf):
     """The activity of users with lifecycle markers by id."""
     marks = F.array(*map(F.lit, ("-started", ".completed", "_failed", "")))
@@ -43,12 +52,11 @@ QUERIES = {
     "graph_totals": lambda s, d: discover(chat_log(s, d)).totals,
     "concurrent_pairs": lambda s, d: _order(s, d).concurrent_pairs,
     "concurrent_groups": lambda s, d: _order(s, d).concurrent_groups,
-    "canonicalise": lambda s, d: v.canonicalise(_order(s, d)),
-    "variants": lambda s, d: v.variants(_order(s, d), 8),
-    "variants_all": lambda s, d: v.variants(discover(chat_log(s, d))),
-    "variant_steps": lambda s, d: v.variant_steps(_order(s, d), 8),
-    "variant_share": lambda s, d: share_of(
-        v.variants(_order(s, d)).select("sequence", "count"), _order(s, d).totals),
+    "canonicalise": lambda s, d: v.canonicalise(_runs(s, d)),
+    "variants": lambda s, d: v.variants(_runs(s, d), 8),
+    "variants_all": lambda s, d: v.variants(discover(chat_log(s, d), keep=True)),
+    "variant_steps": lambda s, d: v.variant_steps(_runs(s, d), 8),
+    "variant_share": variant_share,
     "edges": lambda s, d: _order(s, d).edges,
     "ranks": lambda s, d: _order(s, d).ranks,
     "nodes": lambda s, d: _order(s, d).nodes,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trailweave.functions.lifecycle import phase, task
 from trailweave.functions.text import pct
 from trailweave.operators import typegraph
-from trailweave.operators.ordering import Slices, find_slices, in_order
+from trailweave.operators.ordering import Ordered, Slices, find_slices, in_order, kept_order
 from trailweave.session import cut_lineage
 
 # When two types count as running in parallel.
@@ -24,14 +24,13 @@ MIN_BOTH_WAYS = 2
 MAX_DEPENDENCY = 0.5
 
 
-def neighbours(log: DataFrame, slices: Slices | None = None) -> DataFrame:
+def neighbours(flow: Ordered) -> DataFrame:
     """Counts per (prev_type, type); prev_type is NULL for first events.
 
     ``ends`` counts last events; ``deepest`` is the largest position seen.
     """
     return (
-        in_order(log, slices)
-        .df.groupBy("prev_type", "type")
+        flow.df.groupBy("prev_type", "type")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("next_type").isNull()).alias("ends"),
@@ -48,17 +47,24 @@ class Discovery:
     slices: Slices | None = None
     start_types: tuple[str, ...] | None = None
     end_types: tuple[str, ...] | None = None
+    #: Whether the ordered log is written down; for those who go on to its runs without ids.
+    keep: bool = False
 
     def __post_init__(self) -> None:
         self.slices = self.slices or find_slices(self.log)
 
+    @cached_property
+    def flow(self) -> Ordered:
+        """The ordered log, without ids and written down."""
+        return kept_order(self.log, self.slices)
+
     @cached_property
     def _counted(self) -> tuple[DataFrame, bool]:
         """Neighbour counts, and whether they are few enough for one partition.
 
         One partition spares every join and round on the type graph its shuffles.
         """
-        pairs = cut_lineage(neighbours(self.log, self.slices))
+        pairs = cut_lineage(neighbours(self.flow if self.keep else in_order(self.log, self.slices)))
         single = pairs.count() <= typegraph.FEW
         return (pairs.coalesce(1) if single else pairs), single
 

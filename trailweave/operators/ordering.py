@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.session import cut_lineage, small_table
+from trailweave.session import cut_lineage, kept_table, small_table
 
 # Rows of one slice or key range, and sampled rows that choose the end of one.
 ROWS_PER_SLICE = 2_000_000
@@ -131,13 +131,14 @@ class Ordered:
 
     df: DataFrame
     slices: Slices
+    order: str = "id"
 
     @property
     def keys(self) -> list[str]:
         return ["subject"] if self.slices.bounds is None else ["subject", "slice"]
 
     def window(self):
-        return Window.partitionBy(*self.keys).orderBy("id")
+        return Window.partitionBy(*self.keys).orderBy(self.order)
 
     def _seams(self, *summary: Column) -> DataFrame:
         """Summary rows of the slices of cut subjects: small, one row per slice.
@@ -169,6 +170,12 @@ class Ordered:
         return replace(self, df=joined.select(*kept, *[carried(n).alias(n) for n in names]))
 
 
+def kept_order(log: DataFrame, slices: Slices | None = None) -> Ordered:
+    """``in_order`` once and for all: without ids, which positions stand for from here on, and written as a table."""
+    flow = in_order(log, slices)
+    return replace(flow, df=kept_table(flow.df.drop("id"), "flow"), order="pos")
+
+
 def in_order(log: DataFrame, slices: Slices | None = None, extra: tuple[str, ...] = ()) -> Ordered:
     """Neighbouring types and 1-based position of every event in its subject.
 

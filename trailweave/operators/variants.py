@@ -10,13 +10,15 @@ sequences that agree up to there are told apart by later steps, block by block.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.text import pct
 from trailweave.operators.discovery import Discovery
 from trailweave.operators.ordering import Ordered, Slices, in_order, numbered
-from trailweave.session import checked_broadcast, cut_lineage
+from trailweave.session import checked_broadcast, cut_lineage, kept_table
 
 HEAD = 1000
 # Steps written out at a time.
@@ -46,31 +48,37 @@ def whole_pieces(flow: Ordered) -> DataFrame:
 
 
 def run_pieces(found: Discovery) -> DataFrame:
+    """Pieces of the runs, written down once per discovery."""
+    if not hasattr(found, "_pieces"):
+        found._pieces = kept_table(_run_pieces(found), "pieces")
+    return found._pieces
+
+
+def _run_pieces(found: Discovery) -> DataFrame:
     """Runs of every subject with parallel stretches brought into one order.
 
     Pieces are (subject, run, start, type, n): ``n`` events of a type from position
     ``start`` on.  A stretch inside one parallel group is a count per type, since its
     canonical order is simply sorted.
     """
-    flow = _split(found)
+    flow = _split(found, found.flow)
     if found.group_of.isEmpty():
         return flow.df.select(
-            "subject", "run", "id", (F.col("pos") - F.col("run_start")).alias("start"), "type",
+            "subject", "run", (F.col("pos") - F.col("run_start")).alias("start"), "type",
             F.lit(1).cast("bigint").alias("n"),
         )
     counted = flow.df.groupBy("subject", "run", "island", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.col("pos") - F.col("run_start")).alias("first"), F.min("id").alias("id")
-    )
+        F.count(F.lit(1)).alias("n"), F.min(F.col("pos") - F.col("run_start")).alias("first"))
     stretch = Window.partitionBy("subject", "run", "island")
     smaller = stretch.orderBy("type").rowsBetween(Window.unboundedPreceding, -1)
     return counted.select(
-        "subject", "run", "id",
+        "subject", "run",
         (F.min("first").over(stretch) + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias("start"),
         "type", "n",
     )
 
 
-def _split(found: Discovery) -> Ordered:
+def _split(found: Discovery, flow: Ordered) -> Ordered:
     """Events with run number, run start and stretch number."""
     groups = found.group_of
     marks = (
@@ -84,16 +92,15 @@ def _split(found: Discovery) -> Ordered:
     )
     # One row per pair of types; without the hint its unknown size would shuffle the log.
     marks = checked_broadcast(cut_lineage(marks))
-    flow = in_order(found.log, found.slices)
     df = flow.df.join(marks, F.col("prev_type").eqNullSafe(F.col("p")) & (F.col("type") == F.col("t"))).drop("p", "t")
-    flow = Ordered(df, flow.slices).running(run=F.col("restart"), island=F.col("fresh"))
+    flow = replace(flow, df=df).running(run=F.col("restart"), island=F.col("fresh"))
     begins = F.when(F.col("prev_type").isNull() | F.col("restart"), F.col("pos"))
     return flow.running(fold=F.max, run_start=begins)
 
 
 def split_runs(found: Discovery) -> DataFrame:
     """(subject, id, type, pos, run, step): run numbers from 1, steps from 1."""
-    return _split(found).df.select(
+    return _split(found, in_order(found.log, found.slices)).df.select(
         "subject", "id", "type", "pos", (F.col("run") + 1).alias("run"),
         (F.col("pos") - F.col("run_start") + 1).alias("step"),
     )
@@ -112,9 +119,9 @@ def canonicalise(found: Discovery) -> DataFrame:
 
 
 def signatures(pieces: DataFrame) -> DataFrame:
-    """One row per (subject, run): fingerprint, length, first id."""
-    return pieces.groupBy("subject", "run").agg(
-        *_fingerprint(), F.sum("n").alias("length"), F.min("id").alias("first_id"))
+    """One row per (subject, run): fingerprint, length, and the first id of pieces that have one."""
+    first = [F.min("id").alias("first_id")] if "id" in pieces.columns else []
+    return pieces.groupBy("subject", "run").agg(*_fingerprint(), F.sum("n").alias("length"), *first)
 
 
 def tally(signed: DataFrame) -> DataFrame:

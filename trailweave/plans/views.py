@@ -37,7 +37,7 @@ class ProcessView:
 
 def process_view(log: DataFrame, **layers) -> ProcessView:
     """Discovery of the scoped log with its top variants."""
-    found = discover(scoped(log, **layers))
+    found = discover(scoped(log, **layers), keep=True)
     return ProcessView(found, found.nodes, found.edges, variants(found, TOP_VARIANTS), found.totals)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -58,6 +59,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: columns compress well, where a
+    checkpoint holds whole rows, and later jobs read only the columns they need."""
+    path = f"{checkpoint_folder(df.sparkSession)}/trailweave-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
     """Broadcast hint for a lookup table that is cheap to count, if it is small enough.
 
