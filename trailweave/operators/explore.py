@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.operators.ordering import ROWS_PER_SLICE, global_index, in_order, search
-from trailweave.session import cut_lineage
+from trailweave.session import cut_lineage, kept_table
 
 
 def running_counts(log: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def replay_points(log: DataFrame, points: DataFrame, rows_per_range: int = ROWS_
     is never sorted, and all points share one job.  Points beyond the log stand at its end.
     """
     typed = log.select("id", F.coalesce("type", F.lit("")).alias("type"))
-    placed = cut_lineage(global_index(typed, "id", "_at", rows_per_range).withColumn(
-        "_range", F.floor(F.col("_at") / rows_per_range)))
+    placed = kept_table(global_index(typed, "id", "_at", rows_per_range).select(
+        "type", "_at", F.floor(F.col("_at") / rows_per_range).alias("_range")), "places")
     held = cut_lineage(placed.groupBy("_range", "type").agg(F.count(F.lit(1)).alias("_n")))
     kinds = held.select("type").distinct()
     asked = cut_lineage(points.select(F.greatest(F.col("events").cast("bigint"), F.lit(0)).alias("events")).distinct().withColumn(
