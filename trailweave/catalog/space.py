@@ -15,6 +15,11 @@ def _grid(spark, sf):
     return bands, space.density(space.axis(log), bands)
 
 
+def density_rows(spark, sf):
+    bands, cells = _grid(spark, sf)
+    return space.density_rows(cells, bands).select("band", "subjects", "count")
+
+
 def variant_grid_parts(spark, sf):
     """Bands of equal behaviour with their members, and the cells over them."""
     log = chat_log(spark, sf)
@@ -36,7 +41,7 @@ QUERIES = {
     "subject_bands": lambda s, d: space.subject_bands(order_log(s, d)),
     "variant_bands": lambda s, d: space.variant_bands(chat_log(s, d), 10)[0],
     "density": lambda s, d: _grid(s, d)[1],
-    "density_rows": lambda s, d: space.density_rows(_grid(s, d)[1], _grid(s, d)[0]).select("band", "subjects", "count"),
+    "density_rows": density_rows,
     "density_by_variant": lambda s, d: variant_grid_parts(s, d)[1],
     "density_view": lambda s, d: space.density_view(_grid(s, d)[1]).select("row", "col", "opacity"),
     "dominant_phase": lambda s, d: space.dominant_phase(

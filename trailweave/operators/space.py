@@ -13,7 +13,7 @@ from trailweave.functions.predicates import id_from, id_to, subject_prefix, subj
 from trailweave.functions.text import band_label, log_intensity, normalise_x, rfc3339, variant_label
 from trailweave.operators.ordering import Slices, find_slices, global_index, which_range
 from trailweave.operators.variants import most_common, subject_signatures, tally, tie_breakers, with_heads
-from trailweave.session import cut_lineage
+from trailweave.session import cut_lineage, kept_table
 
 # Budgets of the automatic choice and sizes of the views.
 MAX_ROWS = 70
@@ -84,7 +84,8 @@ def dotted_points(placed: Axis, max_rows: int = 60) -> DataFrame:
 
 def band_of_subject(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(subject, band): name order cut into near-equal runs, larger ones first."""
-    names = global_index(log.select("subject").distinct(), "subject", "at")
+    # Numbering takes several passes; they read the names, not the log.
+    names = global_index(kept_table(log.select("subject").distinct(), "subjects"), "subject", "at")
     total = names.agg(F.count(F.lit(1)).alias("total"))
     count, base, rem = F.col("total"), F.floor(F.col("total") / max_rows), F.col("total") % max_rows
     head = rem * (base + 1)
@@ -99,11 +100,11 @@ def band_of_subject(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 def subject_bands(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Bands with label, common path and exact subject range."""
     low, high, members = F.min("subject"), F.max("subject"), F.count(F.lit(1))
-    return band_of_subject(log, max_rows).groupBy("band").agg(
+    return cut_lineage(band_of_subject(log, max_rows).groupBy("band").agg(
         band_label(low, high, members).alias("label"),
         common_path_prefix(low, high, members).alias("prefix"),
         low.alias("from"), high.alias("to"), members.alias("subjects"),
-    )
+    ))  # max_rows rows
 
 
 def variant_bands(log: DataFrame, max_rows: int = MAX_ROWS, slices: Slices | None = None) -> tuple[DataFrame, DataFrame]:
