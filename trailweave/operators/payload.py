@@ -92,11 +92,14 @@ def _faults(log: DataFrame, fields: DataFrame, strict_enum: bool) -> DataFrame:
         return F.array(F.struct(F.lit("").alias("field"), F.lit(rule).alias("rule"), F.lit(message).alias("message")))
 
     def fault(seen: Column) -> Column:
-        found = _check(seen, strict_enum)
-        return F.struct(seen["field"]["name"].alias("field"), found["rule"].alias("rule"), found["message"].alias("message"))
+        return F.struct(seen["field"]["name"].alias("field"), _check(seen, strict_enum).alias("fault"))
+
+    def flat(found: Column) -> Column:
+        return F.struct(found["field"].alias("field"), found["fault"]["rule"].alias("rule"), found["fault"]["message"].alias("message"))
 
     seen = F.transform("fields", lambda f: _seen(F.element_at("members", f["name"]), f))
-    each = F.filter(F.transform(seen, fault), lambda f: f["rule"].isNotNull())
+    # Each field is checked once, before its fault is taken apart.
+    each = F.transform(F.filter(F.transform(seen, fault), lambda f: f["fault"].isNotNull()), flat)
     found = (
         F.when(F.col("broken"), alone(BROKEN, "data is not valid JSON"))
         .when(no_object, alone("type", "data must be a JSON object"))
