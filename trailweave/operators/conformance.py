@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from trailweave.functions.paths import ID_SEGMENT, matches_literal, subject_pattern, whole_segments
 from trailweave.functions.text import deviation_detail, pct
 from trailweave.operators.machine import BLOCK, Model, check_log, check_sequences, fold_log
-from trailweave.operators.ordering import Slices, blocks_of, in_order, sequences
-from trailweave.session import checked_broadcast, cut_lineage, small_table
+from trailweave.operators.ordering import Slices, blocks_of, find_slices, in_order, sequences
+from trailweave.session import checked_broadcast, cut_lineage, kept_table, small_table
 
 # Lengths of the example lists.
 TEMPLATE_DEVIATIONS = 12
 SAMPLE_PATTERNS = 12
 MODEL_DEVIATIONS = 20
+# Subjects that meet the templates of one pattern in one place.
+SPREAD = 50_000
 
 
 @dataclass(frozen=True)
@@ -157,6 +159,23 @@ def match_patterns(subjects: DataFrame, patterns: DataFrame) -> DataFrame:
     return found.unionByName(everything)
 
 
+def templates_of(matched: DataFrame, known: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """(subject, template_id, expected) of matched subjects and patterns.
+
+    A pattern that matches more than ``spread`` subjects is dealt to several parts by a hash of
+    the subject, and its templates are repeated for each, so no part grows with the log.
+    """
+    matched = kept_table(matched, "matched")
+    many = matched.groupBy("subject_pattern").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_parts")).where("_parts > 1")
+    many = checked_broadcast(cut_lineage(many))
+    parts = F.coalesce("_parts", F.lit(1))
+    asked = matched.join(many, "subject_pattern", "left").select(
+        "subject", "subject_pattern", F.pmod(F.xxhash64("subject"), parts).cast("int").alias("_part"))
+    held = known.join(many, "subject_pattern", "left").select(
+        *known.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return asked.join(held, ["subject_pattern", "_part"]).select("subject", "template_id", "expected")
+
+
 def check_templates(log: DataFrame, templates: DataFrame, slices: Slices | None = None) -> DataFrame:
     """``template_check`` of all templates in one job, with the template in front of the subject.
 
@@ -166,12 +185,11 @@ def check_templates(log: DataFrame, templates: DataFrame, slices: Slices | None
     """
     known = templates.select("template_id", "subject_pattern", "expected")
     blocks = cut_lineage(blocks_of(in_order(log, slices).df, ["subject"], BLOCK).select("subject", "block", "types"))
-    pairs = match_patterns(blocks, known).join(known.drop("expected"), "subject_pattern").select("template_id", "subject")
-    met = blocks.join(pairs, "subject").join(known.select("template_id", "expected"), "template_id")
+    met = blocks.join(templates_of(match_patterns(blocks, known), known), "subject")
     mine = F.filter("types", lambda t: F.array_contains("expected", t))
     follow = lambda at, t: F.when(F.get("expected", at) == t, at + 1).otherwise(at)
     entries = F.when(F.col("block") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("expected")))
-    keys = ["template_id", "subject"]
+    keys = ["template_id", "subject", "expected"]  # steps travel with their template: no second join under one hot key
     folded = met.withColumn("_mine", mine).select(
         *keys, "block", F.size("types").cast("bigint").alias("length"), F.size("_mine").cast("bigint").alias("projected"),
         F.transform(entries, lambda at: F.aggregate("_mine", at, follow)).alias("outs"))
@@ -185,12 +203,12 @@ def check_templates(log: DataFrame, templates: DataFrame, slices: Slices | None
             parts.alias("_parts"), F.sum("length").alias("length"), F.sum("projected").alias("projected")).select(
             *keys, F.col("_group").alias("block"), "length", "projected", outs.alias("outs"))
     total = F.size("expected").cast("bigint")
-    walked = folded.join(known.select("template_id", "expected"), "template_id").select(
+    walked = folded.select(
         *keys, "length", "projected", (F.col("length") - F.col("projected")).alias("unexpected"),
-        F.get("outs", F.lit(0)).cast("bigint").alias("matched"), "expected")
+        F.get("outs", F.lit(0)).cast("bigint").alias("matched"))
     conforming = (F.col("projected") == total) & (F.col("matched") == total) & (F.col("unexpected") == 0) & (F.col("projected") > 0)
     return walked.select(
-        *keys, "length", "projected", "unexpected", "matched", (F.col("projected") > 0).alias("relevant"),
+        "template_id", "subject", "length", "projected", "unexpected", "matched", (F.col("projected") > 0).alias("relevant"),
         conforming.alias("conforming"),
         F.when((F.col("projected") > 0) & ~conforming,
                deviation_detail(F.col("expected"), F.col("matched"), F.col("unexpected"), F.col("projected"))).alias("detail"))
@@ -321,8 +339,9 @@ def round_trip(written: DataFrame, read_back: DataFrame, machine: DataFrame) ->
 def round_trip_differences(written: DataFrame, read_back: DataFrame) -> DataFrame:
     """Events present on one side only, matched by subject, position and type."""
     keys = ["subject", "pos", "type"]
-    left = in_order(written).df.select(*keys, F.lit(True).alias("was_written"))
-    right = in_order(read_back).df.select(*keys, F.lit(True).alias("was_read"))
+    slices = find_slices(written)  # cut points serve both sides: they only affect balance
+    left = in_order(written, slices).df.select(*keys, F.lit(True).alias("was_written"))
+    right = in_order(read_back, slices).df.select(*keys, F.lit(True).alias("was_read"))
     both = left.join(right, keys, "full")
     return both.where("was_written IS NULL OR was_read IS NULL").select(
         *keys, F.when(F.col("was_read").isNull(), "missing").otherwise("added").alias("difference")
