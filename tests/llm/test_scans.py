@@ -58,6 +58,20 @@ def test_ledger_scans_unseen_blobs_only(make_docs, spark, tmp_path):
     assert sorted(again) == sorted(got)
 
 
+def test_secret_scan_shuffles_no_texts(make_docs, spark, tmp_path):
+    docs = make_docs([(i, SECRETS[i % 9] + " x" * (i % 2), "aa", "s") for i in range(60)]).repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    rows = spark.read.parquet(str(tmp_path / "docs")).selectExpr("doc_id", "text", "sha2(text, 256) AS blob")
+    found = secrets.scanned(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Nothing is exchanged or sorted below the scan of the texts.
+    assert "Exchange" in plan[: plan.index("MapInArrow")]
+    assert not re.search("Exchange|Sort|Aggregate", plan[plan.index("MapInArrow"):])
+    got = {r.blob: [tuple(f) for f in r.findings] for r in found.collect()}
+    assert found.count() == len(got)
+    assert got == {r.blob: secrets.find_secrets(r.text) for r in rows.collect()}
+
+
 PERSONAL = ["a.b@c.de", "x@y", "@a.b", "a@b@c.com", "a@b.c@d.e", "me@x-1.co.uk.", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.0255",
             "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "+1 (555) 123-4567", "+12345", "+1 2 3.4-5 6 7 8 9",
             "+123456789012345678", "", "é+49 30 1234567é", "12 34", "1" * 20, "%a@b.c", "a..b@c..d"]

@@ -2,8 +2,9 @@
 
 Every version of every path (a document here) is addressed by the SHA-256 of its text.
 The ledger is a table of ``blob, rules, findings``: what a version of the rules found in
-a blob.  A scan finds the blobs that have no ledger row for its rules, scans each of
-them once, appends their rows, and joins findings back to all paths.
+a blob.  A scan takes the blobs that have no ledger row for its rules, scans them where
+they lie, appends one row for each, and joins findings back to all paths.  Texts are not
+shuffled: a task scans a blob once, and only digests and findings are combined.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import documents, pieces, table, texts
-from trailweave.session import checkpoint_folder
+from trailweave.session import checked_broadcast, checkpoint_folder
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -28,6 +29,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Name of these rules; another name scans every blob again.
 RULES = "base-1"
 FINDING = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = pa.schema([("blob", pa.string()), ("rules", pa.string()), ("findings", pa.list_(pa.struct(
+    [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+TABLE = f"blob string, rules string, findings {FINDING}"
+#: Blobs a task remembers as scanned.
+MEMORY = 200_000
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -51,6 +57,28 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
+def scanned(rows: DataFrame, rules: str = RULES) -> DataFrame:
+    """Ledger rows of the blobs of ``text, blob``: one per blob.
+
+    Texts stay in the task that reads them, which scans each blob once (again only after
+    ``MEMORY`` others); of equal rows from several tasks one is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for piece in pieces(batches, "text"):
+            if len(seen) > MEMORY:
+                seen = set()
+            new = {}
+            for blob, text in zip(piece.column("blob").to_pylist(), texts(piece)):
+                if blob not in seen:
+                    seen.add(blob)
+                    new[blob] = [dict(zip(("kind", "start", "end"), s)) for s in find_secrets(text)]
+            yield table(LEDGER, list(new), [rules] * len(new), list(new.values()))
+
+    return rows.select("text", "blob").mapInArrow(run, TABLE).groupBy("blob", "rules").agg(F.first("findings").alias("findings"))
+
+
 def scan(docs: DataFrame, ledger: str | None = None, rules: str = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, blob, findings`` of every row; blobs seen before are not scanned again.
 
@@ -63,23 +91,13 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: str = RULES, id_col:
     path = ledger or f"{checkpoint_folder(spark)}/trailweave-ledger-{uuid.uuid4().hex}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
-    schema = pa.schema([("blob", pa.string()), ("rules", pa.string()), ("findings", pa.list_(pa.struct(
-        [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            found = [[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t)] for t in texts(piece)]
-            yield table(schema, piece.column("blob"), [rules] * len(found), found)
-
-    # One text per blob, combined inside the partitions first; known blobs go before their text is used.
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    table_schema = f"blob string, rules string, findings {FINDING}"
+    unseen = rows
     if ledger and exists(spark, path):
-        known = spark.read.schema(table_schema).parquet(path).where(F.col("rules") == rules).select("blob")
-        blobs = blobs.join(known, "blob", "left_anti")
-    blobs.mapInArrow(run, table_schema).write.mode("append").parquet(path)
+        known = spark.read.schema(TABLE).parquet(path).where(F.col("rules") == rules).select("blob").distinct()
+        unseen = rows.join(checked_broadcast(known), "blob", "left_anti")
+    scanned(unseen, rules).write.mode("append").parquet(path)
     # Scans at one time, or an append that was repeated, may leave a blob several equal rows.
-    found = spark.read.schema(table_schema).parquet(path).where(
+    found = spark.read.schema(TABLE).parquet(path).where(
         (F.col("rules") == rules) & (F.size("findings") > 0)).dropDuplicates(["blob"])
     return rows.select("doc_id", "blob").join(found.select("blob", "findings"), "blob", "left").select(
         F.col("doc_id").alias(id_col), "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
