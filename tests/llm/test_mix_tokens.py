@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -148,3 +149,22 @@ def test_words_are_counted_like_the_pattern(make_docs):
     texts = ["a b", " a b\tc\n", "\x1ca \x0b\x0c", "", None, "ä ö"]
     got = {r.doc_id: r.size for r in mixing.mixed_sizes(make_docs([(i, t, "aa", "s") for i, t in enumerate(texts)])).collect()}
     assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
+def test_words_are_looked_at_once_each():
+    """What tells odd words and added tokens sees the different words of a slice, not all of them."""
+    words, seen = tokens.WordIds(tokens.default_tokenizer(), True), []
+    plain, mark = words.apart, next(iter(words.added))
+    words.apart = lambda lower, keys: seen.append(keys) or plain(lower, keys)
+    parts = ["Word", "word", "ÉTÉ", "été", "ΣΣ.", f"a{mark}b", mark.upper(), "İx", "don't", "9,5"]
+    texts = [" ".join(parts * 50), None, " ".join(parts[::-1]), ""]
+    ids, counts = words.encode(pa.array(texts, pa.string()))
+    (keys,) = seen
+    assert len(keys) == len(set(keys)) < len(parts)
+    at = np.cumsum(counts)
+    for text, end, n in zip(texts, at, counts):
+        alone, m = words.encode(pa.array([text], pa.string()))
+        assert ids[end - n : end].tolist() == alone.tolist() and m.tolist() == [n]
+        # One word at a time: no word depends on those around it.
+        each = [words.encode(pa.array([w]))[0][:-1].tolist() for w in (text or "").split()]
+        assert alone.tolist() == [*sum(each, []), tokens.END]

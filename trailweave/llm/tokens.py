@@ -68,7 +68,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     for w in np.unique(width):
         every = np.flatnonzero(width == w)
         for at in np.array_split(every, -(-len(every) // 512)) if w else []:
-            ones = ((delta[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+            ones = np.unpackbits(delta[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, count=int(w), bitorder="little")
             packed = np.packbits(ones.reshape(len(at), -1), axis=1, bitorder="little")
             body[index["start"][at].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
     row, place = np.nonzero(large)
@@ -122,7 +122,8 @@ def read_segment(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(i) if has else None for has, i in zip(docs["has"], docs["id"])], docs["n"].astype(np.int64), ids
 
 
-#: ASCII marks.
+#: Runs of ASCII characters, and ASCII marks.
+ASCII = re.compile(r"[\x00-\x7f]+")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The character that stands for each byte: printable ones for themselves, the others from 256 up.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -174,15 +175,16 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
-    def as_written(self, words: pa.Array, lower: pa.Array) -> pa.Array:
-        """Which words the library must see as they were written: not plain after A-Z are lower."""
-        ascii_only = pc.string_is_ascii(words)
-        if pc.all(ascii_only).as_py():
-            return pc.invert(ascii_only)
-        rest = pc.filter(lower, pc.invert(ascii_only)).dictionary_encode()
-        odd = pa.array([not (w == w.lower() and is_normalized("NFC", w) and all(c.isalpha() or c in MARKS or c.isascii() for c in w))
-                        for w in rest.dictionary.to_pylist()], pa.bool_())
-        return pc.replace_with_mask(pc.invert(ascii_only), pc.invert(ascii_only), odd.take(rest.indices))
+    def apart(self, lower: pa.Array, keys: list[str]) -> np.ndarray:
+        """Which different words, with A-Z lower, the library must see as they were written: those that are
+        not plain even then, and those that may hold an added token."""
+        found = np.zeros(len(lower), bool)
+        for at in np.flatnonzero(pc.invert(pc.string_is_ascii(lower)).to_numpy(zero_copy_only=False)).tolist():
+            word = keys[at]
+            found[at] = not (word == word.lower() and is_normalized("NFC", word) and (word.isalpha() or ASCII.sub("", word).isalpha()))
+        for token in self.added:
+            found |= pc.match_substring(lower, token.lower()).to_numpy(zero_copy_only=False)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, the end id after each, and the number per text.
@@ -192,14 +194,20 @@ class WordIds(dict):
         """
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten()
-        lower = pc.ascii_lower(words)
-        for apart in [self.as_written(words, lower), *(pc.match_substring(words, t) for t in self.added)]:
-            if pc.any(apart).as_py():
-                lower = pc.if_else(apart, pc.binary_join_element_wise("", words, " "), lower)
-        numbered = lower.dictionary_encode()
-        parts = list(map(self.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        numbered = pc.ascii_lower(words).dictionary_encode()
+        code, keys = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary.to_pylist()
+        apart = self.apart(numbered.dictionary, keys)
+        if apart.any():
+            at = np.flatnonzero(apart[code])
+            written = words.take(pa.array(at)).dictionary_encode()
+            code = code.copy()
+            code[at] = len(keys) + written.indices.to_numpy(zero_copy_only=False)
+            keys = [*keys, *(f" {word}" for word in written.dictionary.to_pylist())]
+            for place in np.flatnonzero(apart).tolist():
+                keys[place] = ""
+        parts = list(map(self.__getitem__, keys))
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool, code = np.frombuffer(b"".join(parts), "<u4"), numbered.indices.to_numpy(zero_copy_only=False)
+        pool = np.frombuffer(b"".join(parts), "<u4")
         n = size[code]
         after = np.cumsum(n)
         ids = pool[np.repeat((np.cumsum(size) - size)[code] - (after - n), n) + np.arange(n.sum())]
