@@ -160,7 +160,7 @@ def test_words_are_looked_at_once_each():
     texts = [" ".join(parts * 50), None, " ".join(parts[::-1]), ""]
     ids, counts = words.encode(pa.array(texts, pa.string()))
     (keys,) = seen
-    assert len(keys) == len(set(keys)) < len(parts)
+    assert len(keys) == len(set(keys)) <= len(parts)  # the empty text is a word here
     at = np.cumsum(counts)
     for text, end, n in zip(texts, at, counts):
         alone, m = words.encode(pa.array([text], pa.string()))

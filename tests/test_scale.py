@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trailweave.operators import conformance, relations, space, variants
+from trailweave.operators import conformance, explore, relations, space, variants
 from trailweave.operators.discovery import discover
 from trailweave.operators.ordering import in_order, kept_order
 from trailweave.session import small_table
@@ -54,3 +54,15 @@ def test_tree_groups_by_path_alone(spark, make_log):
     assert "depth" not in tree._jdf.queryExecution().analyzed().toString().split("Aggregate", 1)[1]
     assert {(r.path, r.depth, r.seg, r.is_id, r.events, r.instances) for r in tree.where(F.col("depth") == 2).collect()} == {
         ("/a/{id}", 2, "{id}", True, 8, 2), ("/b/{id}", 2, "{id}", True, 5, 2)}
+
+
+def test_running_counts_read_the_log_once(spark, make_log):
+    """What the counts need of a log is written once; a costly log (a join) is not made again for cuts and counts."""
+    log = make_log({"/a": "x y x", "/b": "y y x"})
+    names = small_table(spark, [("x", "kind.x"), ("y", None)], "type string, name string")
+    made = log.join(names.hint("merge"), "type").select("id", "source", "subject", F.col("name").alias("type"))
+    found = explore.running_counts(made)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == ["id", "subject", "type", "so_far"]
+    assert sorted((row["id"][-1], row["subject"], row["type"], row["so_far"]) for row in found.collect()) == [
+        ("0", "/a", "kind.x", 1), ("1", "/a", "", 1), ("2", "/a", "kind.x", 2), ("3", "/b", "", 2), ("4", "/b", "", 3), ("5", "/b", "kind.x", 3)]

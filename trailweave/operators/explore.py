@@ -11,9 +11,10 @@ from trailweave.session import cut_lineage, kept_table
 
 def running_counts(log: DataFrame) -> DataFrame:
     """How often the type of each event has occurred so far: (id, subject, type, so_far)."""
-    # Types take the part of subjects here, the key that events are ordered under.
-    keyed = log.select(F.coalesce("type", F.lit("")).alias("subject"), "id", "type", F.col("subject").alias("owner"))
-    counted = in_order(keyed, extra=("owner",)).df
+    # Types take the part of subjects here, the key that events are ordered under.  The log is read more
+    # than once (counts and samples for the cuts, events, seams), so what is needed of it is written once.
+    keyed = kept_table(log.select(F.coalesce("type", F.lit("")).alias("subject"), "id", F.col("subject").alias("owner")), "typed")
+    counted = in_order(keyed.withColumn("type", F.col("subject")), extra=("owner",)).df
     return counted.select("id", F.col("owner").alias("subject"), "type", F.col("pos").alias("so_far"))
 
 
