@@ -39,6 +39,25 @@ def test_operators_agree(spark, log):
     assert [(e["via"], e["count"]) for e in r.References(log).edges().collect()] == [("userId", len(GOOD))]
 
 
+def test_names_are_counted_before_stems(spark, tmp_path):
+    texts = ['{"userId":"1","n":1}', '{"userId":"2","n":2.5}', '{"orderIds":["1"],"n":{}}', '{"partRef":[1]}', '{"partRef":1}', "{}", "7", "{", None]
+    log = small_table(spark, [(f"{i:02d}", "s", f"/a/{i}" if i % 4 else f"/b/{i}", "t", t) for i, t in enumerate(texts * 3)],
+                      "id string, source string, subject string, type string, data string")
+    log.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    found = r.payload_shapes(log)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower().replace("parse_json", "parsejson")
+    # The payload is parsed in a projection of its own, not inside the function that goes over its names.
+    assert not [line for line in plan.splitlines() if "lambda" in line and "parsejson" in line] and "parsejson" in plan and "lambda" in plan
+    groups = {(row["owner"], tuple(map(tuple, row["names"])) if row["names"] is not None else None): (row["n"], row["first"]) for row in found.collect()}
+    assert sum(n for n, _ in groups.values()) == log.count()
+    assert groups["a", (("n", False), ("userId", False))] == (5, "01") and groups["a", (("n", False), ("orderIds", True))][0] == 2
+    assert groups["a", None][0] + groups["b", None][0] == 9
+    assert {tuple(row) for row in r.References(log).nodes().collect()} == {
+        ("a", True, sum(1 for i in range(27) if i % 4)), ("b", True, sum(1 for i in range(27) if not i % 4)),
+        ("user", False, 0), ("order", False, 0), ("part", False, 0)}
+
+
 def test_wide_offsets(spark):
     given = [("2024-01-02T03:04:05+23:59", "2024-01-01 03:05:05"), ("2024-01-02T03:04:05-19:30", "2024-01-02 22:34:05"),
              ("2024-01-02T03:04:05,5Z", "2024-01-02 03:04:05.5"), ("2024-01-02T03:04:05.25+01:00", "2024-01-02 02:04:05.25"),
