@@ -95,6 +95,20 @@ def test_vocabulary_grows_with_the_corpus(make_docs, spark):
     assert 0 < 2 * sizes[0] < sizes[1]
 
 
+def test_counts_and_classes_of_words(spark, monkeypatch):
+    """Words of both folds are counted together; a class is worked out once for each pair of bytes, in Spark as in Python."""
+    worked = []
+    monkeypatch.setattr(perplexity.zlib, "crc32", lambda end, crc=zlib.crc32: worked.append(end) or crc(end))
+    classes = perplexity.Classes()
+    assert [classes[w[-2:]] for w in [b"xy", b"axy", b"z", b"xy"]] == [zlib.crc32(e) % perplexity.CLASSES for e in (b"xy", b"xy", b"z", b"xy")]
+    assert worked[:2] == [b"xy", b"z"] and len(classes) == 2
+    rows = [("Ab ab\u00a0c z \u00c9\u00e9 " * 3, False), ("AB \u00c9\u00e9 new", True), (None, True), ("", False)]
+    counts = perplexity.count_tokens(spark.createDataFrame(rows, "text string, held_out boolean").repartition(3)).collect()
+    want = {"ab": (3, 4), "ab\u00a0c": (3, 3), "z": (3, 3), "\u00c9\u00e9": (3, 4), "new": (0, 1), "\n": (2, 4)}
+    assert {bytes(r.token).decode(): (r.n_train, r.n_all) for r in counts} == want
+    assert all(r["class"] == classes[bytes(r.token)[-2:]] for r in counts) and len(counts) == len(want)
+
+
 def test_empty(empty_docs, make_docs, spark):
     assert perplexity.lm_scores(empty_docs).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -24,14 +24,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import documents, fold, lower_words, pieces, stored, table, texts
+from trailweave.llm.common import documents, fold, pieces, stored, table
 
 #: The end of a text; no word holds white space.
 END = b"\n"
@@ -45,18 +46,35 @@ NOISE, OWN_NOISE, WARM, STEPS = 32, 2, 200, (512, 4096)
 RATE, WORD_RATE = 0.05, 0.1
 #: Training tokens of a block, and of the piece of it that is shuffled in memory.
 BLOCK, PIECE = 4_000_000, 1 << 18
-COUNTS = pa.schema([("token", pa.binary()), ("class", pa.int32()), ("n_train", pa.int64()), ("n_all", pa.int64())])
+COUNTS = pa.schema([("token", pa.binary()), ("n_train", pa.int64()), ("n_all", pa.int64())])
 CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                    ("head_known", pa.int64()), ("head_base", pa.float64()), ("class_base", pa.float64()),
                    ("codes", pa.binary()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
 
-def class_of(token: bytes) -> int:
-    return zlib.crc32(token[-2:]) % CLASSES
+class Classes(dict):
+    """The class of a word by its last two bytes, worked out once for each pair of bytes."""
 
+    def __missing__(self, end: bytes) -> int:
+        self[end] = found = zlib.crc32(end) % CLASSES
+        return found
 
-def tokens_of(text: str) -> list[bytes]:
-    return [*lower_words(text), END]
+
+def class_column(token: Column) -> Column:
+    """``Classes`` for a column of words."""
+    return (F.crc32(F.substring(token, -2, 2)) % CLASSES).cast("int")
+
+
+def tokens_of(text: bytes | None) -> list[bytes]:
+    """Words with A-Z lower-cased (``bytes`` methods touch ASCII only), and the end."""
+    found = text.lower().split() if text else []
+    found.append(END)
+    return found
+
+
+def utf8(piece: pa.RecordBatch) -> list[bytes | None]:
+    """The texts of a slice as they lie in it, without decoding."""
+    return piece.column("text").cast(pa.binary()).to_pylist()
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -66,20 +84,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         train, rest = Counter(), Counter()
 
         def out():
-            names = list(train.keys() | rest.keys())
-            return table(COUNTS, names, [class_of(t) for t in names], [train[t] for t in names],
-                         [train[t] + rest[t] for t in names])
+            # Words of both kinds are two rows, added up by Spark.
+            for counted, share in ((train, 1), (rest, 0)):
+                n = np.fromiter(counted.values(), np.int64, len(counted))
+                yield table(COUNTS, list(counted), n * share, n)
+                counted.clear()
 
         for piece in pieces(batches, "text"):
-            for text, held in zip(texts(piece), piece.column("held_out").to_pylist()):
+            for text, held in zip(utf8(piece), piece.column("held_out").to_pylist()):
                 (rest if held else train).update(tokens_of(text))
             if len(train) + len(rest) > 300_000:
-                yield out()
-                train, rest = Counter(), Counter()
-        yield out()
+                yield from out()
+        yield from out()
 
-    parts = docs.select("text", "held_out").mapInArrow(run, "token binary, class int, n_train bigint, n_all bigint")
-    return parts.groupBy("token", "class").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+    parts = docs.select("text", "held_out").mapInArrow(run, "token binary, n_train bigint, n_all bigint")
+    return parts.groupBy("token").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")).select(
+        "token", class_column(F.col("token")).alias("class"), "n_train", "n_all")
 
 
 def head_words(counts: DataFrame, head: int) -> pa.Table:
@@ -182,17 +202,20 @@ def encode(model: Model, rows: DataFrame) -> DataFrame:
     """Every document as codes, with the words outside the head for the join with all counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, get = TaskContext.get().partitionId() << 36, model.place.get
+        number, get, classes = TaskContext.get().partitionId() << 36, model.place.get, Classes()
         for piece in pieces(batches, "text"):
             out = [[] for _ in range(7)]
-            for text in texts(piece):
+            for text in utf8(piece):
                 tokens = tokens_of(text)
-                place = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
-                tail = [tokens[i] for i in np.flatnonzero(place < 0)]
-                inside = place[place >= 0]
+                place = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
+                known = place >= 0
+                outside = np.flatnonzero(~known)
+                tail = [tokens[i] for i in outside.tolist()]
+                inside = place[known]
                 codes = np.empty(len(place), "<i4")
-                codes[place >= 0] = model.code[inside]
-                codes[place < 0] = [model.words + class_of(t) for t in tail]
+                codes[known] = model.code[inside]
+                codes[outside] = [classes[t[-2:]] for t in tail]
+                codes[outside] += model.words
                 found, base = Counter(tail), model.log_p[inside]
                 for column, value in zip(out, (
                         len(tokens), int(model.known[inside].sum()), base.sum(),
@@ -376,7 +399,8 @@ def log_probability(model: Model, codes: np.ndarray, context: np.ndarray) -> np.
     q[:, SIZE] = 1  # what the bias is multiplied by
     target = model.output[codes]
     found = own_logs(q, outs, target)
-    order = np.argsort(target, kind="stable")
+    # Small numbers are sorted by their digits.
+    order = np.argsort(target.astype(np.uint16) if model.ranges + CLASSES <= 1 << 16 else target, kind="stable")
     ends = np.searchsorted(target[order], np.arange(model.ranges + 1))
     for k in np.flatnonzero((np.diff(model.cuts) > 1) & (np.diff(ends) > 0)):
         at, low = order[ends[k] : ends[k + 1]], model.cuts[k]
