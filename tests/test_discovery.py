@@ -193,3 +193,23 @@ def test_cut_logs_are_read_and_shuffled_once(spark, make_log, tmp_path):
     plan = runs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan") <= 2, plan
     assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan.splitlines()) <= 2, plan
+
+
+def test_split_runs_shuffles_the_log_once(spark, make_log, tmp_path):
+    """Counting neighbours and numbering runs are one query with one exchange of the log, also of a cut log."""
+    path = str(tmp_path / "log")
+    noisy(make_log).write.parquet(path)
+    log = spark.read.parquet(path)
+    apart = discover(log)
+    assert not apart.few_types
+    want = v.split_runs(apart).collect()
+    found = discover(log, together=True)
+    assert found.few_types
+    runs = v.split_runs(found)
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, want))
+    plan = runs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan, plan
+    cut = discover(log, together=True)
+    cut.slices = find_slices(log, rows_per_slice=25)
+    assert sorted(map(tuple, v.split_runs(cut).collect())) == sorted(map(tuple, want))
+    assert v.split_runs(discover(log.limit(0), together=True)).count() == 0

@@ -43,8 +43,8 @@ QUERIES = {
     "node_stats": lambda s, d: _order(s, d).node_stats,
     "node_stats_users": lambda s, d: discover(user_log(s, d)).node_stats,
     "boundary_types": lambda s, d: _order(s, d).boundary_types,
-    "split_runs": lambda s, d: v.split_runs(_order(s, d)),
-    "split_runs_users": lambda s, d: v.split_runs(discover(user_log(s, d))),
+    "split_runs": lambda s, d: v.split_runs(discover(order_log(s, d), together=True)),
+    "split_runs_users": lambda s, d: v.split_runs(discover(user_log(s, d), together=True)),
     "directly_follows": lambda s, d: _order(s, d).directly_follows,
     "directly_follows_users": lambda s, d: discover(user_log(s, d)).directly_follows,
     "directly_follows_unsplit": lambda s, d: discover(user_log(s, d), start_types=("",), end_types=("",)).directly_follows,

@@ -7,10 +7,11 @@ and totals all follow from that small table; the log is not read again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trailweave.functions.lifecycle import phase, task
@@ -22,6 +23,8 @@ from trailweave.session import cut_lineage
 # When two types count as running in parallel.
 MIN_BOTH_WAYS = 2
 MAX_DEPENDENCY = 0.5
+# Types (as estimated) whose pairs are few enough to be sent to tasks without being counted first.
+FEW_TYPES = 500
 
 
 def neighbours(flow: Ordered) -> DataFrame:
@@ -49,8 +52,19 @@ class Discovery:
     end_types: tuple[str, ...] | None = None
     #: Whether the ordered log is written down; for those who go on to its runs without ids.
     keep: bool = False
+    #: Whether types are counted with the cut points, so that ``split_runs`` can be one query.
+    together: bool = False
 
     def __post_init__(self) -> None:
+        #: Whether there are few types; only known if they were counted with the cut points.
+        self.few_types = False
+        if self.together and not self.slices:
+            seen = Observation()
+            self.slices = find_slices(self.log.observe(seen, F.approx_count_distinct("type").alias("types")))
+            try:
+                self.few_types = seen.get["types"] <= FEW_TYPES
+            except Py4JJavaError:  # a plan found to be empty is not run, so nothing was observed
+                pass
         self.slices = self.slices or find_slices(self.log)
 
     @cached_property
@@ -58,6 +72,16 @@ class Discovery:
         """The ordered log, without ids and written down."""
         return kept_order(self.log, self.slices)
 
+    def within(self, flow: Ordered) -> "Discovery":
+        """The same process, counted inside the query that goes on with ``flow``, so that both share one exchange.
+
+        The counts of a pair are one value: whoever asks for any of them asks for the same rows, which are made once.
+        """
+        inner = replace(self, slices=flow.slices)
+        whole = neighbours(flow).groupBy("prev_type", "type").agg(F.max(F.struct("n", "ends", "deepest")).alias("_whole"))
+        inner._counted = (whole.select("prev_type", "type", "_whole.*").where("n > 0"), False)
+        return inner
+
     @cached_property
     def _counted(self) -> tuple[DataFrame, bool]:
         """Neighbour counts, and whether they are few enough for one partition.

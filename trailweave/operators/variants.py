@@ -78,8 +78,14 @@ def _run_pieces(found: Discovery) -> DataFrame:
     )
 
 
-def _split(found: Discovery, flow: Ordered) -> Ordered:
-    """Events with run number, run start and stretch number."""
+def _split(found: Discovery, flow: Ordered, stretches: bool = True) -> Ordered:
+    """Events with run number, run start and, if asked for, stretch number."""
+    if not stretches:
+        # Pairs of few types need no count before they are sent; then one query counts and numbers.
+        inside = found.few_types and "_counted" not in found.__dict__
+        marks = (found.within(flow) if inside else found).classified.select(
+            F.col("prev_type").alias("p"), F.col("type").alias("t"), "restart")
+        return _numbered_runs(flow, F.broadcast(marks) if inside else checked_broadcast(cut_lineage(marks)))
     groups = found.group_of
     marks = (
         found.classified.join(groups.select("type", F.col("grp")), "type", "left")
@@ -91,16 +97,20 @@ def _split(found: Discovery, flow: Ordered) -> Ordered:
         )
     )
     # One row per pair of types; without the hint its unknown size would shuffle the log.
-    marks = checked_broadcast(cut_lineage(marks))
+    return _numbered_runs(flow, checked_broadcast(cut_lineage(marks)), island=F.col("fresh"))
+
+
+def _numbered_runs(flow: Ordered, marks: DataFrame, **counts: Column) -> Ordered:
+    """Adds run, run_start and further running counts of what the pairs (p, t) are marked with."""
     df = flow.df.join(marks, F.col("prev_type").eqNullSafe(F.col("p")) & (F.col("type") == F.col("t"))).drop("p", "t")
-    flow = replace(flow, df=df).running(run=F.col("restart"), island=F.col("fresh"))
+    flow = replace(flow, df=df).running(run=F.col("restart"), **counts)
     begins = F.when(F.col("prev_type").isNull() | F.col("restart"), F.col("pos"))
     return flow.running(fold=F.max, run_start=begins)
 
 
 def split_runs(found: Discovery) -> DataFrame:
     """(subject, id, type, pos, run, step): run numbers from 1, steps from 1."""
-    return _split(found, in_order(found.log, found.slices)).df.select(
+    return _split(found, in_order(found.log, found.slices), stretches=False).df.select(
         "subject", "id", "type", "pos", (F.col("run") + 1).alias("run"),
         (F.col("pos") - F.col("run_start") + 1).alias("step"),
     )
