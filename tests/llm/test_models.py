@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trailweave.llm import perplexity, toxicity
@@ -109,6 +110,69 @@ def test_counts_and_classes_of_words(spark, monkeypatch):
     assert all(r["class"] == classes[bytes(r.token)[-2:]] for r in counts) and len(counts) == len(want)
 
 
+def test_words_of_texts_against_a_pattern():
+    """White space is six ASCII signs, only A-Z are lower-cased, and slices of a column are read as such."""
+    texts = ["out", None, "", " \t\n", " Ab\x0b\x0cc  D\r\n", "\x1ca\x1fb\x85C\u00a0d\u2003e \u00c9Z", "\u212a \u0130x", "x"]
+    words, sizes = perplexity.words_of(pa.array(texts).slice(1))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts[1:]]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert [w.decode() for w in words.to_pylist()] == [w for ws in want for w in ws]
+
+
+def test_distinct_words_are_looked_up_once_a_turn(monkeypatch):
+    """Three slices, one lookup of their distinct words; codes and base sums as word by word."""
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    asked = []
+    monkeypatch.setattr(perplexity, "stored", lambda run, name: run)
+    monkeypatch.setattr(perplexity, "TEXTS", 30)
+    monkeypatch.setattr(perplexity, "TaskContext", type("At", (), {"get": staticmethod(lambda: type("Part", (), {"partitionId": lambda self: 2})())}))
+    monkeypatch.setattr(perplexity.pc, "index_in", lambda words, value_set, find=perplexity.pc.index_in: asked.append(len(words)) or find(words, value_set=value_set))
+    names, words = [b"a", b"\n", b"bb", b"c"], 2
+    model = perplexity.Model(pa.array(names, pa.binary()), np.array([1, 0, words + 5, words + 9]), np.array([-1.0, -2, -4, -8]),
+                             np.array([True, True, True, False]), np.ones(words), np.ones(perplexity.CLASSES), np.array([0, words]), 9.0)
+    texts = ["A a bb zz zz", "", "c A\tqq q a a a a a a a a", "bb", "zz c c c c c c c c c c c c c", "a"]
+    batch = pa.record_batch({"doc_id": list(range(6)), "text": texts, "held_out": [False] * 6})
+    got = [r for out in perplexity.encode(model, Rows())(iter([batch])) for r in out.to_pylist()]
+    assert len(asked) == 1 and asked[0] < sum(len(t.split()) + 1 for t in texts)
+    assert [(r["row"], r["doc_id"]) for r in got] == [((2 << 36) + i, i) for i in range(6)]
+    for r, text in zip(got, texts):
+        tokens = [t.encode() for t in text.lower().split()] + [b"\n"]
+        at = [names.index(t) if t in names else -1 for t in tokens]
+        code = [int(model.code[i]) if i >= 0 else words + zlib.crc32(t[-2:]) % perplexity.CLASSES for i, t in zip(at, tokens)]
+        assert np.frombuffer(r["codes"], "<i4").tolist() == code
+        assert r["tail"] == [t for i, t in zip(at, tokens) if i < 0] and r["n_tokens"] == len(tokens)
+        assert r["head_known"] == sum(bool(model.known[i]) for i in at if i >= 0)
+        assert r["head_base"] == sum(model.log_p[i] for i in at if i >= 0)
+        assert r["class_base"] == sum(model.log_p[i] for i in at if i >= 0 and model.code[i] >= words)
+
+
+@pytest.mark.parametrize("width", [1, 2, 17, 18])
+def test_rows_are_added_up_by_number(width):
+    rng = np.random.default_rng(width)
+    for at in (rng.integers(0, 40, 300, np.int32), np.array([7]), np.arange(9), np.full(50, 3)):
+        values = rng.normal(0, 1, (len(at), width)).astype(np.float32)
+        rows, total, times = perplexity.added(at, values)
+        want = np.zeros((40, width))
+        np.add.at(want, at, values)
+        assert rows.tolist() == sorted(set(at.tolist())) and times.tolist() == np.bincount(at)[rows].tolist()
+        assert total == pytest.approx(want[rows], abs=1e-5)
+
+
+@pytest.mark.parametrize("scale", [0.1, 3, 60])
+def test_softmax_of_small_and_large_scores(scale):
+    """Scores that need no shift and scores whose exponentials pass 32 bits."""
+    rng = np.random.default_rng(3)
+    q, outs = (rng.normal(0, scale, (n, 17)).astype(np.float32) for n in (900, 200))
+    target = rng.integers(0, 200, 900)
+    scores = q.astype(float) @ outs.T.astype(float)
+    top = scores.max(1)
+    want = scores[np.arange(900), target] - top - np.log(np.exp(scores - top[:, None]).sum(1))
+    assert perplexity.own_logs(q, outs, target) == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_empty(empty_docs, make_docs, spark):
     assert perplexity.lm_scores(empty_docs).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

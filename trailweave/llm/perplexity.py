@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +45,14 @@ NOISE, OWN_NOISE, WARM, STEPS = 32, 2, 200, (512, 4096)
 RATE, WORD_RATE = 0.05, 0.1
 #: Training tokens of a block, and of the piece of it that is shuffled in memory.
 BLOCK, PIECE = 4_000_000, 1 << 18
+#: Bytes of text that are split at a time, and whose words are looked up at a time.
+TEXTS, TURN = 1 << 22, 1 << 24
+#: Scores worked out at a time, which stay in a core's cache; no 32-bit exponential up to this is infinite or 0.
+SCORES, SAFE = 1 << 16, 85
 COUNTS = pa.schema([("token", pa.binary()), ("n_train", pa.int64()), ("n_all", pa.int64())])
 CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                    ("head_known", pa.int64()), ("head_base", pa.float64()), ("class_base", pa.float64()),
-                   ("codes", pa.binary()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+                   ("codes", pa.binary()), ("tail", pa.list_(pa.binary()))])
 
 
 class Classes(dict):
@@ -65,37 +68,30 @@ def class_column(token: Column) -> Column:
     return (F.crc32(F.substring(token, -2, 2)) % CLASSES).cast("int")
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words with A-Z lower-cased (``bytes`` methods touch ASCII only), and the end."""
-    found = text.lower().split() if text else []
-    found.append(END)
-    return found
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts with A-Z lower-cased (Arrow's ASCII functions touch no other
+    bytes), and how many each text has; none if it is null."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(plain), 0), None, plain))
+    return words.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(words), 0).to_numpy()
 
 
-def utf8(piece: pa.RecordBatch) -> list[bytes | None]:
-    """The texts of a slice as they lie in it, without decoding."""
-    return piece.column("text").cast(pa.binary()).to_pylist()
+def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
+    """Slices, the number of words of each text (without the end), and all words, each distinct one held once."""
+    for piece in pieces(batches, "text", TEXTS):
+        words, sizes = words_of(piece.column("text"))
+        yield piece, sizes, words.dictionary_encode()
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """``token, class, n_train, n_all`` over all rows of ``text, held_out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
-
-        def out():
-            # Words of both kinds are two rows, added up by Spark.
-            for counted, share in ((train, 1), (rest, 0)):
-                n = np.fromiter(counted.values(), np.int64, len(counted))
-                yield table(COUNTS, list(counted), n * share, n)
-                counted.clear()
-
-        for piece in pieces(batches, "text"):
-            for text, held in zip(utf8(piece), piece.column("held_out").to_pylist()):
-                (rest if held else train).update(tokens_of(text))
-            if len(train) + len(rest) > 300_000:
-                yield from out()
-        yield from out()
+        for piece, sizes, found in split(batches):
+            train = ~piece.column("held_out").to_numpy(zero_copy_only=False)
+            at, n = found.indices.to_numpy(), len(found.dictionary)
+            yield table(COUNTS, found.dictionary, np.bincount(at[np.repeat(train, sizes)], minlength=n), np.bincount(at, minlength=n))
+            yield table(COUNTS, [END], [train.sum()], [len(train)])
 
     parts = docs.select("text", "held_out").mapInArrow(run, "token binary, n_train bigint, n_all bigint")
     return parts.groupBy("token").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")).select(
@@ -123,7 +119,7 @@ class Model:
     A code is the place of a word of the vocabulary, or the size of the vocabulary and a class.
     """
 
-    place: dict[bytes, int]  # of each head word
+    names: pa.Array | None  # the head words; dropped once all words are codes
     code: np.ndarray  # of each head word
     log_p: np.ndarray  # log10 base probability of each head word
     known: np.ndarray
@@ -179,7 +175,7 @@ class Model:
 
 def build(counts: DataFrame, top: pa.Table, total: float, most: int) -> Model:
     """A model whose vocabulary is the ``most`` words of ``top`` with the largest training counts."""
-    names, trained = top.column("token").to_pylist(), top.column("n_train").to_numpy().astype(np.int64)
+    names, trained = top.column("token").combine_chunks(), top.column("n_train").to_numpy().astype(np.int64)
     order = np.lexsort((np.arange(len(names)), -trained))
     words = min(most, int((trained > 0).sum()))
     classes = np.array(top.column("class").to_pylist(), np.int64)
@@ -194,39 +190,58 @@ def build(counts: DataFrame, top: pa.Table, total: float, most: int) -> Model:
     ranges = math.ceil(RANGES * math.sqrt(words))
     at = np.minimum((steps - np.sqrt(own) / 2) / (steps[-1] if words else 1) * ranges, ranges - 1).astype(np.int64)
     cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if words else np.zeros(0, np.int64), words].astype(np.int64)
-    return Model(dict(zip(names, range(len(names)))), code, np.log10((trained + 0.5) / total), trained > 0,
+    return Model(names, code, np.log10((trained + 0.5) / total), trained > 0,
                  own, np.maximum(mass, 0.5), cuts, total)
 
 
 def encode(model: Model, rows: DataFrame) -> DataFrame:
-    """Every document as codes, with the words outside the head for the join with all counts."""
+    """Every document as codes, with its words outside the head, as often as they occur, for the join with all counts."""
+
+    end = pa.array([END], pa.binary())
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        turn, size = [], 0
+        for part in split(batches):
+            turn.append(part)
+            size += pc.sum(pc.binary_length(part[0].column("text"))).as_py() or 0
+            if size > TURN:
+                yield turn
+                turn, size = [], 0
+        if turn:
+            yield turn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, get, classes = TaskContext.get().partitionId() << 36, model.place.get, Classes()
-        for piece in pieces(batches, "text"):
-            out = [[] for _ in range(7)]
-            for text in utf8(piece):
-                tokens = tokens_of(text)
-                place = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
-                known = place >= 0
-                outside = np.flatnonzero(~known)
-                tail = [tokens[i] for i in outside.tolist()]
-                inside = place[known]
-                codes = np.empty(len(place), "<i4")
-                codes[known] = model.code[inside]
-                codes[outside] = [classes[t[-2:]] for t in tail]
-                codes[outside] += model.words
-                found, base = Counter(tail), model.log_p[inside]
-                for column, value in zip(out, (
-                        len(tokens), int(model.known[inside].sum()), base.sum(),
-                        base[model.code[inside] >= model.words].sum(), codes.tobytes(), list(found), list(found.values()))):
-                    column.append(value)
-            yield table(CODED, number + np.arange(piece.num_rows), piece.column("doc_id"), piece.column("held_out"), *out)
-            number += piece.num_rows
+        number, classes = TaskContext.get().partitionId() << 36, Classes()
+        # The last entry is for words outside the head, whose place is -1.
+        code, known, log_p = np.r_[model.code, 0], np.r_[model.known, False].astype(np.int64), np.r_[model.log_p, 0]
+        class_p = np.where(code >= model.words, log_p, 0)
+        for turn in turns(batches):
+            # Arrow indexes the head for each call, so distinct words of several slices are looked up together.
+            kinds = [pa.concat_arrays([found.dictionary, end]) for _, _, found in turn]
+            places = pc.fill_null(pc.index_in(pa.chunked_array(kinds), value_set=model.names), -1).to_numpy()
+            for (piece, sizes, found), words in zip(turn, kinds):
+                own, places = places[: len(words)], places[len(words) :]
+                bounds = np.r_[0, np.cumsum(sizes + 1)]
+                is_end = np.zeros(bounds[-1], bool)
+                is_end[bounds[1:] - 1] = True
+                at = np.full(len(is_end), len(words) - 1, np.int32)
+                at[~is_end] = found.indices.to_numpy()
+                place = own.take(at)
+                outside = np.flatnonzero(place < 0)
+                tail = words.take(pa.array(at[outside]))
+                pairs = pc.binary_slice(tail, -2).dictionary_encode()
+                codes = code.take(place, mode="wrap").astype("<i4")
+                codes[outside] = model.words + np.array([classes[e] for e in pairs.dictionary.to_pylist()], np.int64).take(pairs.indices.to_numpy())
+                yield table(
+                    CODED, number + np.arange(len(sizes)), piece.column("doc_id"), piece.column("held_out"), sizes + 1,
+                    *(np.add.reduceat(x.take(place, mode="wrap"), bounds[:-1]) for x in (known, log_p, class_p)),
+                    pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(codes)]),
+                    pa.ListArray.from_arrays(np.searchsorted(outside, bounds).astype(np.int32), tail))
+                number += len(sizes)
 
     return stored(rows.mapInArrow(
         run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, "
-             "class_base double, codes binary, tail array<binary>, times array<int>"), "lm-codes")
+             "class_base double, codes binary, tail array<binary>"), "lm-codes")
 
 
 def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,12 +250,39 @@ def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def chance(scores: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(scores)), in place."""
-    np.clip(scores, -30, 30, out=scores)
-    np.exp(scores, out=scores)
+    with np.errstate(over="ignore"):  # 1 / infinity is 0
+        np.exp(scores, out=scores)
     scores += 1
     return np.reciprocal(scores, out=scores)
 
 
+def put(array: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``array[rows] = values``, with each row moved as one item."""
+    row = np.dtype((np.void, array.itemsize * array.shape[1]))
+    array.view(row)[:, 0][rows] = values.view(row)[:, 0]
+
+
+def added(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of ``at``, the sum of the rows of ``values`` at each, and how many rows these are."""
+    keys = at.astype(np.int64) << 32
+    keys |= np.arange(len(at))
+    keys.sort()  # plain numbers sort faster than an index of them
+    order, at = keys & 0xFFFFFFFF, keys >> 32
+    new = np.r_[True, at[1:] != at[:-1]]
+    first, later = np.flatnonzero(new), np.flatnonzero(~new)
+    total, times = values.take(order.take(first), 0), np.diff(np.r_[first, len(at)])
+    if len(later):
+        many = np.flatnonzero(times > 1)
+        starts, rest = np.cumsum(times[many] - 1) - (times[many] - 1), np.empty((len(many), values.shape[1]), values.dtype)
+        values, even = values.take(order.take(later), 0), values.shape[1] // 2 * 2
+        # Two columns at once, as the parts of complex numbers.
+        np.add.reduceat(values[:, :even].view("c8"), starts, axis=0, out=rest[:, :even].view("c8"))
+        if even < values.shape[1]:
+            np.add.reduceat(values[:, even], starts, out=rest[:, even])
+        put(total, many, total.take(many, 0) + rest)
+    return at.take(first), total, times
+
+
 class Trainer:
     """One block: noise-contrastive steps on both levels with AdaGrad."""
 
@@ -261,14 +303,14 @@ class Trainer:
 
     def move(self, k: int, at: np.ndarray, gradient: np.ndarray) -> None:
         """AdaGrad on the rows ``at`` of part k; repeated rows are added up first."""
-        order = np.argsort(at)
-        rows = at.take(order)
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        rows, total = rows.take(first), np.add.reduceat(gradient.take(order, 0), first, axis=0)
+        rows, total, times = added(at, gradient)
         squares = self.squares[k].take(rows, 0) + total * total
-        self.squares[k][rows] = squares
-        self.params[k][rows] += WORD_RATE * total / np.sqrt(squares)
-        self.moved[k][rows] += np.diff(np.r_[first, len(order)])
+        put(self.squares[k], rows, squares)
+        total *= WORD_RATE
+        total /= np.sqrt(squares, out=squares)
+        total += self.params[k].take(rows, 0)
+        put(self.params[k], rows, total)
+        self.moved[k][rows] += times
 
     def move_all(self, k: int, gradient: np.ndarray, tokens: int) -> None:
         self.squares[k] += gradient * gradient
@@ -306,26 +348,27 @@ class Trainer:
         noise = self.rng.choice(len(outs), NOISE, p=self.noise_p)
         wanted, other = outs.take(target, 0), outs[noise]
         up = chance(np.einsum("ij,ij->i", q, wanted) - self.log_noise[target])
-        down = -chance(self.log_noise[noise] - q @ other.T)
-        dq = up[:, None] * wanted + down @ other
+        shifted = -other
+        shifted[:, SIZE] += self.log_noise[noise]
+        down = chance(q @ shifted.T)
+        wanted *= up[:, None]
+        dq = np.subtract(wanted, down @ other, out=wanted)
         g_outs = np.stack([np.bincount(target, c, len(outs)) for c in (up * q.T)], 1).astype(np.float32)
-        np.add.at(g_outs, noise, down.T @ q)
+        for row, gradient in zip(noise.tolist(), down.T @ q):
+            g_outs[row] -= gradient
         # Second level: noise words of the same range.
         inner = np.flatnonzero(~self.alone[target])
         if len(inner):
             own, at = code[inner], target[inner]
             drawn = self.start.take(at) + self.rng.integers(0, self.width.take(at), (OWN_NOISE, len(inner)), np.int32)
             chosen = np.concatenate([own, *drawn])
-            q_own = np.tile(q[inner], (1 + OWN_NOISE, 1))
-            vector = words.take(chosen, 0)
-            error = np.einsum("ij,ij->i", q_own, vector) - np.tile(self.log_own.take(at), 1 + OWN_NOISE)
-            error[len(own) :] *= -1
+            q_own, vector = q.take(inner, 0), words.take(chosen, 0).reshape(1 + OWN_NOISE, len(inner), -1)
+            error = np.einsum("ij,kij->ki", q_own, vector) - self.log_own.take(at)
+            error[1:] *= -1
             error = chance(error)
-            error[len(own) :] *= -1
-            vector *= error[:, None]
-            dq[inner] += vector.reshape(1 + OWN_NOISE, len(inner), -1).sum(0)
-            q_own *= error[:, None]
-            self.move(2, chosen, q_own)
+            error[1:] *= -1
+            put(dq, inner, dq.take(inner, 0) + np.einsum("ki,kij->ij", error, vector))
+            self.move(2, chosen, (error[:, :, None] * q_own).reshape(len(chosen), -1))
         dq[:, SIZE] = 0
         self.move_all(3, np.stack([np.einsum("ij,ij->j", v, dq) / n for v in vectors]), n)
         g_in = np.zeros((len(codes) + 1, SIZE + 1), np.float32)  # the last for "before the text"
@@ -381,14 +424,20 @@ def averaged(model: Model, coded: DataFrame, tokens: int, block: int) -> list[np
 
 def own_logs(q: np.ndarray, outs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the softmax over ``outs`` at each target, in pieces that fit into a core's cache."""
-    found, step = np.empty(len(q)), max(1, (1 << 18) // max(len(outs), 1))
-    weights = np.ascontiguousarray(outs.T)
+    found, step = np.empty(len(q)), max(1, SCORES // max(len(outs), 1))
+    weights, ones = np.ascontiguousarray(outs.T), np.ones(len(outs), np.float32)
+    room, begin = np.empty((min(step, len(q)), len(outs)), np.float32), np.arange(0, step * len(outs), len(outs))
+    # No score is larger than the product of both lengths.  Only where that is large, the largest of a row is taken off.
+    length = np.sqrt(np.einsum("ij,ij->i", q, q)) * math.sqrt(np.einsum("ij,ij->i", outs, outs).max())
+    most = SAFE - math.log(len(outs))
     for i in range(0, len(q), step):
-        scores = q[i : i + step] @ weights
-        scores -= scores.max(1, keepdims=True)
-        own = scores.ravel().take(np.arange(0, scores.size, len(outs)) + target[i : i + step])
+        part = q[i : i + step]
+        scores = np.matmul(part, weights, out=room[: len(part)])
+        if not length[i : i + step].max() < most:
+            scores -= scores.max(1, keepdims=True)
+        own = scores.ravel().take(begin[: len(part)] + target[i : i + step])
         np.exp(scores, out=scores)
-        found[i : i + step] = own - np.log(scores.sum(1))
+        found[i : i + step] = own - np.log(scores @ ones)
     return found
 
 
@@ -428,7 +477,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     most = math.ceil(GROWTH * math.sqrt(distinct)) if head is None else head
     model = build(counts, head_words(counts, KNOWN * most), below, most)
     coded = encode(model, rows)
-    model.place = {}  # words are codes from here on
+    model.names = None  # words are codes from here on
     model.params = averaged(model, coded.where(~F.col("held_out")), int(total), block)
     class_log = model.class_log
 
@@ -446,12 +495,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     scored = coded.select(*names, "codes").mapInArrow(
         run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, "
              "class_base double, part double")
-    words = coded.select("row", F.explode(F.arrays_zip("tail", "times")).alias("_t")).select(
-        "row", F.col("_t.tail").alias("token"), F.col("_t.times").alias("times"))
+    words = coded.select("row", F.explode("tail").alias("token"))
     log_p = F.log10((F.col("n_train") + 0.5) / F.lit(below))
     tails = words.join(counts.select("token", "n_train"), "token").groupBy("row").agg(
-        F.sum(log_p * F.col("times")).alias("tail_base"),
-        F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
+        F.sum(log_p).alias("tail_base"), F.count(F.when(F.col("n_train") > 0, 1)).alias("tail_known"))
     none = F.lit(0)
     return scored.join(tails, "row", "left").select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens",
